@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from grainframe.llm import quality_rules
+from grainframe.llm import bpe, quality_rules
 
 
 def queries():
     return {
         "op4_quality_rules": quality_rules.op4,
+        "op10_byte_pair_encoding": bpe.op10,
     }
 
 
