@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from grainframe.llm import bpe, quality_rules
+from grainframe.llm import bpe, quality_classifier, quality_rules
 
 
 def queries():
     return {
+        "op1_quality_classifier": quality_classifier.op1,
         "op4_quality_rules": quality_rules.op4,
         "op10_byte_pair_encoding": bpe.op10,
     }
