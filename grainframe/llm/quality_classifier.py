@@ -5,8 +5,8 @@ normalised difference of the two sizes, (bad - good) / (bad + good), becomes a s
 sees how far the text compresses by itself (a text of few repeated words fits either dictionary). Dictionaries and
 calibration learn from two disjoint halves of a bounded sample of labelled rows; scoring is one map over all documents.
 
-Only ``SAMPLE_PER_CLASS`` labelled documents of each label reach the driver, chosen by smallest hash among those of at
-most ``SAMPLE_MAX_BYTES`` (the only place where a length bound applies); two dictionaries and four weights go out.
+Only ``SAMPLE_PER_CLASS`` labelled documents of each label reach the driver, those of smallest hash, without texts of more
+than ``SAMPLE_MAX_BYTES`` (the only place where a length bound applies); two dictionaries and four weights go out.
 
 Defined results: a null or empty text gets the score of difference 0. If a class has too few samples for a dictionary,
 the score of every document is the share of good labels (0.5 without labels). Null labels and labels other than 0 and 1
@@ -90,13 +90,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(crc32_of(F.col(doc_id)) % FOLDS == 0, F.lit(False))
 
 
-def train_compression_model(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id") -> CompressionModel:
-    """Dictionaries from one half of the sampled rows, the calibration from the other half."""
-    order = F.xxhash64(F.col(key).cast("string"), F.lit(17))
-    rows = labelled.select(F.col(label).cast("int").alias("y"), F.col(text).cast("binary").alias("t"), order.alias("k")).where(F.col("t").isNotNull() & F.col("y").isin(0, 1))
+def train_compression_model(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id") -> CompressionModel:
+    """Dictionaries from one half of the sampled rows, the calibration from the other half.
+
+    The sample is drawn from ``labels`` (``key`` and ``label``), so that only its bounded list of keys meets the texts.
+    """
+    rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     shares = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    small = rows.where(F.octet_length("t").between(1, SAMPLE_MAX_BYTES))
-    texts = {y: [bytes(r["t"]) for r in small.where(F.col("y") == y).orderBy("k", "t").limit(SAMPLE_PER_CLASS).collect()] for y in (0, 1)}
+    order = F.xxhash64(F.col("key").cast("string"), F.lit(17))
+    # a share by hash comes first, so that the number of tasks doesn't multiply the rows that are sorted in one place
+    share = {y: min(1.0, 4 * SAMPLE_PER_CLASS / max(1, shares.get(y, 0))) for y in (0, 1)}
+    part = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(18)), F.lit(1 << 20))
+    drawn = [rows.where((F.col("y") == y) & (part < int(share[y] * (1 << 20)))).orderBy(order, "key").limit(SAMPLE_PER_CLASS) for y in (0, 1)]
+    chosen = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("t")).join(F.broadcast(drawn[0].union(drawn[1])), "key")
+    found = chosen.where(F.octet_length("t").between(1, SAMPLE_MAX_BYTES)).select("y", "t", order.alias("k")).collect()
+    texts = {y: [bytes(r["t"]) for r in sorted(found, key=lambda r: (r["k"], r["t"])) if r["y"] == y] for y in (0, 1)}
     constant = shares.get(1, 0) / sum(shares.values()) if shares else 0.5
     halves = {y: (t[::2], t[1::2]) for y, t in texts.items()}
     try:
@@ -135,7 +143,6 @@ def op1(spark, sf_dir: str) -> DataFrame:
     """``op1_quality_classifier``: the score of every document; labels are learnt outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("quality").alias("label"))
-    model = train_compression_model(docs.join(labels, "doc_id"))
-    # the texts leave with the scores' input: only ids and scores come back from Python
-    scored = score_quality(docs.select("doc_id", "text"), model)
+    model = train_compression_model(docs, labels)
+    scored = score_quality(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
