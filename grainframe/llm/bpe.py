@@ -6,7 +6,7 @@ and the pairs that a merge forms enter the lists of their own ranks. Merging who
 encoder, because a pair that holds a merge's product always has a higher rank than that merge.
 
 The vocabulary (fixed size) is read where the driver runs and broadcast; documents are never shuffled. The memory of a
-task is bounded by a batch of rows and by ``CACHE`` remembered words.
+task is bounded by a batch of rows, its slices of ``SLICE_BYTES`` and ``CACHE`` remembered words.
 
 Defined results: a null or empty text has no ids and decodes to an empty text. The strings of special tokens inside a
 text become those tokens. Ids without an entry, or null ids in a list, raise ``ValueError``. Bytes that are no UTF-8
@@ -21,19 +21,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainframe.llm.common import columns_of, table, without
+from grainframe.llm.common import columns_of, free_name, table, without
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The pre-tokenizer's pattern, published with the byte-level vocabularies.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A space where cutting at spaces could cut a run of white space.
 _RUN = regex.compile(r" (?:\s|\Z)")
-CACHE = 250_000
-ROWS_OUT = 1000
+#: Words remembered between slices of a batch, and bytes of text in a slice: together they bound a task's memory.
+CACHE = 60_000
+SLICE_BYTES = 6_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -197,25 +199,55 @@ class Encoder:
             yield b"".join(parts)
 
 
-def bpe_encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with ``ids``: an int array with the BPE ids of each whole text."""
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Places and numbers of rows of consecutive slices of about ``SLICE_BYTES``; a longer text is a slice by itself."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and total + n > SLICE_BYTES:
+            yield start, i - start
+            start, total = i, 0
+        total += n
+    if len(lengths) > start:
+        yield start, len(lengths) - start
+
+
+def _decoded(ids: np.ndarray, tokens: list[bytes | None]) -> str:
+    if len(ids) and not 0 <= ids.min() <= ids.max() < len(tokens):
+        raise ValueError("an id has no entry in the vocabulary")
+    parts = [tokens[i] for i in ids.tolist()]
+    if None in parts:
+        raise ValueError("an id has no entry in the vocabulary")
+    return b"".join(parts).decode("utf-8", "replace")
+
+
+def bpe_encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``ids``: an int array with the BPE ids of each whole text.
+
+    With a name for ``decoded``, the ids are decoded again in the same pass, as ``bpe_decode`` does.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary())
-    base = without(docs, ids)
+    made = [ids] if decoded is None else [ids, decoded]
+    base = without(docs, *made)
     names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
+        tokens = shared.value.tokens
         for batch in batches:
-            found = encoder.encode(batch.column(len(names)).to_pylist())
-            for start in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(start, ROWS_OUT)
-                rows = [next(found) for _ in range(part.num_rows)]
+            for start, n in _slices(batch.column(len(names))):
+                part = batch.slice(start, n)
+                rows = list(encoder.encode(part.column(len(names)).to_pylist()))
                 offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
                 flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*names, ids])
+                found = [pa.ListArray.from_arrays(pa.array(offsets), flat)]
+                if decoded is not None:
+                    found.append(pa.array([_decoded(np.frombuffer(r, dtype="<i4"), tokens) for r in rows], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *found], names=[*names, *made])
 
-    source = base.select("*", F.col(text).cast("string").alias("\x01text"))
-    return source.mapInArrow(run, f"{columns_of(base) + ', ' if names else ''}`{ids}` array<int>")
+    source = base.select("*", F.col(text).cast("string").alias(free_name(base, "text_given")))
+    types = f"`{ids}` array<int>" + ("" if decoded is None else f", `{decoded}` string")
+    return source.mapInArrow(run, f"{columns_of(base) + ', ' if names else ''}{types}")
 
 
 def bpe_decode(frame: DataFrame, vocabulary: Vocabulary | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -231,12 +263,9 @@ def bpe_decode(frame: DataFrame, vocabulary: Vocabulary | None = None, ids: str
             texts = []
             for row in batch.column(at):
                 found = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, np.int32)
-                if found.dtype.kind != "i" or len(found) and not 0 <= found.min() <= found.max() < len(tokens):
-                    raise ValueError("an id has no entry in the vocabulary")
-                parts = [tokens[i] for i in found.tolist()]
-                if None in parts:
-                    raise ValueError("an id has no entry in the vocabulary")
-                texts.append(b"".join(parts).decode("utf-8", "replace"))
+                if found.dtype.kind != "i":
+                    raise ValueError("a list of ids holds a null")
+                texts.append(_decoded(found, tokens))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, decoded])
 
     return base.mapInArrow(run, f"{columns_of(base)}, `{decoded}` string")
@@ -244,9 +273,8 @@ def bpe_decode(frame: DataFrame, vocabulary: Vocabulary | None = None, ids: str
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """``op10_byte_pair_encoding``: digests of the ids of every document, and of the text they decode to."""
-    vocabulary = Vocabulary()
-    encoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids")
-    return bpe_decode(encoded, vocabulary).select(
+    encoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
