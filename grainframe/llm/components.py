@@ -1,0 +1,43 @@
+"""Connected components by alternating large-star and small-star.
+
+Each step is a grouped minimum (combined before the shuffle) and a join back on the node, so a node of very many links is
+no group in one task: Spark splits its side of the join. Every round is written to the workspace, which cuts lineage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from grainframe.llm.common import Workspace
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node links to the smallest of the node and its neighbours."""
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours link to the smallest of them. Edges go from the larger node to the smaller."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
+
+def connected_components(links: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
+    """``(node, component)`` of all nodes with a link: the component is its smallest node. ``links`` has ``a`` and ``b``.
+
+    Links of a node with itself and links without both ends join nothing.
+    """
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    seen, round_ = None, 0
+    while True:
+        edges = work.save(edges if seen is None else _small_star(_large_star(edges)), f"{name}-{round_}")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if round_ > 1:
+            work.drop(f"{name}-{round_ - 2}")
+        if not now[0] or now == seen:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b"))).distinct()
+        seen, round_ = now, round_ + 1

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from grainframe.llm import bpe, quality_classifier, quality_rules
+from grainframe.llm import bpe, near_dedup, quality_classifier, quality_rules
 
 
 def queries():
     return {
         "op1_quality_classifier": quality_classifier.op1,
+        "op3_minhash_near_dedup": near_dedup.op3,
         "op4_quality_rules": quality_rules.op4,
         "op10_byte_pair_encoding": bpe.op10,
     }
