@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainframe.llm import bpe, near_dedup, quality_classifier, quality_rules
+from grainframe.llm import bpe, near_dedup, quality_classifier, quality_rules, suffix_dedup
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_quality_classifier": quality_classifier.op1,
         "op3_minhash_near_dedup": near_dedup.op3,
         "op4_quality_rules": quality_rules.op4,
+        "op7_suffix_array_dedup": suffix_dedup.op7,
         "op10_byte_pair_encoding": bpe.op10,
     }
 
