@@ -2,14 +2,15 @@
 
 1. One map computes each document's exact set of shingles, the minima of ``BANDS * ROWS`` universal hashes, a key for each
    band of minima, and a sketch of one byte per minimum. Documents with equal sets are one class from here on.
-2. Classes that share a band's key are candidates. Within a key, every member is held against the key's smallest member
-   (its pivot): first by sketches, then exactly, on the full sets. A group of m near copies costs m - 1 pairs, not m squared.
-3. Members that aren't linked with their pivot are held against all other members of their key, in blocks of sketches of
-   bounded size; only pairs whose sketches agree leave a block, to be confirmed exactly. No key is capped.
+2. Classes that share a band's key are candidates. In each of ``PIVOT_ROUNDS`` rounds, the members of a key outside its
+   largest component are held against one member of that component (its pivot): first by sketches, then exactly, on the
+   full sets. Components are joined after each round. A group of m near copies costs a few times m pairs, not m squared.
+3. Members still in different components are compared in blocks of sketches of bounded size; only pairs of different
+   components whose sketches agree leave a block, to be confirmed exactly. No key is capped.
 4. Links are joined to components by alternating large-star and small-star.
 
 At the default 80 % a linked pair shares a band with probability 1 - (1 - 0.8 ** 5) ** 38 = 1 - 3e-7 or more, and its sketch
-passes ``SKETCH_SLACK`` deviations below the limit; both misses together are under one in a million.
+may fall ``SKETCH_SLACK`` deviations below the limit; both misses together are a few in a million, at the very limit.
 
 Defined results: texts without words (null, empty, only white space) have the empty set, link with nothing and are kept.
 A text of fewer words than a shingle has its whole sequence as its one shingle. Rows without an id take part in nothing:
@@ -35,7 +36,9 @@ HASHES = BANDS * ROWS
 SHINGLE = 5
 PERCENT = 80
 #: Standard deviations that a sketch may fall below the limit.
-SKETCH_SLACK = 5.5
+SKETCH_SLACK = 4.5
+#: Rounds of holding a key's members against one of its largest component, before the rest is compared in blocks.
+PIVOT_ROUNDS = 4
 #: Members of a block of sketches.
 BLOCK = 1024
 #: Up to so many ids of candidates go to every executor; more are joined by a shuffle.
@@ -106,10 +109,10 @@ def least_agreement(percent: int) -> int:
     return int(np.floor(HASHES * p - SKETCH_SLACK * np.sqrt(HASHES * p * (1 - p))))
 
 
-def _agreeing(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose sketches agree in at least ``least`` bytes."""
-    other = sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("sketch_b"))
-    both = pairs.join(other, "b").join(sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+def _agreeing(pairs: DataFrame, sketches: DataFrame, least: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` whose sets can reach the limit by their sizes, and whose sketches agree in at least ``least`` bytes."""
+    first, second = (sketches.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    both = pairs.join(second, "b").join(first, "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,11 +123,8 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, work: Workspace, name: str) -> DataFrame:
-    """The pairs whose full sets reach the limit, from the texts of their documents alone."""
-    ids = work.save(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), f"{name}-ids")
-    few = ids.count() <= MAX_BROADCAST_IDS
-    texts = work.save(docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi").dropDuplicates(["doc"]), f"{name}-texts")
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the limit."""
     both = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,29 +140,28 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, work:
             kept = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in (0, 1)], names=["a", "b"])
 
-    return work.save(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), name)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _blockwise(members: DataFrame, least: int) -> DataFrame:
-    """Pairs of members of a key, one of them ``open``, whose sketches agree: in blocks of about ``BLOCK`` members.
+    """Pairs of members of a key, from different components, whose sketches agree: in blocks of about ``BLOCK`` members.
 
-    ``members``: key, doc, open, sketch, m (members of the key).
+    ``members``: key, doc, component, sketch, m (members of the key).
     """
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "open", "sketch")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_runs(batches, ["key", "i", "j"]):
             i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            docs, own, open_ = (group[c].to_numpy() for c in ("doc", "own", "open"))
+            docs, own, component = (group[c].to_numpy() for c in ("doc", "own", "component"))
             sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
             rows, columns = np.flatnonzero(own == i), np.flatnonzero(own == j)
             found = []
             for r in rows:
-                held = columns if open_[r] else columns[open_[columns]]
-                held = held[docs[held] != docs[r]]
+                held = columns[(component[columns] != component[r]) & ((docs[columns] > docs[r]) | (i != j))]
                 near = held[(sketch[held] == sketch[r]).sum(axis=1) >= least]
                 found.append((np.full(len(near), docs[r]), docs[near]))
             if found:
@@ -173,35 +172,57 @@ def _blockwise(members: DataFrame, least: int) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
 
+def _pivots(held: DataFrame, seed: int) -> DataFrame:
+    """Of each key with several components: its largest one, and the member of it that is first in a seeded order.
+
+    The order is one for all keys, so keys with the same members choose the same pivot.
+    """
+    by_component = held.groupBy("key", "component").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("doc", F.lit(seed)).alias("h"), "doc")).alias("first"))
+    best = by_component.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "first", "component")).alias("best")).where("k > 1")
+    return best.select("key", F.col("best.first.doc").alias("pivot"), F.col("best.component").alias("main"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
-    work = Workspace(docs.sparkSession, "near-dedup")
+    spark = docs.sparkSession
+    work = Workspace(spark, "near-dedup")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
     least = least_agreement(percent)
 
     signed = work.save(_signatures(texts, shingle), "signatures")
     classes = signed.where("digest IS NOT NULL AND doc IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("class"))
     heads = signed.join(classes.withColumnRenamed("class", "doc"), ["digest", "doc"], "left_semi").dropDuplicates(["digest", "doc"])
-    heads = work.save(heads.select("doc", "sketch", "bands"), "heads")
-    sketches = heads.select("doc", "sketch")
+    heads = work.save(heads.select("doc", "n", "sketch", "bands"), "heads")
+    sketches = heads.select("doc", "n", "sketch")
 
     keyed = heads.select("doc", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = work.save(keyed.join(shared, "key").where("doc <> pivot"), "members")
-    pairs = members.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    near = work.save(_agreeing(pairs, sketches, least), "near")
-    links = _confirmed(near, texts, shingle, percent, work, "links")
-
-    # what its pivot doesn't settle is held against all other members of the key
-    open_ = members.join(links.select(F.col("a").alias("pivot"), F.col("b").alias("doc")), ["pivot", "doc"], "left_anti").where("n > 2")
-    unsettled = open_.select("key", "doc", F.lit(True).alias("open"))
-    rest = members.where("n > 2").join(unsettled.select("key").distinct(), "key", "left_semi").join(unsettled, ["key", "doc"], "left")
-    rest = rest.select("key", "doc", F.coalesce("open", F.lit(False)).alias("open"), (F.col("n") - 1).alias("m")).join(sketches, "doc")
-    more = work.save(_blockwise(rest, least).distinct().join(near, ["a", "b"], "left_anti"), "more-near")
-    more_links = _confirmed(more, texts, shingle, percent, work, "more-links")
-    work.drop("members", "near", "more-near", "heads", "links-texts", "more-links-texts", "links-ids", "more-links-ids")
-
-    joined = connected_components(links.union(more_links), work).withColumnRenamed("node", "class")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = work.save(keyed.join(shared, "key"), "members")
+    ids = work.save(members.select("doc").distinct(), "member-ids")
+    few = ids.count() <= MAX_BROADCAST_IDS
+    texts = work.save(texts.join(F.broadcast(ids) if few else ids, "doc", "left_semi").dropDuplicates(["doc"]), "member-texts")
+
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    links, tested, components = none, none, spark.createDataFrame([], "node bigint, component bigint")
+    for step in range(PIVOT_ROUNDS + 1):
+        held = members if step == 0 else members.where("m > 2")
+        held = held.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        pivots = _pivots(held, step)
+        if step < PIVOT_ROUNDS:
+            open_ = held.join(pivots, "key").where("component <> main")
+            pairs = open_.select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
+            near = work.save(_agreeing(pairs.join(tested, ["a", "b"], "left_anti"), sketches, least, percent), f"near-{step}")
+        else:
+            rest = held.join(pivots.select("key"), "key", "left_semi").join(sketches, "doc")
+            near = work.save(_blockwise(rest, least).distinct().join(tested, ["a", "b"], "left_anti"), f"near-{step}")
+        tested = tested.union(near)
+        found = work.save(_confirmed(near, texts, shingle, percent), f"links-{step}")
+        if not found.isEmpty():
+            links = links.union(found)
+            components = connected_components(links, work, f"components-{step}")
+    work.drop("members", "heads", "member-texts", "member-ids", *(f"near-{i}" for i in range(PIVOT_ROUNDS + 1)))
+
+    joined = components.withColumnRenamed("node", "class")
     whole = classes.join(joined, "class", "left").select("digest", F.coalesce("component", "class").alias("component"))
     found = signed.select("doc", "n", "digest").join(whole, "digest", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
