@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from grainframe.llm import bpe, near_dedup, quality_classifier, quality_rules, suffix_dedup
+from grainframe.llm import bpe, external_shuffle, near_dedup, pii, quality_classifier, quality_rules, source_mixing, suffix_dedup
 
 
 def queries():
     return {
         "op1_quality_classifier": quality_classifier.op1,
+        "op2_external_shuffle": external_shuffle.op2,
         "op3_minhash_near_dedup": near_dedup.op3,
         "op4_quality_rules": quality_rules.op4,
+        "op6_pii_pseudonyms": pii.op6,
         "op7_suffix_array_dedup": suffix_dedup.op7,
+        "op9_source_mixing": source_mixing.op9,
         "op10_byte_pair_encoding": bpe.op10,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op9_source_mixing": source_mixing.SQL}
