@@ -11,8 +11,8 @@ Strings never span documents. The work is split so that each repeated string is
    Burrows-Wheeler transform and derives longest common prefixes by increasing value: intervals of equal prefixes are
    extended backwards by one byte, breadth first, and an interval is followed only if it sets a new boundary. At ``LENGTH``
    the expansion stops; boundaries not set by then lie between suffixes that share ``LENGTH`` bytes or more.
-4. A group of more than ``MAX_GROUP`` contexts is split first: what all of its members share is settled, the rest goes on
-   in smaller groups that share one byte more to the left or to the right. No group is capped.
+4. A group of more than ``MAX_GROUP`` contexts is split first: what its members share with one of them is settled, the rest
+   goes on in smaller groups, by the place and byte where members part from that one. No group is capped.
 5. One map applies each document's spans to its bytes.
 
 Defined results: a null or empty text has no bytes and no spans. Texts shorter than ``LENGTH`` lose nothing. Rows that
@@ -255,39 +255,44 @@ def _agreement(x: bytes, y: bytes) -> int:
 
 
 def _split_once(large: DataFrame, length: int, anchor: int, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
-    """Spans of strings that all members of a group share, and the members by groups that share one byte more.
+    """Spans of strings that members of a group share with its head, and the members by smaller groups.
 
-    A string of a context is known by the bytes it has before the anchor; ``low`` to ``high`` are those still open.
+    A string of a context is known by the number of bytes it has before the anchor; ``low`` to ``high`` are those still
+    open. A member agrees with the head in l bytes before the anchor and r bytes after it; strings within are settled. A
+    string with more bytes before can only be shared with members that agree with the head in the same l bytes and have the
+    same byte next; likewise after. So each member goes on in two groups at most, and the head in none.
     """
     slack = length - anchor
-    heads = large.groupBy("grp").agg(F.min(F.struct("doc", "pos", "before", "context")).alias("head"))
-    held = large.join(heads.select("grp", F.col("head.before").alias("before_0"), F.col("head.context").alias("context_0")), "grp")
+    heads = large.groupBy("grp").agg(F.min(F.struct("doc", "pos", "before", "single", "context")).alias("head"))
+    held = large.join(heads, "grp").where("doc <> head.doc OR pos <> head.pos").withColumn("before_0", F.col("head.before")).withColumn("context_0", F.col("head.context"))
+    held = held.withColumn("doc_0", F.when(F.col("head.single"), F.col("head.doc"))).withColumn("pos_0", F.col("head.pos")).drop("head")
+    names = ["grp", "doc", "pos", "before", "single", "low", "high", "context", "doc_0", "pos_0"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            column = {k: batch.column(batch.schema.get_field_index(k)) for k in (*names, "before_0", "context_0")}
             left, right = [], []
-            for b, c, b0, c0 in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("before", "context", "before_0", "context_0"))):
+            for b, c, b0, c0 in zip(*(column[k].to_pylist() for k in ("before", "context", "before_0", "context_0"))):
                 left.append(_agreement(c[:b][::-1], c0[:b0][::-1]))
                 right.append(_agreement(c[b + anchor :], c0[b0 + anchor :]))
-            keep = [batch.column(batch.schema.get_field_index(k)) for k in ("grp", "doc", "pos", "before", "single", "low", "high", "context")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=["grp", "doc", "pos", "before", "single", "low", "high", "context", "l", "r"])
+            yield pa.RecordBatch.from_arrays([*(column[k] for k in names), pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=[*names, "l", "r"])
 
-    measured = work.save(held.mapInArrow(measure, f"{_CONTEXT}, l int, r int"), f"{name}-measured")
-    common = measured.groupBy("grp").agg(F.min("l").alias("l"), F.min("r").alias("r"))
-    whole = measured.drop("l", "r").join(common, "grp")
-    least, most = F.greatest("low", slack - F.col("r")), F.least("high", "l")
-    spans = whole.where(F.col("single") & (least <= most)).select("doc", (F.col("pos") - most).alias("lo"), (F.col("pos") - least + length).alias("hi"))
+    measured = held.mapInArrow(measure, f"{_CONTEXT}, doc_0 bigint, pos_0 int, l int, r int")
+    measured = work.save(measured, f"{name}-measured").withColumn("least", F.greatest("low", slack - F.col("r"))).withColumn("most", F.least("high", "l"))
+    shared = measured.where("least <= most")
+    spans = shared.where("single").select("doc", (F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") - F.col("least") + length).alias("hi"))
+    of_heads = shared.where("doc_0 IS NOT NULL").groupBy("grp").agg(F.first("doc_0").alias("doc"), F.first("pos_0").alias("pos"), F.max("most").alias("most"), F.min("least").alias("least"))
+    spans = spans.union(of_heads.select("doc", (F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") - F.col("least") + length).alias("hi")))
 
     rest = F.array(
         F.struct(F.lit("L").alias("side"), F.greatest("low", F.col("l") + 1).alias("low"), F.col("high").alias("high")),
         F.struct(F.lit("R").alias("side"), F.col("low").alias("low"), F.least("high", "l", slack - F.col("r") - 1).alias("high")),
     )
-    open_ = whole.withColumn("open", F.explode(rest)).where("open.low <= open.high")
-    after = slack - F.col("open.high")
-    start = F.col("before") - F.col("open.low")
-    more = F.when(F.col("open.side") == "L", F.substring("context", start + 1, F.col("open.low"))).otherwise(F.substring("context", F.col("before") + anchor + 1, after))
-    fits = F.when(F.col("open.side") == "L", start >= 0).otherwise(F.octet_length("context") >= F.col("before") + anchor + after)
-    children = open_.where(fits).select(F.xxhash64("grp", "open.side", more).alias("grp"), "doc", "pos", "before", "single", F.col("open.low").alias("low"), F.col("open.high").alias("high"), "context")
+    open_ = measured.withColumn("open", F.explode(rest)).where("open.low <= open.high")
+    fits = F.when(F.col("open.side") == "L", F.col("before") > F.col("l")).otherwise(F.octet_length("context") > F.col("before") + anchor + F.col("r"))
+    next_byte = F.substring("context", F.when(F.col("open.side") == "L", F.col("before") - F.col("l")).otherwise(F.col("before") + anchor + F.col("r") + 1), F.lit(1))
+    depth = F.when(F.col("open.side") == "L", F.col("l")).otherwise(F.col("r"))
+    children = open_.where(fits).select(F.xxhash64("grp", "open.side", depth, next_byte).alias("grp"), "doc", "pos", "before", "single", F.col("open.low").alias("low"), F.col("open.high").alias("high"), "context")
     return spans, children
 
 
