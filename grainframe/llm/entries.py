@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from grainframe.llm import bpe, external_shuffle, near_dedup, pii, quality_classifier, quality_rules, source_mixing, suffix_dedup
+import corpus_pipeline
+from grainframe.llm import bpe, external_shuffle, flac, license_scan, near_dedup, pii, quality_classifier, quality_rules, source_mixing, suffix_dedup
 
 
 def queries():
@@ -11,12 +12,16 @@ def queries():
         "op2_external_shuffle": external_shuffle.op2,
         "op3_minhash_near_dedup": near_dedup.op3,
         "op4_quality_rules": quality_rules.op4,
+        "op5_flac_media": flac.op5,
         "op6_pii_pseudonyms": pii.op6,
         "op7_suffix_array_dedup": suffix_dedup.op7,
+        "op8_license_scan": license_scan.op8,
         "op9_source_mixing": source_mixing.op9,
         "op10_byte_pair_encoding": bpe.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op9_source_mixing": source_mixing.SQL}
+    found = {"op9_source_mixing": source_mixing.SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
