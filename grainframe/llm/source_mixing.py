@@ -57,11 +57,13 @@ def _shared_out(nodes: DataFrame, parents: list[str], level: str, weights: dict[
     order = Window.partitionBy(*parents).orderBy((F.col("capacity") / F.col("w")).asc(), F.col(level))
     before = F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("capacity")
     rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    out = nodes.withColumn("w", _weight(level, weights, default)).where("w > 0").withColumn("level_here", (F.col("budget") - before) / rest)
-    fits = F.when(F.col("level_here") <= F.col("capacity") / F.col("w"), F.col("level_here"))
+    out = nodes.withColumn("w", _weight(level, weights, default)).where("w > 0").withColumn("left", F.col("budget") - before).withColumn("among", rest)
+    # whole numbers throughout, so that an only child gets all of its parent's share
+    level_here = F.struct((F.col("left") / F.col("among")).alias("at"), "left", "among")
+    fits = F.when(F.col("left") * F.col("w") <= F.col("capacity") * F.col("among"), level_here)
     out = out.withColumn("water", F.max(fits).over(Window.partitionBy(*parents)))
-    share = F.when(F.col("water").isNull(), F.col("capacity")).otherwise(F.least(F.col("capacity"), F.floor(F.col("w") * F.col("water"))))
-    return out.withColumn("share", share.cast("long")).drop("w", "level_here", "water", "budget")
+    share = F.when(F.col("water").isNull(), F.col("capacity")).otherwise(F.least(F.col("capacity"), F.expr("(w * water.left) div water.among")))
+    return out.withColumn("share", share.cast("long")).drop("w", "left", "among", "water", "budget")
 
 
 def leaf_budgets(leaves: DataFrame, budget: int, max_epochs: int, weights: dict[str, dict[str, int]] | None = None, default_weight: int = DEFAULT_WEIGHT) -> DataFrame:
@@ -138,10 +140,10 @@ def mixing_sql(docs: str = "documents", max_epochs: int = MAX_EPOCHS, budget_per
         join = f"JOIN (SELECT {up}, share AS budget FROM {above}) USING ({up})" if up else f"CROSS JOIN {above}"
         parts += [
             f"nodes_{level} AS (SELECT *, CAST({_case(level)} AS BIGINT) AS w FROM (SELECT {keys}, CAST(sum(capacity) AS BIGINT) AS capacity, CAST(sum(tokens) AS BIGINT) AS tokens FROM leaves GROUP BY {keys}) {join})",
-            f"""water_{level} AS (SELECT *, CAST(budget - (sum(capacity) OVER (o ROWS UNBOUNDED PRECEDING) - capacity) AS DOUBLE) / CAST(sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level_here
+            f"""level_{level} AS (SELECT *, CAST(budget - (sum(capacity) OVER (o ROWS UNBOUNDED PRECEDING) - capacity) AS BIGINT) AS unspent, CAST(sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS among
   FROM nodes_{level} WINDOW o AS ({by}ORDER BY CAST(capacity AS DOUBLE) / w, {level}))""",
-            f"""share_{level} AS (SELECT {keys}, tokens, CASE WHEN water IS NULL THEN capacity ELSE least(capacity, CAST(floor(w * water) AS BIGINT)) END AS share
-  FROM (SELECT *, max(CASE WHEN level_here <= CAST(capacity AS DOUBLE) / w THEN level_here END) OVER ({by}) AS water FROM water_{level}))""",
+            f"""share_{level} AS (SELECT {keys}, tokens, CASE WHEN water IS NULL THEN capacity ELSE least(capacity, (w * water.unspent) // water.among) END AS share
+  FROM (SELECT *, max(CASE WHEN unspent * w <= capacity * among THEN {{'at_level': CAST(unspent AS DOUBLE) / among, 'unspent': unspent, 'among': among}} END) OVER ({by}) AS water FROM level_{level}))""",
         ]
         above = f"share_{level}"
     parts += [
