@@ -1,11 +1,15 @@
-"""Every query of the reference-side operators by name, with the SQL it is held against."""
+"""Every query on the reference's operators by name, with the SQL it is held against."""
 
 from __future__ import annotations
 
+from grainframe.plans import overlap, statistics
+
+_ALL = overlap.QUERIES | statistics.QUERIES
+
 
 def queries():
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
