@@ -5,8 +5,8 @@
 2. Classes that share a band's key are candidates. In each of ``PIVOT_ROUNDS`` rounds, the members of a key outside its
    largest component are held against one member of that component (its pivot): first by sketches, then exactly, on the
    full sets. Components are joined after each round. A group of m near copies costs a few times m pairs, not m squared.
-3. Members still in different components are compared in blocks of sketches of bounded size; only pairs of different
-   components whose sketches agree leave a block, to be confirmed exactly. No key is capped.
+3. Members still in different components are compared on their full sets, in blocks of bounded size; only links that join
+   two components leave a block, to be confirmed again on the texts. No key is capped.
 4. Links are joined to components by alternating large-star and small-star.
 
 At the default 80 % a linked pair shares a band with probability 1 - (1 - 0.8 ** 5) ** 38 = 1 - 3e-7 or more, and its sketch
@@ -39,8 +39,8 @@ PERCENT = 80
 SKETCH_SLACK = 4.5
 #: Rounds of holding a key's members against one of its largest component, before the rest is compared in blocks.
 PIVOT_ROUNDS = 4
-#: Members of a block of sketches.
-BLOCK = 1024
+#: Bytes of the sets in a block.
+BLOCK_BYTES = 4_000_000
 #: Up to so many ids of candidates go to every executor; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -143,31 +143,64 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _blockwise(members: DataFrame, least: int) -> DataFrame:
-    """Pairs of members of a key, from different components, whose sketches agree: in blocks of about ``BLOCK`` members.
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """``doc, n, hashes``: the whole set of each text, as sorted 64-bit hashes in one binary value."""
 
-    ``members``: key, doc, component, sketch, m (members of the key).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            found = [np.sort(np.fromiter(map(digest, shingles(x.as_py(), size)), np.uint64)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["doc", "n", "hashes"])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc bigint, n bigint, hashes binary")
+
+
+def block_links(sets: list[np.ndarray], component: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between different components that join what the links before them leave apart: fewer than there are members.
+
+    One row is held against all columns at once: its values are marked, and marks are summed over each set.
+    """
+    sizes = np.array([len(sets[c]) for c in columns], dtype=np.int64)
+    flat, numbers = np.unique(np.concatenate([*(sets[c] for c in columns), *(sets[r] for r in rows)]), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    own = np.concatenate([[0], np.cumsum([len(sets[r]) for r in rows])]) + starts[-1]
+    marks = np.zeros(len(flat), dtype=np.int32)
+    label, links = component.copy(), []
+    for i, r in enumerate(rows):
+        mine = numbers[own[i] : own[i + 1]]
+        marks[mine] = 1
+        common = np.add.reduceat(marks[numbers[: starts[-1]]], starts[:-1])
+        marks[mine] = 0
+        near = columns[100 * common >= percent * (sizes + len(mine) - common)]
+        for c in near[label[near] != label[r]]:
+            if label[c] != label[r]:
+                label[label == label[c]] = label[r]
+                links.append((int(r), int(c)))
+    return links
+
+
+def _blockwise(members: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs of members of a key that join its components, found on full sets in blocks of about ``BLOCK_BYTES``.
+
+    ``members``: key, doc, component, hashes, size (bytes of all sets of the key). Each block gives fewer pairs than it has
+    members, however many are alike.
     """
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("size") / BLOCK_BYTES).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component", "sketch")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_runs(batches, ["key", "i", "j"]):
             i, j = group["i"][0].as_py(), group["j"][0].as_py()
             docs, own, component = (group[c].to_numpy() for c in ("doc", "own", "component"))
-            sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
             rows, columns = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            found = []
-            for r in rows:
-                held = columns[(component[columns] != component[r]) & ((docs[columns] > docs[r]) | (i != j))]
-                near = held[(sketch[held] == sketch[r]).sum(axis=1) >= least]
-                found.append((np.full(len(near), docs[r]), docs[near]))
-            if found:
-                a, b = (np.concatenate(c) for c in zip(*found))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if not len(rows) or not len(columns) or (component == component[0]).all():
+                continue
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in group["hashes"].to_pylist()]
+            if links := block_links(sets, component, rows, columns, percent):
+                a, b = docs[np.array(links)].T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
@@ -213,14 +246,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             pairs = open_.select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
             near = work.save(_agreeing(pairs.join(tested, ["a", "b"], "left_anti"), sketches, least, percent), f"near-{step}")
         else:
-            rest = held.join(pivots.select("key"), "key", "left_semi").join(sketches, "doc")
-            near = work.save(_blockwise(rest, least).distinct().join(tested, ["a", "b"], "left_anti"), f"near-{step}")
+            rest = work.save(held.join(pivots.select("key"), "key", "left_semi").select("key", "doc", "component"), "rest")
+            sets = work.save(_sets(texts.join(rest.select("doc").distinct(), "doc", "left_semi"), shingle), "rest-sets")
+            size = rest.join(sets.select("doc", "n"), "doc").groupBy("key").agg(F.sum(8 * F.col("n")).alias("size"))
+            near = work.save(_blockwise(rest.join(size, "key").join(sets, "doc"), percent).distinct(), f"near-{step}")
         tested = tested.union(near)
         found = work.save(_confirmed(near, texts, shingle, percent), f"links-{step}")
         if not found.isEmpty():
             links = links.union(found)
             components = connected_components(links, work, f"components-{step}")
-    work.drop("members", "heads", "member-texts", "member-ids", *(f"near-{i}" for i in range(PIVOT_ROUNDS + 1)))
+    work.drop("members", "heads", "member-texts", "member-ids", "rest", "rest-sets", *(f"near-{i}" for i in range(PIVOT_ROUNDS + 1)))
 
     joined = components.withColumnRenamed("node", "class")
     whole = classes.join(joined, "class", "left").select("digest", F.coalesce("component", "class").alias("component"))

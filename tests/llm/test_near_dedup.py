@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from grainframe.llm import near_dedup
@@ -69,3 +70,18 @@ def test_components_of_paths_and_stars(spark):
     expect = {i: 0 for i in range(51)} | {i: 100 for i in range(100, 160)}
     assert {r["node"]: r["component"] for r in found.collect()} == expect
     assert connected_components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "test")).count() == 0
+
+
+def test_blocks_find_what_pivots_cannot(spark, monkeypatch):
+    """Many documents alike to the last few words under the limit: no pair of most of them is linked, some pairs are."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.choice(60, 2, replace=False):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 8000)
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 4, 80)
