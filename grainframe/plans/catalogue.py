@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grainframe.plans import overlap, statistics
+from grainframe.plans import overlap, statistics, study
 
-_ALL = overlap.QUERIES | statistics.QUERIES
+_ALL = overlap.QUERIES | statistics.QUERIES | study.QUERIES
 
 
 def queries():
