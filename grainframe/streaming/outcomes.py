@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def coalesce_outcomes(outcomes: DataFrame, revision: str = "outcome_revision", payload: str = "payload") -> DataFrame:
     """One row a revision. Equal copies count once; a revision with different payloads is withheld (``payload`` null)."""
     found = outcomes.groupBy(revision).agg(F.min(payload).alias("low_"), F.max(payload).alias("high_"), F.count("*").alias("copies"), F.count(payload).alias("given_"))
-    same = (F.col("low_") == F.col("high_")) & (F.col("given_") == F.col("copies"))
-    return found.select(revision, F.when(same, F.col("low_")).alias(payload), "copies", (~F.coalesce(same, F.col("given_") == 0)).alias("withheld"))
+    same = F.col("low_").eqNullSafe(F.col("high_")) & ((F.col("given_") == F.col("copies")) | (F.col("given_") == 0))
+    return found.select(revision, F.when(same, F.col("low_")).alias(payload), "copies", (~same).alias("withheld"))
 
 
 def windowed_counts(events: DataFrame, at: str = "ts", late: str = "1 hour", width: str = "1 day") -> DataFrame:
