@@ -2,7 +2,9 @@
 
 Base rules count words, symbols, repeated lines and repeated word windows of each whole text. The verdict compares a
 document's character-class histogram and its common-word histogram with references of each language, by Jensen-Shannon
-distance (base 2, so 0 to 1). References are built from all documents: one pass sums integer shares per language, so a
+distance (base 2, so 0 to 1). Most of a reference's words are the bin of all other words, so a text without any common word
+lies only 0.31 to 0.35 from it: the common-word test wants a text within ``MAX_WORD_DISTANCE`` of a reference and nearer to
+one than such a text. References are built from all documents: one pass sums integer shares per language, so a
 document counts once however long it is, and the sums don't depend on the order of tasks. Only the sums of
 ``len(LANGUAGES) * (classes + words)`` cells reach the driver. A second pass scores each document by itself; no row is
 shuffled.
@@ -10,7 +12,8 @@ shuffled.
 Defined results: a null or empty text has no words and all counts 0, and fails the base rule. A text below a test's
 minimum length isn't judged by that test (its distance is null). With no reference at all (empty table, or no document
 of a listed language) every distance is null and only the base rules decide. A null or unknown language adds to no
-reference; its documents are judged like all others, against the nearest reference. Repeated rows are judged alike.
+reference; its documents are judged like all others, against the nearest reference. A reference without any common word
+tells nothing about their lack; if all are so, only the distance counts. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -46,7 +49,8 @@ MAX_REPEAT_PERCENT = 30
 MIN_CHARS_CLASSES = 200
 MIN_WORDS_COMMON = 50
 MAX_CLASS_DISTANCE = 0.28
-MAX_WORD_DISTANCE = 0.42
+#: Below the distance of a text without common words from every reference of the test tables (0.306, es at sf0.001).
+MAX_WORD_DISTANCE = 0.30
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _ADDED = f"{', '.join(f'`{c}` bigint' for c in COUNTS)}, `class_distance` double, `word_distance` double, `base_failed` boolean, `kept` boolean"
@@ -137,6 +141,14 @@ def nearest_distance(seen: np.ndarray, references: list[np.ndarray]) -> np.ndarr
     return best
 
 
+def lacks_common_words(each: list[np.ndarray], references: list[np.ndarray]) -> np.ndarray:
+    """Whether texts at the distances ``each`` of ``references`` are nearer to none than a text without any common word."""
+    bare = np.zeros((1, len(common_words()) + 1), dtype=np.int64)
+    bare[0, -1] = 1
+    lacks = [d > limit - 1e-9 for d, limit in zip(each, (nearest_distance(bare, [r])[0] for r in references)) if limit > 1e-6]
+    return np.logical_and.reduce(lacks) if lacks else np.False_
+
+
 def _byte_counts(text: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
 
@@ -217,9 +229,10 @@ def quality_rules(
         words = np.array(words, dtype=np.int64).reshape(len(found), -1)
         n_words, repeated = np.array(counts[0], dtype=np.int64), np.array(counts[4], dtype=np.int64)
         far = np.where(classes.sum(axis=1) >= MIN_CHARS_CLASSES, nearest_distance(classes, by_class), np.nan)
-        odd = np.where(n_words >= MIN_WORDS_COMMON, nearest_distance(words, by_word), np.nan)
+        each = [np.where(n_words >= MIN_WORDS_COMMON, nearest_distance(words, [r]), np.nan) for r in by_word]
+        odd = np.fmin.reduce([np.full(len(found), np.nan), *each])
         failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n_words)
-        kept = ~failed & ~(far > max_class_distance) & ~(odd > max_word_distance)
+        kept = ~failed & ~(far > max_class_distance) & ~(odd > max_word_distance) & ~lacks_common_words(each, by_word)
         return [*(pa.array(c, pa.int64()) for c in counts), *(pa.array(x, pa.float64(), from_pandas=True) for x in (far, odd)), pa.array(failed), pa.array(kept)]
 
     names = [*COUNTS, "class_distance", "word_distance", "base_failed", "kept"]

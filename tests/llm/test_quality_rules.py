@@ -94,3 +94,25 @@ def test_most_labelled_good_documents_stay(spark):
     found = q.op4(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
     kept = {r["quality"]: (r["k"], r["n"]) for r in found.groupBy("quality").agg({"kept": "count"}).withColumnRenamed("count(kept)", "n").join(found.where("kept").groupBy("quality").count().withColumnRenamed("count", "k"), "quality", "left").fillna(0).collect()}
     assert kept[1][0] >= 0.95 * kept[1][1]
+
+
+def test_long_text_without_common_words_is_not_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    references = q.language_references(docs)
+    bare = " ".join(f"{a}{b}{c}" for a in ("gor", "mal", "tev", "sin") for b in ("da", "li", "po", "ru", "ne") for c in ("ck", "st", "rm", "nd"))
+    rows = [(1, bare.capitalize() + ".", "en"), (2, bare + " of", None), (3, " ".join(f"{w} {x}" if i % 4 == 0 else w for i, (w, x) in enumerate(zip(bare.split(), "the of and to in is that it for was".split() * 8))), "en")]
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in q.quality_rules(few, references=references).collect()}
+    assert not any(r["base_failed"] for r in found.values()) and all(r["class_distance"] < q.MAX_CLASS_DISTANCE for r in found.values())
+    assert [found[i]["kept"] for i in (1, 2, 3)] == [False, False, True]
+    # a reference with few common words lowers the limit with it
+    thin = [0] * len(q.common_words()) + [95]
+    thin[0] = 5
+    one = q.quality_rules(few, references={"en": (references["en"][0], thin)}, max_word_distance=0.42).where("doc_id = 1").first()
+    assert one["word_distance"] < 0.2 and not one["kept"]
+
+
+def test_few_labelled_bad_documents_stay(spark):
+    folder = "/root/testdata/sf0.01"
+    found = q.op4(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("quality = 0")
+    assert found.where("kept").count() <= 0.1 * found.count()
