@@ -4,7 +4,8 @@ Found values are checked before they are touched: card numbers by their Luhn dig
 range, dates by the calendar, telephone numbers and social security numbers by their form. A value's digits are permuted
 within their format by a keyed Feistel network: the same value gets the same pseudonym in every document, different values
 get different ones, and a pseudonym passes the same check. Mail addresses keep their domain and the class of each
-character of the local part; secrets assigned to a name (``token = "..."``) keep their length and alphabet.
+character of the local part. Secrets assigned to a name that holds a keyword (``aws_secret_access_key = "..."``) are taken
+whole, to their closing quote or to white space; they keep their length, and the class of each character.
 
 One map over the documents; nothing is shuffled. Texts without a digit are passed on as they are.
 
@@ -34,7 +35,7 @@ KEY = b"grainframe-pseudonyms"
 ROUNDS = 10
 
 FORMS = {
-    "secret": r"""(?<name>(?i:api[_-]?key|access[_-]?key|secret|token|password|passwd))(?<link>["']?[ ]*[:=][ ]*["']?)(?<value>[A-Za-z0-9_\-]{16,256})""",
+    "secret": r"""(?<name>(?i:api[_-]?key|access[_-]?key|secret|token|password|passwd)[A-Za-z0-9_\-]{0,256}+)(?<link>\\?["'`]?[ \t]*+(?::=|=>|={1,2}|:)[ \t]*+(?:(?i:bearer|basic)[ ]+)?)(?:(?<open>\\?["'`])(?:(?i:bearer|basic)[ ]+)?(?<quoted>(?:(?!(?P=open))(?:\\[^\n]|[^\\\n]))++)(?P=open)|\\?["'`]?(?<bare>[^\s"'`]++))""",
     "email": r"(?<local>[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63})@(?<domain>[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9\-]{1,63})+)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
@@ -46,6 +47,11 @@ FORMS = {
 _ANY = {kind: regex.compile(pattern) for kind, pattern in FORMS.items()}
 #: Cheap signs that a form can occur at all.
 _SIGNS = {"secret": regex.compile(r"(?i)key|secret|token|passw"), "email": regex.compile("@"), "iban": regex.compile(r"[A-Z]{2}[0-9]{2}")}
+#: Least characters of a secret: of a password, of any other with a digit, of any other.
+MIN_PASSWORD, MIN_WITH_DIGIT, MIN_SECRET = 4, 8, 16
+_PASSWORD = regex.compile("(?i)passw")
+#: Characters of a secret that one permutation moves; longer values are taken in blocks.
+BLOCK = 64
 _DIGIT = regex.compile("[0-9]")
 DATE_FROM, DATE_TO = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -98,7 +104,18 @@ class Pseudonyms:
         return str(new if new != int(digits) else self.feistel.permute(new, n, tweak + b"'")).zfill(len(digits)) if digits else digits
 
     def letters(self, text: str, tweak: bytes) -> str:
-        """Each character moves within its class (digits, small and capital letters); all others stay."""
+        """Each character moves within its class (digits, small and capital letters); all others stay.
+
+        Blocks after the first depend on all before them, so that distinct texts stay distinct and no block shows another.
+        """
+        out, before = [], hashlib.sha256()
+        for at in range(0, len(text), BLOCK):
+            block = text[at : at + BLOCK]
+            out.append(self._block(block, tweak + before.digest() if at else tweak))
+            before.update(block.encode("utf-8", "surrogatepass"))
+        return "".join(out)
+
+    def _block(self, text: str, tweak: bytes) -> str:
         kinds = [next((k for k in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in k), "") for c in text]
         n = value = 0
         size = 1
@@ -174,7 +191,10 @@ class Pseudonyms:
             return f"{at.year:04d}{mark}{at.month:02d}{mark}{at.day:02d}" if first else f"{at.day:02d}{mark}{at.month:02d}{mark}{at.year:04d}"
         if kind == "email":
             return self.letters(found["local"], b"email") + "@" + found["domain"]
-        return found["name"] + found["link"] + self.letters(found["value"], b"secret")
+        group = "quoted" if found["quoted"] is not None else "bare"
+        value = found[group]
+        least = MIN_PASSWORD if _PASSWORD.search(found["name"]) else MIN_WITH_DIGIT if _DIGIT.search(value) else MIN_SECRET
+        return text[: found.start(group)] + self.letters(value, b"secret") + text[found.end(group) :] if len(value) >= least else None
 
     @staticmethod
     def _areas(area: str) -> int:

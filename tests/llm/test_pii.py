@@ -61,3 +61,29 @@ def test_awkward_rows(spark):
 def test_query_returns_every_document(spark, small_dir):
     found = pii.op6(spark, small_dir)
     assert found.count() == spark.read.parquet(f"{small_dir}/documents.parquet").count()
+
+
+def test_secrets_are_taken_whole():
+    names = pii.Pseudonyms()
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY=="
+    long_one = "".join(f"{i:x}Kq" for i in range(2500))
+    for text, value in (
+        (f'token = "{jwt}"', jwt), (f"Authorization token: Bearer {jwt}\nmore", jwt), (f"aws_secret_access_key = {aws} end", aws), (f"secret_key: {aws}", aws),
+        (f"API_KEY_PROD='{long_one[:300]}'", long_one[:300]), (f'{{"token": "{long_one}"}}', long_one), ("db_password = hunter2, next", "hunter2"),
+        ("password: 'my dog\\'s name 7' x", "my dog\\'s name 7"), ('{\\"passwd\\": \\"s3cr3t\\"}', "s3cr3t"), ("client_secret=abc123def", "abc123def"),
+    ):
+        new, counts = names.apply(text)
+        at = text.index(value)
+        assert counts == {"secret": 1} and len(new) == len(text), text
+        assert new[:at] == text[:at] and new[at + len(value) + 1 :] == text[at + len(value) + 1 :], (text, new)
+        moved = [(a, b) for a, b in zip(value, new[at : at + len(value)]) if a.isalnum()]
+        assert all(b.isdigit() if a.isdigit() else b.islower() if a.islower() else b.isupper() for a, b in moved)
+        step = 64  # no part stays in clear
+        assert all(sum(a == b for a, b in moved[i : i + step]) < max(4, len(moved[i : i + step]) // 3) for i in range(0, len(moved), step)), (text, new)
+    for text in ("the secret: nothing", "token = None", 'token: ""', "a password is needed", "keys: one two"):
+        assert names.apply(text) == (text, {})
+    new, _ = names.apply(f'token = "Bearer {jwt}" and "more" text')
+    assert jwt.split(".")[1] not in new and new.startswith('token = "Bearer ') and new.endswith('" and "more" text')
+    a, b = (names.of("secret", f"token={long_one}{end}") for end in "xy")
+    assert a != b
