@@ -10,12 +10,15 @@ whole, to their closing quote or to white space; they keep their length, and the
 One map over the documents; nothing is shuffled. Texts without a digit are passed on as they are.
 
 Defined results: a null text stays null and an empty text stays empty, both with 0 values. Values that fail their check
-stay. Overlapping forms are taken left to right, in the order of ``FORMS`` at one place. Extra columns pass through; the
+stay. A card, IBAN or telephone number next to other digits is found by trying the ends, then the starts, that its groups
+admit: lengths known for its issuer or country first, then the longest that passes. A telephone number has no check digit, so
+where its country's lengths aren't known it takes as many groups as fit in 15 digits. Overlapping forms are taken left to right, in the order of ``FORMS`` at one place. Extra columns pass through; the
 columns made here replace others of their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import hmac
@@ -52,10 +55,24 @@ MIN_PASSWORD, MIN_WITH_DIGIT, MIN_SECRET = 4, 8, 16
 _PASSWORD = regex.compile("(?i)passw")
 #: Characters of a secret that one permutation moves; longer values are taken in blocks.
 BLOCK = 64
-_DIGIT = regex.compile("[0-9]")
+_DIGIT, _DIGITS, _WORDS = regex.compile("[0-9]"), regex.compile("[0-9]+"), regex.compile("[A-Z0-9]+")
 DATE_FROM, DATE_TO = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+#: Digits of cards by their first digits (the longest that fits counts).
+CARDS = {"4": (16, 13, 19), "34": (15,), "37": (15,), **{str(p): (16,) for p in range(51, 56)}, **{str(p): (16,) for p in range(2200, 2205)}, **{str(p): (16,) for p in range(2221, 2721)}}
+CARDS |= {"6011": (16, 19), "65": (16, 19), **{str(p): (16, 19) for p in range(644, 650)}, "35": (16,), **{str(p): (14, 16, 19) for p in (36, 38, 39)}, "30": (14, 16, 19), "62": (16, 17, 18, 19)}
+#: Characters of IBANs by country.
+_IBANS = "NO15 BE16 DK18 FI18 FO18 GL18 NL18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 AE23 IL23 IQ23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 PT26 IS26 TR26 FR27 GR27 IT27 MC27 MR27 SM27 AL28 AZ28 BY28 CY28 DO28 GT28 HU28 LB28 PL28 SV28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 MT31 SC31 LC32"
+IBANS = {x[:2]: int(x[2:]) for x in _IBANS.split()}
+#: Digits of telephone numbers after the country's code; only where they vary little.
+PHONES = {"1": (10,), "7": (10,), "31": (9,), "33": (9,), "34": (9,), "41": (9,), "44": (10,), "45": (8,), "47": (8,), "48": (9,), "52": (10,), "61": (9,), "91": (10,), "351": (9,), "420": (9,)}
+_GROUPS = regex.compile(r"(?<![0-9+])[0-9]+(?:[ \-][0-9]+)*")
+#: Fewest digits of each group of a card of a known issuer that is part of a longer run; groups of a card of any other.
+LEAST_GROUP = 3
+_SHAPE = regex.compile(r"1[3-9]|4(?: 4){2}(?: [1-4]){1,2}|4 6 [45]|6 (?:[7-9]|1[0-3])")
+
+
 class Feistel:
     """A keyed permutation of 0 .. n - 1: an alternating Feistel network on a x b >= n, walked until it lands below n."""
 
@@ -90,6 +107,16 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+def _masked(text: str, found: list[tuple]) -> str:
+    """``text`` with line ends in place of the values found."""
+    out, last = [], 0
+    for start, _, end, _, _ in sorted(found):
+        if end > last:
+            out += [text[last : max(last, start)], "\n" * (end - max(last, start))]
+            last = end
+    return "".join([*out, text[last:]])
+
+
 class Pseudonyms:
     """Pseudonym of each kind of value; ``None`` where the value fails its check."""
 
@@ -200,15 +227,75 @@ class Pseudonyms:
     def _areas(area: str) -> int:
         return int(area) - 1 - (int(area) > 666)
 
+    def _cards(self, text: str, known: bool) -> list[tuple[int, int, str]]:
+        """Cards within runs of groups of digits: of an issuer's first digits and lengths, or of usual groups."""
+        found = []
+        for run in _GROUPS.finditer(text):
+            if run.end() - run.start() < 13:
+                continue
+            groups = [(run.start() + g.start(), run.start() + g.end()) for g in _DIGITS.finditer(run[0])]
+            sizes = [b - a for a, b in groups]
+            i = 0
+            while i < len(groups):
+                ends, n, j = {}, 0, i
+                while j < len(groups) and (sizes[j] >= LEAST_GROUP or not known) and (n := n + sizes[j]) <= 19:
+                    j += 1
+                    if n >= 13 and (known or _SHAPE.fullmatch(" ".join(map(str, sizes[i:j])))):
+                        ends[n] = j
+                start, head = groups[i][0], text[groups[i][0] : groups[i][1]]
+                lengths = next((CARDS[head[:k]] for k in (4, 3, 2, 1) if head[:k] in CARDS), ()) if known else sorted(ends, reverse=True)
+                for n in lengths:
+                    if n in ends and (new := self.of("card", text[start : groups[ends[n] - 1][1]])) is not None:
+                        found.append((start, groups[ends[n] - 1][1], new))
+                        i = ends[n] - 1
+                        break
+                i += 1
+        return found
+
+    def _ends(self, kind: str, text: str, limit: int) -> list[str]:
+        """The beginnings of a candidate that its groups admit and that end by ``limit``, in the order to try."""
+        ends = [g.end() for g in _WORDS.finditer(text) if g.end() <= limit]
+        shorter = [x for x in (text[:e] for e in reversed(ends)) if _ANY[kind].fullmatch(x)]
+        if kind == "iban":
+            return sorted(shorter, key=lambda x: len(x.replace(" ", "")) != IBANS.get(x[:2]))
+        size = lambda x: sum("0" <= c <= "9" for c in x)
+        digits = "".join(c for c in text if "0" <= c <= "9")
+        lengths = [len(c) + n for c, many in PHONES.items() if text.startswith("+") and digits.startswith(c) for n in many]
+        return sorted(shorter, key=lambda x: size(x) not in lengths)
+
+    def _spans(self, kind: str, text: str, stops: list[int]) -> list[tuple[int, int, str]]:
+        """Values of a form that isn't bound to one length, none across one of the ``stops``: after a failure, later starts inside the candidate are tried."""
+        found, at = [], 0
+        while m := _ANY[kind].search(text, at):
+            k = bisect.bisect_right(stops, m.start())
+            limit = (stops[k] if k < len(stops) else m.end()) - m.start()
+            at = m.start() + 1
+            for value in self._ends(kind, m[0], limit):
+                if (new := self.of(kind, value)) is not None:
+                    found.append((m.start(), at := m.start() + len(value), new))
+                    break
+        return found
+
     def apply(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with its values replaced, and how many of each kind."""
         if not _DIGIT.search(text) and "@" not in text and not _SIGNS["secret"].search(text):
             return text, {}
-        found = []
+        found, order = [], list(_ANY)
+        add = lambda kind, spans: found.extend((a, order.index(kind), b, kind, new) for a, b, new in spans)
+        cards = self._cards(text, True)
+        add("card", cards)
         for at, (kind, pattern) in enumerate(_ANY.items()):
             if kind in _SIGNS and not _SIGNS[kind].search(text):
                 continue
-            for m in pattern.finditer(text):
+            if kind in ("iban", "phone"):
+                add(kind, self._spans(kind, text, [a for a, _, _ in cards] if kind == "phone" else []))
+                continue
+            rest = text
+            if kind == "card":
+                rest = _masked(text, found)
+                add(kind, self._cards(rest, False))
+                rest = _masked(text, found)
+            for m in pattern.finditer(rest):
                 new = self.of(kind, m[0])
                 if new is not None:
                     found.append((m.start(), at, m.end(), kind, new))

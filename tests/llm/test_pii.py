@@ -87,3 +87,21 @@ def test_secrets_are_taken_whole():
     assert jwt.split(".")[1] not in new and new.startswith('token = "Bearer ') and new.endswith('" and "more" text')
     a, b = (names.of("secret", f"token={long_one}{end}") for end in "xy")
     assert a != b
+
+
+def test_values_next_to_other_digits_are_found():
+    names = pii.Pseudonyms()
+    card, phone, iban = "4111 1111 1111 1111", "+1 (487) 555-7209", "ES91 2100 0418 4502 0005 1332"
+    uk = "+44 20 7946 0958"
+    for text, values in (
+        (f"{card} 12 items", {"card": card}), ("4111111111111111 123", {"card": "4111111111111111"}), (f"{card} 05/27", {"card": card}), (f"5 {card}", {"card": card}),
+        (f"3782 822463 10005 {card} 99", {"card": "3782 822463 10005"}), (f"{phone} {card}", {"phone": phone, "card": card}), (f"{phone} 1200", {"phone": phone}), (f"{uk} {card}", {"phone": uk, "card": card}),
+        (f"{uk} 1200", {"phone": uk}), (f"{iban} BIC", {"iban": iban}), (f"AB12 {iban} BICX SWIF", {"iban": iban}), (f"{iban}", {"iban": iban}), ("9999 9999 9999 9995 77", {"card": "9999 9999 9999 9995"}),
+    ):
+        new, counts = names.apply(text)
+        assert set(values) <= set(counts), (text, counts)
+        for kind, value in values.items():
+            assert names.of(kind, value) in new and value not in new, (text, new)
+    one, other = (names.apply(x)[0] for x in (f"{phone} 1200", f"{phone}"))
+    assert one == f"{other} 1200"
+    assert names.apply("+4915112345678")[1] == {"phone": 1}
