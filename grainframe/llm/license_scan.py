@@ -1,9 +1,12 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-A document's header is its lines that speak of a licence. Headers and templates become sparse vectors of words, weighted by
+A document's header is its lines that speak of a licence. Each sentence, line and paragraph of it is compared by itself with
+statements, and the whole text with full licence texts where it has their signs; copyright lines are left out. In short parts
+unknown words have no weight, but the licence must be named, and a version must agree. An SPDX tag counts as it stands,
+expressions included. Parts and templates become sparse vectors of words, weighted by
 count and inverse frequency among the templates; the dot products come from a join of header words with the words of the
 templates (a table of fixed size, broadcast), and only documents that have a header are exploded. A document whose text is
-mostly header is a licence file: its licence holds for its directory. Each directory takes the licence of its nearest
+mostly header, is a full licence text, or has the name of a licence file is one: its licence holds for its directory. Each directory takes the licence of its nearest
 ancestor that has one, itself included, by an equi-join of its ancestors' paths; documents without a licence of their own
 take that of their directory. Everything is DataFrame functions; texts are never shuffled.
 
@@ -18,11 +21,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainframe.llm.common import table
+from grainframe.llm.common import Workspace, table
 
 #: Statements by which licences are declared, under their SPDX names; further statements of one licence after a ``#``.
 TEMPLATES = {
@@ -38,11 +43,36 @@ TEMPLATES = {
     "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MIT#terms": "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy.",
+    "Apache-2.0#title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0#name": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-2.0": "This program is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0#notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0#notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+    "ISC": "Licensed under the ISC License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 HEADER = r"(?i)licen[sc]e|copyright|spdx-|permission is hereby granted"
 TOKEN = r"[^a-z0-9.\-]+"
 MIN_COSINE = 0.6
+#: A whole text must come so near to a full licence text.
+MIN_FULL = 0.8
+#: Parts of at most this many words give unknown words no weight, but must name the licence.
+SHORT = 40
+#: Characters of the longest paragraph compared, and of the longest text.
+MAX_PART, MAX_FULL = 4_000, 100_000
+NAMES = {"Apache": ["apache"], "BSD": ["bsd", "redistribution"], "CC": ["cc", "commons"], "AGPL": ["affero", "agpl"], "GPL": ["gnu", "gpl"], "LGPL": ["lesser", "lgpl"], "ISC": ["isc"], "MIT": ["mit", "hereby"], "MPL": ["mozilla", "mpl"]}
+VERSION = r"^v?[0-9](\.[0-9]+)*$"
+FULL_SIGN = r"(?i)permission is hereby granted|is hereby granted, provided|redistribution and use in source|terms and conditions|public license|cc0 1\.0|lesser general"
+FILE_NAME = r"(?i)(^|/)(un)?(licen[sc]e|copying)[^/]*$"
+SPDX = r"(?i:SPDX-License-Identifier):[ \t]*(\(*[A-Za-z0-9][A-Za-z0-9.+\-]*\)*(?:[ ]+(?:OR|AND|WITH)[ ]+\(*[A-Za-z0-9][A-Za-z0-9.+\-]*\)*)*)"
+COPYRIGHT_LINE = r"(?im)^[^a-z0-9\n]*(?:copyright\b|\(c\)|©)(?![^\n]*licen[sc]e)[^\n]*$|^[^a-z0-9\n]*all rights reserved[.]?[ \t]*$"
 #: A licence file is header for at least this share of its characters.
 FILE_SHARE = 0.5
 
@@ -63,28 +93,65 @@ def template_weights(templates: dict[str, str]) -> tuple[dict[str, float], list[
     return idf, rows, math.log(1 + len(templates)) + 1
 
 
-def header_words(lines: Column) -> Column:
-    trimmed = F.transform(F.split(F.lower(F.array_join(lines, " ")), TOKEN), lambda w: F.btrim(w, F.lit(".-")))
-    return F.filter(trimmed, lambda w: w != "")
+@lru_cache
+def full_texts() -> dict[str, str]:
+    """The licence texts of the folder ``licences``, without copyright lines."""
+    found = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in resources.files("grainframe.llm").joinpath("licences").iterdir() if f.name.endswith(".txt")}
+    return {name: re.sub(COPYRIGHT_LINE, "", text) for name, text in sorted(found.items())}
 
 
-def own_licences(docs: DataFrame, templates: dict[str, str] | None = None, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """``doc_id, path, licence, cosine, is_file`` of the documents (doc_id, path, text) whose header matches a template."""
-    spark = docs.sparkSession
-    idf, rows, unknown = template_weights(templates or TEMPLATES)
-    words = spark.createDataFrame([(w, n, weight, idf[w]) for w, n, weight in rows], "word string, licence string, weight double, idf double")
+def words_in(text: Column) -> Column:
+    return F.filter(F.transform(F.split(F.lower(text), TOKEN), lambda w: F.btrim(w, F.lit(".-"))), lambda w: w != "")
+
+
+def nearest_template(parts: DataFrame, templates: dict[str, str], short: int = 0) -> DataFrame:
+    """``doc_id, path, licence, cosine`` of the best pair of a document's parts (doc_id, path, part) and a template.
+
+    In parts of at most ``short`` words, words that no template has count only as versions, and a licence of ``NAMES`` must be named.
+    """
+    idf, rows, unknown = template_weights(templates)
+    words = parts.sparkSession.createDataFrame([(w, n, weight, idf[w]) for w, n, weight in rows], "word string, licence string, weight double, idf double")
     by_word = F.broadcast(words.groupBy("word").agg(F.first("idf").alias("idf"), F.map_from_entries(F.collect_list(F.struct("licence", "weight"))).alias("weights")))
+    signs = [(n, NAMES.get(n.split("-")[0], []), [w for w in dict.fromkeys(_words(t)) if re.search(VERSION, w)]) for n, t in templates.items()]
+    named = F.broadcast(parts.sparkSession.createDataFrame(signs, "licence string, names array<string>, versions array<string>"))
+    key = ["doc_id", "path", "id"]
+    split = parts.select("doc_id", "path", words_in(F.col("part")).alias("words")).withColumn("id", F.xxhash64("words")).dropDuplicates(key)
+    split = split.withColumn("brief", F.size("words") <= short).withColumn("said", F.when(F.col("brief"), F.array_distinct("words")))
+    counted = split.select(*key, "brief", "said", F.explode("words").alias("word")).groupBy(*key, "word").agg(F.count("*").alias("tf"), F.first("brief").alias("brief"), F.first("said").alias("said"))
+    left_out = F.col("brief") & ~F.col("word").rlike("[0-9]")
+    weighed = counted.join(by_word, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.when(left_out, 0.0).otherwise(unknown)))
+    norms = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.first("brief").alias("brief"), F.first("said").alias("said"), F.collect_list(F.when(F.col("weights").isNotNull(), F.struct("w", "weights"))).alias("known"))
+    products = norms.select(*key, "norm", "brief", "said", F.explode("known").alias("k")).select(*key, "norm", "brief", "said", "k.w", F.explode("k.weights").alias("licence", "weight"))
+    cosines = products.groupBy(*key, "licence").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("cosine"), F.first("brief").alias("brief"), F.first("said").alias("said"))
+    said_versions = F.filter("said", lambda w: w.rlike(VERSION))
+    agrees = (F.size("versions") == 0) | (F.size(said_versions) == 0) | F.arrays_overlap("versions", said_versions)
+    fits = ~F.col("brief") | (((F.size("names") == 0) | F.arrays_overlap("names", "said")) & agrees)
+    cosines = cosines.join(named, "licence").where(fits).withColumn("cosine", F.round("cosine", 9)).withColumn("licence", F.split_part("licence", F.lit("#"), F.lit(1)))
+    return cosines.groupBy("doc_id", "path").agg(F.max("cosine").alias("cosine"), F.min_by("licence", F.struct(-F.col("cosine"), F.col("licence"))).alias("licence"))
+
+
+def own_licences(docs: DataFrame, templates: dict[str, str] | None = None, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """``doc_id, path, licence, cosine, is_file`` of the documents (doc_id, path, text) that declare a licence.
+
+    An SPDX tag comes first, then a full text, then the best statement.
+    """
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(HEADER))
-    headed = docs.where(F.col("text").rlike(HEADER)).select("doc_id", "path", lines.alias("lines"), F.length("text").alias("n"))
-    headed = headed.withColumn("is_file", F.length(F.array_join("lines", "\n")) >= FILE_SHARE * F.col("n"))
-    counted = headed.select("doc_id", "path", "is_file", F.explode(header_words(F.col("lines"))).alias("word")).groupBy("doc_id", "path", "is_file", "word").agg(F.count("*").alias("tf"))
-    weighed = counted.join(by_word, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    norms = weighed.groupBy("doc_id", "path", "is_file").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("weights").isNotNull(), F.struct("w", "weights"))).alias("known"))
-    products = norms.select("doc_id", "path", "is_file", "norm", F.explode("known").alias("k")).select("doc_id", "path", "is_file", "norm", "k.w", F.explode("k.weights").alias("licence", "weight"))
-    cosines = products.groupBy("doc_id", "path", "is_file", "norm", "licence").agg((F.sum(F.col("w") * F.col("weight"))).alias("dot")).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
-    cosines = cosines.withColumn("licence", F.split_part("licence", F.lit("#"), F.lit(1)))
-    best = cosines.groupBy("doc_id", "path").agg(F.max("is_file").alias("is_file"), F.max("cosine").alias("cosine"), F.min_by("licence", F.struct(-F.col("cosine"), F.col("licence"))).alias("licence"))
-    return best.where(F.col("cosine") >= min_cosine).select("doc_id", "path", "licence", "cosine", "is_file")
+    headed = docs.where(F.col("text").rlike(HEADER) | F.col("text").rlike(FULL_SIGN)).withColumn("bare", F.regexp_replace("text", COPYRIGHT_LINE, ""))
+    bare_lines = F.filter(F.split("bare", "\n"), lambda x: x.rlike(HEADER))
+    sentences = F.flatten(F.transform(bare_lines, lambda x: F.split(x, r"(?<=[A-Za-z0-9)\"'][.;:])\s+(?=[A-Z(])")))
+    paragraphs = F.filter(F.split("bare", r"\n(?:[^A-Za-z0-9\n]*\n)+"), lambda x: x.rlike(HEADER) & (F.length(x) <= MAX_PART))
+    parts = headed.select("doc_id", "path", F.explode(F.array_distinct(F.concat(bare_lines, F.filter(sentences, lambda x: x.rlike(HEADER)), paragraphs))).alias("part"))
+    stated = nearest_template(parts, templates or TEMPLATES, SHORT).where(F.col("cosine") >= min_cosine)
+    whole = headed.where(F.col("text").rlike(FULL_SIGN) & (F.length("text") <= MAX_FULL)).select("doc_id", "path", F.col("bare").alias("part"))
+    full = nearest_template(whole, full_texts()).where(F.col("cosine") >= MIN_FULL)
+    tagged = headed.select("doc_id", "path", F.regexp_extract("text", SPDX, 1).alias("licence")).where("licence <> ''").select("doc_id", "path", F.lit(1.0).alias("cosine"), "licence")
+    found = [t.withColumn("rank", F.lit(i)) for i, t in enumerate((tagged, full, stated))]
+    found = found[0].unionByName(found[1]).unionByName(found[2])
+    best = found.groupBy("doc_id", "path").agg(F.min_by(F.struct("licence", "cosine"), F.struct("rank", "licence")).alias("b"), F.min(F.when(F.col("rank") == 1, 0)).alias("full"))
+    is_file = (F.length(F.array_join(lines, "\n")) >= FILE_SHARE * F.length("text")) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    shares = headed.select(F.col("doc_id").alias("i"), F.col("path").alias("p"), is_file.alias("is_file")).groupBy("i", "p").agg(F.max("is_file").alias("is_file"))
+    joined = best.join(shares, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")))
+    return joined.select("doc_id", "path", "b.licence", "b.cosine", (F.col("is_file") | F.col("full").isNotNull()).alias("is_file"))
 
 
 def directory_of(path: Column) -> Column:
@@ -104,7 +171,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, min_c
 
     ``origin`` is ``header``, ``file``, ``inherited`` or ``none``.
     """
-    own = own_licences(docs.select("doc_id", "path", "text"), templates, min_cosine)
+    own = Workspace(docs.sparkSession, "licences").save(own_licences(docs.select("doc_id", "path", "text"), templates, min_cosine), "own")
     files = own.where("is_file AND path IS NOT NULL").withColumn("dir", directory_of(F.col("path")))
     licensed = files.groupBy("dir").agg(F.min_by("licence", F.struct(-F.col("cosine"), F.col("licence"))).alias("licence"))
     rows = docs.select("doc_id", "path").withColumn("dir", directory_of(F.col("path")))

@@ -107,3 +107,22 @@ def test_pipeline_takes_awkward_and_no_rows(spark, tmp_path):
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in entries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
     assert SCHEMA and quality_rules
+
+
+def test_ordinary_declarations_are_found(spark):
+    full = license_scan.full_texts()
+    owner, ten = "Copyright (c) 2020 Jane Example", "and here are ten more words that follow on its line"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\n#\n\nimport os\n"
+    rows = [
+        ("a/s.py", "# SPDX-License-Identifier: MIT\nx = 1\n" * 1 + "y = 2\n" * 40, "MIT"), ("a/t.c", "/* SPDX-License-Identifier: (Apache-2.0 OR MIT) */\n" + "int x;\n" * 40, "(Apache-2.0 OR MIT)"),
+        ("b/x.py", f"{owner}\nReleased under the MIT License.\n" + "y = 2\n" * 90, "MIT"), ("b/y.py", f"# {owner}. All rights reserved.\n# Licensed under the Apache License, Version 2.0.\n" + "y = 2\n" * 90, "Apache-2.0"),
+        ("b/z.py", f"Released under the MIT License {ten}.\n" + "y = 2\n" * 90, "MIT"), ("b/w.py", f"Licensed under the Apache License, Version 2.0. Here {ten}.\n" + "y = 2\n" * 90, "Apache-2.0"),
+        ("c/g3.py", gpl.format(3) + "y = 2\n" * 90, "GPL-3.0"), ("c/g2.py", gpl.format(2) + "y = 2\n" * 90, "GPL-2.0"),
+        ("d/p.txt", "The driver's license of a friend at MIT expired long ago.\n" + "Some prose.\n" * 40, None), ("d/q.txt", "Licensed under the licence of its maker.\n" + "Some prose.\n" * 40, None),
+        ("d/cc.txt", "Licensed under CC BY 3.0.\n" + "Some prose.\n" * 40, None), ("d/void.txt", None, None),
+    ]
+    rows += [(f"{name}/LICENSE", f"{owner}\n\n{text}", name) for name, text in full.items()] + [(f"{name}/sub/code.py", "x = 1", name) for name in full]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    found = {r["path"]: (r["licence"], r["origin"]) for r in license_scan.license_scan(docs).collect()}
+    assert {p: found[p][0] for p, _, _ in rows} == {p: name for p, _, name in rows}
+    assert all(found[f"{n}/LICENSE"][1] == "file" and found[f"{n}/sub/code.py"][1] == "inherited" for n in full)
