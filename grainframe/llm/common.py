@@ -45,6 +45,13 @@ class Workspace:
         frame.write.parquet(self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
+    def append(self, frame: DataFrame, name: str) -> None:
+        """Adds rows to a table that ``read`` gives back whole, so that many steps leave one short plan."""
+        frame.write.mode("append").parquet(self.path(name))
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))

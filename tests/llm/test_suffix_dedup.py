@@ -46,7 +46,7 @@ def test_awkward_rows(spark):
 
 
 @pytest.mark.parametrize("max_group", [2, 512])
-def test_small_lengths_and_split_groups(spark, max_group):
+def test_small_lengths_and_extended_groups(spark, max_group):
     rng = random.Random(5)
     common = "".join(rng.choice("abcd") for _ in range(80))
     rows = []
@@ -57,3 +57,26 @@ def test_small_lengths_and_split_groups(spark, max_group):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = suffix_dedup.suffix_dedup(docs, length=24, anchor=8, max_group=max_group)
     assert digests(found) == brute(rows, 24)
+
+
+def test_groups_beyond_a_task(spark):
+    """Passages in more documents than one suffix sort takes: cut short on either side, at document ends, and in copies."""
+    rng = random.Random(9)
+    common = "".join(rng.choice("abcd") for _ in range(90))
+    rows = []
+    for i in range(3 * suffix_dedup.MAX_GROUP):
+        own = lambda n: "".join(rng.choice("abc") for _ in range(n))
+        lo, hi = rng.randrange(12), 90 - rng.randrange(12)
+        rows.append((i, own(rng.randrange(12)) + common[lo:hi] + own(rng.randrange(12))))
+    rows += [(None, common + "xyz")] * 3 + [(7, common[::-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert digests(suffix_dedup.suffix_dedup(docs, length=60, anchor=30)) == brute(rows, 60)
+
+
+def test_long_texts_go_by_pieces():
+    import numpy as np
+
+    data = np.frombuffer(random.Random(3).randbytes(5000), dtype=np.uint8)
+    whole = suffix_dedup.anchors(data, np.array([0]), np.array([5000]), 40, 20)
+    pieces = suffix_dedup.long_anchors(data, 40, 20, 700)
+    assert all((a == b).all() for a, b in zip(whole, pieces))
