@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,35 +18,47 @@ def linear_to_srgb(v: Column) -> Column:
     return F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055)
 
 
-def delta_e_2000(l1: Column, a1: Column, b1: Column, l2: Column, a2: Column, b2: Column) -> Column:
-    """CIEDE2000 colour difference (the published formula, unit weights)."""
-    rad, deg = F.radians, F.degrees
-    c_mean = (F.hypot(a1, b1) + F.hypot(a2, b2)) / 2
-    c7 = F.pow(c_mean, F.lit(7.0))
-    g = 0.5 * (1 - F.sqrt(c7 / (c7 + 25.0**7)))
-    a1, a2 = a1 * (1 + g), a2 * (1 + g)
-    c1, c2 = F.hypot(a1, b1), F.hypot(a2, b2)
+def lab_of(b: Column, g: Column, r: Column) -> dict[str, Column]:
+    """8-bit ``L, a, b`` (each 0 to 255) of a colour of 0 to 255 a channel: sRGB, D65, lightness times 2.55, offsets of 128."""
+    red, green, blue = (srgb_to_linear(c / 255.0) for c in (r, g, b))
+    x = (0.4124564 * red + 0.3575761 * green + 0.1804375 * blue) / 0.95047
+    y = 0.2126729 * red + 0.7151522 * green + 0.0721750 * blue
+    z = (0.0193339 * red + 0.1191920 * green + 0.9503041 * blue) / 1.08883
+    fx, fy, fz = (F.when(v > 216 / 24389, F.cbrt(v)).otherwise((24389 / 27 * v + 16) / 116) for v in (x, y, z))
+    bound = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(255.0), c))
+    return {"L": bound((116 * fy - 16) * 2.55), "a": bound(500 * (fx - fy) + 128), "b": bound(200 * (fy - fz) + 128)}
 
-    def hue(a: Column, b: Column) -> Column:
-        h = deg(F.atan2(b, a))
-        return F.when((a == 0) & (b == 0), 0.0).when(h < 0, h + 360).otherwise(h)
 
-    h1, h2 = hue(a1, b1), hue(a2, b2)
-    gray_one = c1 * c2 == 0
-    turn = h2 - h1
+def with_delta_e_2000(rows: DataFrame, name: str, first: tuple[Column, Column, Column], second: tuple[Column, Column, Column]) -> DataFrame:
+    """``rows`` with the CIEDE2000 colour difference of two Lab colours (the published formula, unit weights).
+
+    It is made in steps whose values later steps use several times, so that none is written out again in the next.
+    """
+    rad = F.radians
+    held = rows.withColumns({f"{n}{i}__": c.cast("double") for i, lab in ((1, first), (2, second)) for n, c in zip(("l", "a", "b"), lab)})
+    held = held.withColumn("c7__", F.pow((F.hypot("a1__", "b1__") + F.hypot("a2__", "b2__")) / 2, F.lit(7.0)))
+    held = held.withColumn("g__", 1.5 - 0.5 * F.sqrt(F.col("c7__") / (F.col("c7__") + 25.0**7)))
+    held = held.withColumns({"a1__": F.col("a1__") * F.col("g__"), "a2__": F.col("a2__") * F.col("g__")})
+    held = held.withColumns({"c1__": F.hypot("a1__", "b1__"), "c2__": F.hypot("a2__", "b2__"), "p1__": F.degrees(F.atan2("b1__", "a1__")), "p2__": F.degrees(F.atan2("b2__", "a2__"))})
+    hue = lambda i: F.when((F.col(f"a{i}__") == 0) & (F.col(f"b{i}__") == 0), 0.0).when(F.col(f"p{i}__") < 0, F.col(f"p{i}__") + 360).otherwise(F.col(f"p{i}__"))
+    held = held.withColumns({"h1__": hue(1), "h2__": hue(2), "gray__": F.col("c1__") * F.col("c2__") == 0})
+    held = held.withColumns({"turn__": F.col("h2__") - F.col("h1__"), "both__": F.col("h1__") + F.col("h2__"), "cc__": (F.col("c1__") + F.col("c2__")) / 2, "l50__": F.pow((F.col("l1__") + F.col("l2__")) / 2 - 50, F.lit(2.0))})
+    turn, both, gray_one = F.col("turn__"), F.col("both__"), F.col("gray__")
     dh = F.when(gray_one, 0.0).when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
-    big_dh = 2 * F.sqrt(c1 * c2) * F.sin(rad(dh / 2))
-    both = h1 + h2
-    h_mean = F.when(gray_one, both).when(F.abs(turn) <= 180, both / 2).when(both < 360, (both + 360) / 2).otherwise((both - 360) / 2)
-    l_mean, cc = (l1 + l2) / 2, (c1 + c2) / 2
-    t = 1 - 0.17 * F.cos(rad(h_mean - 30)) + 0.24 * F.cos(rad(2 * h_mean)) + 0.32 * F.cos(rad(3 * h_mean + 6)) - 0.20 * F.cos(rad(4 * h_mean - 63))
-    cc7 = F.pow(cc, F.lit(7.0))
-    turn_term = -F.sin(rad(60 * F.exp(-F.pow((h_mean - 275) / 25, F.lit(2.0))))) * 2 * F.sqrt(cc7 / (cc7 + 25.0**7))
-    l50 = F.pow(l_mean - 50, F.lit(2.0))
-    dl = (l2 - l1) / (1 + 0.015 * l50 / F.sqrt(20 + l50))
-    dc = (c2 - c1) / (1 + 0.045 * cc)
-    dhh = big_dh / (1 + 0.015 * cc * t)
-    return F.sqrt(dl * dl + dc * dc + dhh * dhh + turn_term * dc * dhh)
+    mean = F.when(gray_one, both).when(F.abs(turn) <= 180, both / 2).when(both < 360, (both + 360) / 2).otherwise((both - 360) / 2)
+    held = held.withColumns({"hm__": mean, "bh__": 2 * F.sqrt(F.col("c1__") * F.col("c2__")) * F.sin(rad(dh / 2)), "cc7__": F.pow("cc__", F.lit(7.0))})
+    h = F.col("hm__")
+    t = 1 - 0.17 * F.cos(rad(h - 30)) + 0.24 * F.cos(rad(2 * h)) + 0.32 * F.cos(rad(3 * h + 6)) - 0.20 * F.cos(rad(4 * h - 63))
+    turned = -F.sin(rad(60 * F.exp(-F.pow((h - 275) / 25, F.lit(2.0))))) * 2 * F.sqrt(F.col("cc7__") / (F.col("cc7__") + 25.0**7))
+    held = held.withColumns({
+        "dl__": (F.col("l2__") - F.col("l1__")) / (1 + 0.015 * F.col("l50__") / F.sqrt(20 + F.col("l50__"))),
+        "dc__": (F.col("c2__") - F.col("c1__")) / (1 + 0.045 * F.col("cc__")),
+        "dd__": F.col("bh__") / (1 + 0.015 * F.col("cc__") * t),
+        "rt__": turned,
+    })
+    dl, dc, dd = F.col("dl__"), F.col("dc__"), F.col("dd__")
+    made = [c for c in held.columns if c.endswith("__") and c not in rows.columns]
+    return held.withColumn(name, F.sqrt(dl * dl + dc * dc + dd * dd + F.col("rt__") * dc * dd)).drop(*made)
 
 
 def material_masses(seed: Column, background: Column, other: Column, temperature: float = 1.0) -> dict[str, Column]:
@@ -61,13 +73,104 @@ def material_masses(seed: Column, background: Column, other: Column, temperature
     return {k: F.when(total > 0, v / total).otherwise(1.0 if k == "unknown" else 0.0) for k, v in raw.items()}
 
 
-def weighted_support(supports: list[Column], weights: list[float]) -> Column:
-    """Weighted mean of the supports that are there; null if none is."""
-    total = sum((F.when(s.isNotNull(), w).otherwise(0.0) for s, w in zip(supports, weights)), F.lit(0.0))
-    value = sum((F.coalesce(s, F.lit(0.0)) * w for s, w in zip(supports, weights)), F.lit(0.0))
+def weighted_support(supports: list[Column], weights: list[float], authorities: list[Column] | None = None) -> Column:
+    """Weighted mean of the supports that are there, each times its authority (0 to 1); null if none is.
+
+    An authority below 1 takes support away without giving it to others. Supports without weight don't count.
+    """
+    authorities = authorities or [F.lit(1.0)] * len(supports)
+    held = [(s, w, F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))) for s, w, a in zip(supports, weights, authorities) if w > 0]
+    total = sum((F.when(s.isNotNull(), w).otherwise(0.0) for s, w, _ in held), F.lit(0.0))
+    value = sum((F.coalesce(s * a, F.lit(0.0)) * w for s, w, a in held), F.lit(0.0))
     return F.try_divide(value, F.nullif(total, F.lit(0.0)))
 
 
+def conditional_masses(seed: Column, background: Column, other: Column) -> dict[str, Column]:
+    """Masses of background, other, both and neither among what is not seed; they sum to 1 less ``seed``."""
+    raw = {"background": background * (1 - other), "other": other * (1 - background), "both": 2 * background * other, "neither": (1 - background) * (1 - other)}
+    total = raw["background"] + raw["other"] + raw["both"] + raw["neither"]
+    return {k: (1 - seed) * F.when(total > 0, v / total).otherwise(1.0 if k == "neither" else 0.0) for k, v in raw.items()}
+
+
+def class_masses(scores: dict[str, Column], contrast: float, unknown: float = 0.08) -> dict[str, Column]:
+    """Masses of competing classes: relative scores to the power of ``contrast``, times how known the strongest is.
+
+    The strongest score s leaves unknown / (s + unknown) to none of them. Nothing with fewer than two classes.
+    """
+    if len(scores) < 2:
+        return {}
+    held = {k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) for k, v in scores.items()}
+    raised = {k: F.pow(F.greatest(v, F.lit(2.0**-23)), F.lit(float(contrast))) for k, v in held.items()}
+    total = sum(list(raised.values())[1:], list(raised.values())[0])
+    top = F.greatest(*held.values())
+    return {k: v / total * (top / (top + unknown)) for k, v in raised.items()}
+
+
+def mode_membership(values: list[Column], centre: list[float], scale: list[float], weights: list[float]) -> Column:
+    """Gaussian membership of a colour in a mode: exp of minus half the weighted squared scaled distance."""
+    parts = [w * F.pow((v - c) / s, F.lit(2.0)) for v, c, s, w in zip(values, centre, scale, weights)]
+    return F.exp(-0.5 * sum(parts[1:], parts[0]))
+
+
+def extension_pressure(distance: Column, half_life: float) -> Column:
+    """Halves with each ``half_life`` of distance."""
+    return F.pow(F.lit(2.0), -distance / half_life)
+
+
+#: Limits of candidates: the first rule that fails gives the reason, in this order.
+CANDIDATE_RULES = (
+    ("instance_below_minimum_area", "area", "<"), ("instance_above_maximum_area", "area", ">"), ("instance_above_maximum_concavity", "concavity", ">"),
+    ("instance_above_maximum_protrusion", "protrusion", ">"), ("instance_below_minimum_solidity", "solidity", "<"),
+    ("instance_above_maximum_axis_ratio", "axis_ratio", ">"), ("instance_above_hard_maximum_width", "width_fraction", ">"),
+)
+
+
+def candidate_reason(limits: dict[str, float]) -> Column:
+    """Why a candidate (area, concavity, protrusion, solidity, axis_ratio, width_fraction) is refused; null if it isn't."""
+    return first_reason([(reason, F.col(c) < limits[reason] if side == "<" else F.col(c) > limits[reason]) for reason, c, side in CANDIDATE_RULES])
+
+
+def shape_compatibility(values: list[Column], expected: list[float], variances: list[float], floors: list[float]) -> Column:
+    """exp(-d / 2), d the mean squared distance from what is expected by variance (``floors`` at least), 40 at most."""
+    parts = [F.pow(v - e, F.lit(2.0)) / max(var, f * f) for v, e, var, f in zip(values, expected, variances, floors)]
+    return F.exp(-0.5 * F.least(sum(parts[1:], parts[0]) / len(parts), F.lit(40.0)))
+
+
+def candidate_score(marker: Column, boundary: Column, area: Column, expected_area: Column, soft_minimum: Column, width: Column, concavity: Column, protrusion: Column, compatibility: Column, limits: dict[str, float], soft_width: float, annotated: Column) -> Column:
+    """Score of a candidate, 0 to 1: evidence by marker, boundary and area, less penalties; 1 where annotated."""
+    confidence = F.exp(-0.5 * F.pow(F.log(F.greatest(area / expected_area, F.lit(1e-4))) / 0.58, F.lit(2.0)))
+    hard = limits["instance_above_hard_maximum_width"]
+    narrow = F.when(width <= soft_width, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (width - soft_width) / max(1e-6, hard - soft_width)))
+    low = lambda v, reason: F.greatest(F.lit(0.0), 1 - v / max(1e-6, limits[reason]))
+    shape = F.pow(low(concavity, "instance_above_maximum_concavity") * low(protrusion, "instance_above_maximum_protrusion"), F.lit(0.25))
+    score = (0.42 * marker + 0.36 * boundary + 0.22 * confidence) * F.least(F.lit(1.0), area / F.greatest(F.lit(1.0), soft_minimum)) * narrow * shape * (0.65 + 0.35 * compatibility)
+    return F.when(annotated, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+
+def scale_bar_length(pixels_per_mm: Column, width: Column) -> Column:
+    """The length of 1, 2, 5 or 10 times a power of ten that is nearest to 12 % of the width; 10 without a scale."""
+    target = width * 0.12 / pixels_per_mm
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(target, F.lit(0.1)))))
+    best = F.array_min(F.transform(F.array(*(F.lit(x) for x in (1.0, 2.0, 5.0, 10.0))), lambda m: F.struct(F.abs(m * power - target).alias("off"), (m * power).alias("length"))))
+    return F.when(pixels_per_mm > 0, best["length"]).otherwise(10.0)
+
+
+def candidate_steps(current: Column, step: Column, low: Column, high: Column, pass_number: Column, whole: Column) -> Column:
+    """Array of the values to try on either side of a setting: a step of 20 % or ``step``, halved with each pass, within limits.
+
+    Whole-number settings move by one at least. The current value itself is left out.
+    """
+    size = F.greatest(step, F.abs(current) * 0.2) * F.pow(F.lit(0.5), pass_number)
+
+    def side(way: int) -> Column:
+        value = F.greatest(low, F.least(high, current + way * size))
+        rounded = F.bround(value)
+        by_one = F.greatest(low, F.least(high, current + way))
+        return F.when(whole, F.when(rounded == current, by_one).otherwise(rounded)).otherwise(value)
+
+    return F.filter(F.array_distinct(F.array(side(-1), side(1))), lambda v: v != current)
+
+
 def overreach(distance: Column, scale: float) -> Column:
     """Cost of reaching too far: doubles with each ``scale``, up to eight times."""
     return F.pow(F.lit(2.0), F.least(distance / scale, F.lit(8.0))) - 1
@@ -78,28 +181,20 @@ def half_life_authority(reviewed: Column, area: Column, floor: float, half_life:
     return F.when(reviewed <= 0, 1.0).otherwise(floor + (1 - floor) * F.pow(F.lit(2.0), -(reviewed / F.greatest(F.lit(1.0), area)) / max(0.05, half_life)))
 
 
-def squared_distance(x: Column, y: Column) -> Column:
-    """Sum of squared differences of two arrays of equal length."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+def _turned(points: Column) -> Column:
+    return F.concat(F.slice(points, 2, F.size(points) - 1), F.slice(points, 1, 1))
 
 
-def softmax(logits: Column) -> Column:
-    """Softmax of an array, from the differences to its maximum."""
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda v: F.exp(v - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(powers, lambda v: v / total)
-
-
-def entropy(probabilities: Column) -> Column:
-    return F.aggregate(probabilities, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log(p)).otherwise(0.0))
+def shoelace(points: Column) -> Column:
+    """Area of a polygon from an array of ``struct<x, y>``; 0 for fewer than three points."""
+    crossed = F.zip_with(points, _turned(points), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    return F.when(F.size(points) < 3, 0.0).otherwise(F.abs(F.aggregate(crossed, F.lit(0.0), lambda s, v: s + v)) / 2)
 
 
-def shoelace(points: Column) -> Column:
-    """Area of a polygon from an array of ``struct<x, y>``."""
-    turned = F.concat(F.slice(points, 2, F.size(points) - 1), F.slice(points, 1, 1))
-    crossed = F.zip_with(points, turned, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
-    return F.abs(F.aggregate(crossed, F.lit(0.0), lambda s, v: s + v)) / 2
+def perimeter(points: Column) -> Column:
+    """Length around a polygon, back to its first point; 0 for a single point."""
+    steps = F.zip_with(points, _turned(points), lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))
+    return F.when(F.size(points) < 2, 0.0).otherwise(F.aggregate(steps, F.lit(0.0), lambda s, v: s + v))
 
 
 def inside_convex(x: Column, y: Column, points: list[tuple[float, float]]) -> Column:

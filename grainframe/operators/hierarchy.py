@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainframe.operators.ordered import _join_nulls
+from grainframe.operators.ordered import join_nulls
+from grainframe.sources.workspace import Workspace
 
 PRIOR = 5
 
@@ -17,7 +18,7 @@ def source_balanced(rows: DataFrame, group: str, source: str, weight: str) -> Da
     """``rows`` with ``balanced``: within a group every source weighs the same, and all together 1."""
     sums = rows.groupBy(group, source).agg(F.sum(weight).alias("source_weight_"))
     sources = sums.groupBy(group).agg(F.count_distinct(source).alias("sources_"))
-    joined = _join_nulls(_join_nulls(rows, sums, [group, source]), sources, [group])
+    joined = join_nulls(join_nulls(rows, sums, [group, source]), sources, [group])
     return joined.withColumn("balanced", F.try_divide(F.try_divide(F.col(weight).cast("double"), F.col("source_weight_").cast("double")), F.col("sources_").cast("double"))).drop("source_weight_", "sources_")
 
 
@@ -26,7 +27,7 @@ def balance_error(rows: DataFrame, group: str, source: str, weight: str) -> Data
     sums = rows.groupBy(group, source).agg(F.sum(weight).alias("w"))
     totals = sums.groupBy(group).agg(F.sum("w").alias("total"), F.count("*").alias("sources"))
     share = F.try_divide(F.col("w").cast("double"), F.col("total").cast("double"))
-    return _join_nulls(sums, totals, [group]).groupBy(group, "sources").agg(F.max(share).alias("largest"), F.max(F.abs(share - 1.0 / F.col("sources"))).alias("error"))
+    return join_nulls(sums, totals, [group]).groupBy(group, "sources").agg(F.max(share).alias("largest"), F.max(F.abs(share - 1.0 / F.col("sources"))).alias("error"))
 
 
 def strata(rows: DataFrame, fields: dict[str, str], measures: dict[str, Column]) -> DataFrame:
@@ -41,23 +42,24 @@ def strata(rows: DataFrame, fields: dict[str, str], measures: dict[str, Column])
 def shrunk_rollup(rows: DataFrame, levels: list[str], value: str, prior: int = PRIOR) -> DataFrame:
     """``depth, levels, n, mean, sd, shrunk`` of every prefix of the levels; a mean shrinks to its parent's by ``prior`` rows.
 
-    Means and variances merge from the sums of the lowest level, so the rows are read once.
+    Means and variances merge from the sums of the lowest level, which are written once; the rows are read once.
     """
     base = rows.groupBy(*levels).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.avg(value).alias("mean"), F.var_pop(value).alias("v"))
+    base = Workspace(rows.sparkSession, "rollup").save(base, "base")
     out, parent = None, None
     for depth in range(len(levels) + 1):
         keys = levels[:depth]
         means = base.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"))
         # the spread around the group's own mean, not a difference of large squares
         around = base.select(*levels, F.col("n").alias("n_"), F.col("mean").alias("mean_"), "v")
-        around = _join_nulls(around, means, keys) if keys else around.crossJoin(F.broadcast(means))
+        around = join_nulls(around, means, keys)
         level = around.groupBy(*keys, "n", "mean").agg(F.sum(F.col("n_") * (F.col("v") + F.pow(F.col("mean_") - F.col("mean"), 2))).alias("squares"))
         level = level.select(*keys, "n", "mean", F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1))).alias("sd"))
         if parent is None:
             level = level.withColumn("shrunk", F.col("mean"))
         else:
             above = parent.select(*keys[:-1], F.col("shrunk").alias("above"))
-            level = _join_nulls(level, above, keys[:-1]) if keys[:-1] else level.crossJoin(F.broadcast(above))
+            level = join_nulls(level, above, keys[:-1])
             level = level.withColumn("shrunk", (F.col("n") * F.col("mean") + prior * F.col("above")) / (F.col("n") + prior)).drop("above")
         parent = level
         row = level.select(F.lit(depth).alias("depth"), *(F.col(c) if c in keys else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in levels), "n", "mean", "sd", "shrunk")

@@ -1,11 +1,12 @@
-"""Robust statistics, calibration curves and thresholds. Long orders go by cells (``ordered``), never through one task."""
+"""Robust statistics, calibration curves and thresholds. Long orders go by ranges (``ordered``), never through one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainframe.operators.ordered import _join_nulls, lower_quantile, running_sums
+from grainframe.operators.ordered import counted_quantiles, join_nulls, running_sums, value_counts
+from grainframe.sources.workspace import Workspace
 
 MAD_TO_SD = 1.4826
 
@@ -15,11 +16,16 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def robust_scale(frame: DataFrame, keys: list[str], value: str, floor: float) -> DataFrame:
-    """``keys, centre, scale``: lower median, and the lower median of distances from it times 1.4826, ``floor`` at least."""
-    centre = lower_quantile(frame, keys, value, 0.5, "centre")
-    away = _join_nulls(frame.select(*keys, value), centre, keys).withColumn("away", F.abs(F.col(value) - F.col("centre")))
-    mad = lower_quantile(away, keys, "away", 0.5, "mad")
-    return _join_nulls(centre, mad, keys).select(*keys, "centre", F.greatest(F.lit(floor), MAD_TO_SD * F.col("mad")).alias("scale"))
+    """``keys, centre, scale``: lower median, and the lower median of distances from it times 1.4826, ``floor`` at least.
+
+    The rows are read once, for the counts of their values; distances take over the counts.
+    """
+    work = Workspace(frame.sparkSession, "robust")
+    counts = work.save(value_counts(frame, keys, value), "counts")
+    centre = work.save(counted_quantiles(counts, keys, value, {"centre": (0.5, "lower")}), "centre")
+    away = join_nulls(counts, centre, keys).withColumn("away", F.abs(F.col(value) - F.col("centre"))).groupBy(*keys, "away").agg(F.sum("n").alias("n"))
+    mad = counted_quantiles(away, keys, "away", {"mad": (0.5, "lower")})
+    return join_nulls(centre, mad, keys).select(*keys, "centre", F.greatest(F.lit(floor), MAD_TO_SD * F.col("mad")).alias("scale"))
 
 
 def reliability(frame: DataFrame, score: str, outcome: str, bins: int = 10) -> DataFrame:
@@ -37,7 +43,7 @@ def reliability(frame: DataFrame, score: str, outcome: str, bins: int = 10) -> D
 def curve_points(frame: DataFrame, score: str, outcome: str) -> DataFrame:
     """``score, tp, fp`` at the end of each tie of scores, from the highest: the running counts of both outcomes."""
     ties = frame.where(F.col(score).isNotNull() & F.col(outcome).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(outcome) == 1).alias("p"), F.count_if(F.col(outcome) != 1).alias("q"))
-    return running_sums(ties, "score", [F.col("score").desc()], {"tp": F.col("p"), "fp": F.col("q")}, descending=True)
+    return running_sums(ties, [F.col("score").desc()], {"tp": F.col("p"), "fp": F.col("q")})
 
 
 def roc_ap(frame: DataFrame, score: str, outcome: str) -> DataFrame:
@@ -52,7 +58,7 @@ def roc_ap(frame: DataFrame, score: str, outcome: str) -> DataFrame:
 def mean_ranks(frame: DataFrame, value: str, name: str) -> DataFrame:
     """``value`` and its rank from 0; equal values share the mean of their ranks."""
     ties = frame.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    found = running_sums(ties, value, [F.col(value)], {"upto": F.col("n")})
+    found = running_sums(ties, [F.col(value)], {"upto": F.col("n")})
     return found.select(value, (F.col("upto") - F.col("n") + (F.col("n") - 1) / 2).alias(name))
 
 
@@ -72,17 +78,18 @@ def balanced_log_loss(frame: DataFrame, score: str, outcome: str, keys: list[str
 
 
 def reliability_margin(frame: DataFrame, keys: list[str], value: str, target: str, least_rows: int = 16, width: float = 0.2) -> DataFrame:
-    """How far the target's lower median lies above the others' 90 % quantile, in units of ``width``, 0 to 1.
+    """How far the target's lower median lies above the others' 90 % quantile (linear), in units of ``width``, 0 to 1.
 
-    1 where either side has fewer than ``least_rows``.
+    1 where either side has fewer than ``least_rows``. The rows are read once.
     """
-    counts = frame.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count_if(F.col(target)).alias("inside"), F.count_if(~F.col(target)).alias("outside"))
-    middle = lower_quantile(frame.where(F.col(target)), keys, value, 0.5, "middle")
-    upper = lower_quantile(frame.where(~F.col(target)), keys, value, 0.9, "upper")
-    joined = counts.join(middle, keys, "left").join(upper, keys, "left")
+    counts = Workspace(frame.sparkSession, "margin").save(value_counts(frame.where(F.col(target).isNotNull()), [*keys, target], value), "counts")
+    found = join_nulls(counts.groupBy(*keys, target).agg(F.sum("n").alias("rows_")), counted_quantiles(counts, [*keys, target], value, {"middle_": (0.5, "lower"), "upper_": (0.9, "linear")}), [*keys, target])
+    side = lambda c, here: F.max(F.when(F.col(target) if here else ~F.col(target), F.col(c)))
+    zero = F.lit(0).cast("long")
+    sums = found.groupBy(*keys).agg(F.coalesce(side("rows_", True), zero).alias("inside"), F.coalesce(side("rows_", False), zero).alias("outside"), side("middle_", True).alias("middle"), side("upper_", False).alias("upper"))
     margin = clamp((F.col("middle") - F.col("upper")) / width, 0.0, 1.0)
     few = (F.col("inside") < least_rows) | (F.col("outside") < least_rows)
-    return joined.select(*keys, "inside", "outside", F.when(few, 1.0).otherwise(margin).alias("reliability"))
+    return sums.select(*keys, "inside", "outside", F.when(few, 1.0).otherwise(margin).alias("reliability"))
 
 
 def otsu(frame: DataFrame, value: str, bins: int = 256) -> DataFrame:

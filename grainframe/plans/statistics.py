@@ -71,7 +71,7 @@ def ag28_reliability_margin(spark, sf_dir):
 
 
 AG28_SQL = f"""WITH {SCORED_SQL} SELECT lang, count(*) FILTER (quality = 1) AS inside, count(*) FILTER (quality <> 1) AS outside, round(CASE WHEN count(*) FILTER (quality = 1) < 16 OR count(*) FILTER (quality <> 1) < 16 THEN 1.0
-ELSE greatest(0, least(1, (quantile_disc(score, 0.5) FILTER (quality = 1) - quantile_disc(score, 0.9) FILTER (quality <> 1)) / 0.2)) END, 6) AS reliability FROM scored GROUP BY lang"""
+ELSE greatest(0, least(1, (quantile_disc(score, 0.5) FILTER (quality = 1) - quantile_cont(score, 0.9) FILTER (quality <> 1)) / 0.2)) END, 6) AS reliability FROM scored GROUP BY lang"""
 
 
 def ag29_otsu(spark, sf_dir):
@@ -104,10 +104,7 @@ def t01_even_subsample(spark, sf_dir):
     from grainframe.plans.overlap import LINE_ORDER
 
     lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
-    placed = ordered.ranked(lines, "l_orderkey", [F.col(c) for c in LINE_ORDER])
-    n = lines.agg((F.count("*") - 1).alias("last"))
-    wanted = spark.range(500).crossJoin(n).select(F.bround(F.col("id") * (F.col("last") / 499.0)).cast("long").alias("rank")).distinct()
-    return placed.join(F.broadcast(wanted), "rank").select("rank", *LINE_ORDER[:4])
+    return ordered.even_subsample(lines, [F.col(c) for c in LINE_ORDER], 500).select("rank", *LINE_ORDER[:4])
 
 
 T01_SQL = """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS rank FROM lineitem)
@@ -194,8 +191,9 @@ C16_SQL = "SELECT l_suppkey, round(avg(pow(2, least(l_quantity / 6, 8)) - 1), 6)
 
 def c04_ciede2000(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    delta = evidence.delta_e_2000(F.col("p_size") * 2.0, F.col("p_retailprice") % 60 - 30, F.col("p_partkey") % 80 - 40.0, F.lit(50.0), F.lit(10.0), F.lit(-15.0))
-    return part.select("p_partkey", F.round(delta, 6).alias("delta"))
+    first = (F.col("p_size") * 2.0, F.col("p_retailprice") % 60 - 30, F.col("p_partkey") % 80 - 40.0)
+    found = evidence.with_delta_e_2000(part.select("p_partkey", "p_size", "p_retailprice"), "delta", first, (F.lit(50.0), F.lit(10.0), F.lit(-15.0)))
+    return found.select("p_partkey", F.round("delta", 6).alias("delta"))
 
 
 C04_SQL = """WITH x AS (SELECT p_partkey, p_size * 2.0::DOUBLE AS l1, p_retailprice % 60 - 30 AS a0, p_partkey % 80 - 40.0::DOUBLE AS b1 FROM part),

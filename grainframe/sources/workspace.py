@@ -7,16 +7,63 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPEN: list["Workspace"] = []
 
-def saver(spark: SparkSession, label: str):
-    """``save(frame, name)``: writes a table once under ``spark.checkpoint.dir`` and reads it back; this cuts its lineage."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='grainframe-')}/grainframe/{label}-{uuid.uuid4().hex[:12]}"
 
-    def save(frame: DataFrame, name: str) -> DataFrame:
-        frame.write.parquet(f"{root}/{name}")
-        return spark.read.schema(frame.schema).parquet(f"{root}/{name}")
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    return save
+    Where that is unset, a local session gets a temporary folder; on a cluster executors couldn't read one, so that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="grainframe-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+class Workspace:
+    """Tables that cut lineage: each is written once as Parquet in the shared folder and read back.
+
+    A lost executor costs the tasks it ran, never a table. ``drop`` frees tables that no later step reads; ``clear`` frees
+    all of the process, once results have been written elsewhere.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/grainframe/{label}-{uuid.uuid4().hex[:12]}"
+        _OPEN.append(self)
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def save(self, frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(self.path(name))
+        return self.spark.read.schema(frame.schema).parquet(self.path(name))
+
+    def append(self, frame: DataFrame, name: str) -> None:
+        """Adds rows to a table that ``read`` gives back whole, so that many steps leave one short plan."""
+        frame.write.mode("append").parquet(self.path(name))
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(self.path(name))
+
+
+def clear() -> None:
+    """Deletes all workspaces of this process. Frames that read them can't be used any more."""
+    while _OPEN:
+        work = _OPEN.pop()
+        work._delete(work.root)
 
 
 def write_revision(frame: DataFrame, folder: str, revision: str, format: str = "parquet") -> str:
