@@ -10,10 +10,11 @@ whole, to their closing quote or to white space; they keep their length, and the
 One map over the documents; nothing is shuffled. Texts without a digit are passed on as they are.
 
 Defined results: a null text stays null and an empty text stays empty, both with 0 values. Values that fail their check
-stay. A card, IBAN or telephone number next to other digits is found by trying the ends, then the starts, that its groups
+stay. Names of secrets and local parts of mail addresses may be of any length. A card, IBAN or telephone number next to other digits is found by trying the ends, then the starts, that its groups
 admit: lengths known for its issuer or country first, then the longest that passes. A telephone number has no check digit, so
-where its country's lengths aren't known it takes as many groups as fit in 15 digits. Overlapping forms are taken left to right, in the order of ``FORMS`` at one place. Extra columns pass through; the
-columns made here replace others of their names.
+where its country's lengths aren't known it takes as many groups as fit in 15 digits. Overlapping forms are taken left to
+right, in the order of ``FORMS`` at one place. Extra columns pass through; the columns made here replace others of their
+names.
 """
 
 from __future__ import annotations
@@ -28,18 +29,18 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainframe.llm.common import columns_of, table, without
 
-#: Production keys come from a secret store; this one is for tests and the registered query.
-KEY = b"grainframe-pseudonyms"
+#: Where the session's key is found, and the key of tests and of queries of a session that has none.
+KEY_SETTING, TEST_KEY = "spark.grainframe.pseudonymKey", "grainframe-pseudonyms"
 ROUNDS = 10
 
 FORMS = {
-    "secret": r"""(?<name>(?i:api[_-]?key|access[_-]?key|secret|token|password|passwd)[A-Za-z0-9_\-]{0,256}+)(?<link>\\?["'`]?[ \t]*+(?::=|=>|={1,2}|:)[ \t]*+(?:(?i:bearer|basic)[ ]+)?)(?:(?<open>\\?["'`])(?:(?i:bearer|basic)[ ]+)?(?<quoted>(?:(?!(?P=open))(?:\\[^\n]|[^\\\n]))++)(?P=open)|\\?["'`]?(?<bare>[^\s"'`]++))""",
-    "email": r"(?<local>[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63})@(?<domain>[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9\-]{1,63})+)",
+    "secret": r"""(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]*?(?i:api[_-]?key|access[_-]?key|secret|token|password|passwd))(?<name>[A-Za-z0-9_\-]++)(?<link>\\?["'`]?[ \t]*+(?::=|=>|={1,2}|:)[ \t]*+(?:(?i:bearer|basic)[ ]+)?)(?:(?<open>\\?["'`])(?:(?i:bearer|basic)[ ]+)?(?<quoted>(?:(?!(?P=open))(?:\\[^\n]|[^\\\n]))++)(?P=open)|\\?["'`]?(?<bare>[^\s"'`]++))""",
+    "email": r"(?<![A-Za-z0-9._%+\-])(?=[._%+\-]*+[A-Za-z0-9])(?<local>[A-Za-z0-9._%+\-]++)@(?<domain>[A-Za-z0-9][A-Za-z0-9\-]*+(?:\.[A-Za-z0-9\-]++)+)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:(?<y>[0-9]{4})(?<s>[-/.])(?<m>[0-9]{2})(?P=s)(?<d>[0-9]{2})|(?<d2>[0-9]{2})(?<s2>[-/.])(?<m2>[0-9]{2})(?P=s2)(?<y2>[0-9]{4}))(?![0-9])",
@@ -76,22 +77,36 @@ _SHAPE = regex.compile(r"1[3-9]|4(?: 4){2}(?: [1-4]){1,2}|4 6 [45]|6 (?:[7-9]|1[
 class Feistel:
     """A keyed permutation of 0 .. n - 1: an alternating Feistel network on a x b >= n, walked until it lands below n."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.key = key
 
     def _round(self, tweak: bytes, i: int, value: int) -> int:
         return int.from_bytes(hmac.digest(self.key, b"%s|%d|%d" % (tweak, i, value), hashlib.sha256), "big")
 
     def permute(self, x: int, n: int, tweak: bytes = b"") -> int:
+        """The place of x. Places beyond n are walked on from, so that 0 .. n - 1 is mapped onto itself."""
+        return self._walk(x, n, tweak, 1)
+
+    def restore(self, x: int, n: int, tweak: bytes = b"") -> int:
+        """The value whose place is x."""
+        return self._walk(x, n, tweak, -1)
+
+    def move(self, x: int, n: int, tweak: bytes = b"") -> int:
+        """The value at the place after that of x: a permutation in one cycle, so that no value keeps its own (for n > 1)."""
+        return self.restore((self.permute(x, n, tweak) + 1) % n, n, tweak) if n > 1 else x
+
+    def _walk(self, x: int, n: int, tweak: bytes, way: int) -> int:
         if n < 2:
             return x
         a = math.isqrt(n - 1) + 1
         b = -(-n // a)
         while True:
             left, right = divmod(x, b)
-            for i in range(0, ROUNDS, 2):
-                left = (left + self._round(tweak, i, right)) % a
-                right = (right + self._round(tweak, i + 1, left)) % b
+            for i in range(ROUNDS)[::way]:
+                if i % 2 == 0:
+                    left = (left + way * self._round(tweak, i, right)) % a
+                else:
+                    right = (right + way * self._round(tweak, i, left)) % b
             x = left * b + right
             if x < n:
                 return x
@@ -120,15 +135,13 @@ def _masked(text: str, found: list[tuple]) -> str:
 class Pseudonyms:
     """Pseudonym of each kind of value; ``None`` where the value fails its check."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.feistel = Feistel(key)
         self.of = lru_cache(maxsize=50_000)(self._of)
 
     def digits(self, digits: str, tweak: bytes) -> str:
         """A permutation of the numbers of that many digits that leaves none as it is."""
-        n = 10 ** len(digits)
-        new = self.feistel.permute(int(digits), n, tweak)
-        return str(new if new != int(digits) else self.feistel.permute(new, n, tweak + b"'")).zfill(len(digits)) if digits else digits
+        return str(self.feistel.move(int(digits), 10 ** len(digits), tweak)).zfill(len(digits)) if digits else digits
 
     def letters(self, text: str, tweak: bytes) -> str:
         """Each character moves within its class (digits, small and capital letters); all others stay.
@@ -149,9 +162,7 @@ class Pseudonyms:
         for c, k in zip(text, kinds):
             if k:
                 value, size = value * len(k) + k.index(c), size * len(k)
-        new = self.feistel.permute(value, size, tweak)
-        if new == value and size > 1:
-            new = (new + 1) % size
+        new = self.feistel.move(value, size, tweak)
         out = []
         for c, k in zip(reversed(text), reversed(kinds)):
             if k:
@@ -177,8 +188,7 @@ class Pseudonyms:
             if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in text.split(".")):
                 return None
             value = int.from_bytes(bytes(octets), "big")
-            new = self.feistel.permute(value, 1 << 32, b"ipv4")
-            return ".".join(map(str, (new if new != value else new ^ 1).to_bytes(4, "big")))
+            return ".".join(map(str, self.feistel.move(value, 1 << 32, b"ipv4").to_bytes(4, "big")))
         if kind == "phone":
             if not 7 <= len(digits) <= 15:
                 return None
@@ -190,7 +200,7 @@ class Pseudonyms:
             if area in ("000", "666") or area[0] == "9" or group == "00" or serial == "0000":
                 return None
             index = (self._areas(area) * 99 + int(group) - 1) * 9999 + int(serial) - 1
-            new = self.feistel.permute(index, 898 * 99 * 9999, b"ssn")
+            new = self.feistel.move(index, 898 * 99 * 9999, b"ssn")
             new, serial_at = divmod(new, 9999)
             area_at, group_at = divmod(new, 99)
             area_at += 1 + (area_at + 1 >= 666)
@@ -212,9 +222,7 @@ class Pseudonyms:
                 return None
             if not DATE_FROM <= day <= DATE_TO:
                 return None
-            n = DATE_TO - DATE_FROM + 1
-            new = self.feistel.permute(day - DATE_FROM, n, b"date")
-            at = datetime.date.fromordinal(DATE_FROM + (new if new != day - DATE_FROM else (new + 1) % n))
+            at = datetime.date.fromordinal(DATE_FROM + self.feistel.move(day - DATE_FROM, DATE_TO - DATE_FROM + 1, b"date"))
             return f"{at.year:04d}{mark}{at.month:02d}{mark}{at.day:02d}" if first else f"{at.day:02d}{mark}{at.month:02d}{mark}{at.year:04d}"
         if kind == "email":
             return self.letters(found["local"], b"email") + "@" + found["domain"]
@@ -308,10 +316,18 @@ class Pseudonyms:
         return "".join([*out, text[last:]]) if out else text, counts
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, counts: str | None = "pii_counts") -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key. Production sets it; without it queries run under the key of the tests."""
+    return spark.conf.get(KEY_SETTING, TEST_KEY).encode()
+
+
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", counts: str | None = "pii_counts") -> DataFrame:
     """``docs`` with values replaced in ``text``, and, with a name for it, ``counts``: a map from kind to number."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     made = [counts] if counts else []
-    base = without(docs, *made).withColumn(text, F.col(text).cast("string"))
+    text = next((c for c in docs.columns if c.lower() == text.lower()), text)
+    base = without(docs, *made).withColumn(text, F.col(f"`{text}`").cast("string"))
     names = base.columns
     at = names.index(text)
 
@@ -330,5 +346,5 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, counts:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """``op6_pii_pseudonyms``: every document's text under pseudonyms, and the number of values of each kind."""
-    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
     return found.select("doc_id", "text", *(F.coalesce(F.col("pii_counts")[kind], F.lit(0)).cast("long").alias(f"n_{kind}") for kind in FORMS))

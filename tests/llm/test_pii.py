@@ -1,4 +1,5 @@
 import datetime
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -6,7 +7,9 @@ from hypothesis import strategies as st
 
 from grainframe.llm import pii
 
-from .cases import frame, with_clashes
+from .cases import documents, frame, with_clashes
+
+KEY = b"a key of the tests"
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
@@ -24,13 +27,13 @@ def luhn(digits):
 def test_cards_stay_cards(number):
     body = "4" + str(number).zfill(14)
     card = body + pii.luhn_digit(body)
-    new = pii.Pseudonyms().of("card", card)
+    new = pii.Pseudonyms(KEY).of("card", card)
     if len(set(card)) > 1:
         assert new != card and len(new) == 16 and new[0] == "4" and luhn(new)
 
 
 def test_values_keep_their_form_and_their_links():
-    names = pii.Pseudonyms()
+    names = pii.Pseudonyms(KEY)
     text = "Mail anna.b@example.org, born 1984-02-29, card 4111 1111 1111 1111, ip 10.0.0.1, ssn 123-45-6789, iban GB82 WEST 1234 5698 7654 32, call +1 555-234-9876, api_key = \"abcdEFGH12345678\"."
     new, counts = names.apply(text)
     assert counts == {"email": 1, "date": 1, "card": 1, "ipv4": 1, "ssn": 1, "iban": 1, "phone": 1, "secret": 1}
@@ -38,33 +41,79 @@ def test_values_keep_their_form_and_their_links():
         assert value not in new
     assert len(new) == len(text) + len(names.of("ipv4", "10.0.0.1")) - len("10.0.0.1")
     datetime.date.fromisoformat(new.split("born ")[1][:10])
-    again, _ = pii.Pseudonyms().apply("x 1984-02-29 y 4111 1111 1111 1111")
+    again, _ = pii.Pseudonyms(KEY).apply("x 1984-02-29 y 4111 1111 1111 1111")
     assert again.split()[1] == new.split("born ")[1][:10] and " ".join(again.split()[3:]) in new
     assert names.apply("1999-02-30, 4111 1111 1111 1112, 300.1.1.1") == ("1999-02-30, 4111 1111 1111 1112, 300.1.1.1", {})
 
 
+@pytest.mark.parametrize("n", [2, 3, 10, 97, 1000])
+def test_moves_are_permutations_that_move_every_value(n):
+    f = pii.Feistel(b"k")
+    moved = [f.move(x, n, b"t") for x in range(n)]
+    assert sorted(moved) == list(range(n)) and all(x != y for x, y in enumerate(moved))
+    assert all(f.restore(f.permute(x, n, b"t"), n, b"t") == x for x in range(n))
+
+
 def test_distinct_values_stay_distinct():
-    names = pii.Pseudonyms()
-    days = {(datetime.date(2000, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(500)}
-    assert len({names.of("date", d) for d in days}) == 500
+    """All dates of the range, all numbers of three digits, all words of two letters, and blocks of addresses and numbers."""
+    names = pii.Pseudonyms(pii.TEST_KEY.encode())
+    n = pii.DATE_TO - pii.DATE_FROM + 1
+    assert len({names.feistel.move(x, n, b"date") for x in range(n)}) == n
+    days = ["1904-03-22", "2041-01-17", "1900-01-01", "2099-12-31"]
+    assert len({names._of("date", d) for d in days}) == 4 and all(names._of("date", d) != d for d in days)
+    assert len({names.digits(f"{x:03d}", b"t") for x in range(1000)}) == 1000
+    assert all(names.digits(f"{x:03d}", b"t") != f"{x:03d}" for x in range(1000))
+    words = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    assert len({names.letters(w, b"t") for w in words}) == len(words) and all(names.letters(w, b"t") != w for w in words)
+    ips = [f"10.0.{i}.{j}" for i in range(8) for j in range(256)]
+    assert len({names._of("ipv4", x) for x in ips}) == len(ips) and all(names._of("ipv4", x) != x for x in ips)
+    ssns = [f"123-{g:02d}-{s:04d}" for g in range(1, 40) for s in range(1, 40)]
+    assert len({names._of("ssn", x) for x in ssns}) == len(ssns) and all(names._of("ssn", x) != x for x in ssns)
+
+
+def test_values_of_any_length_leave_nothing_in_clear():
+    names = pii.Pseudonyms(KEY)
+    local, label = "a1" * 400, "my_" * 200 + "secret_" + "key_" * 100
+    new, counts = names.apply(f"to {local}@example.org, {label} = abcdefgh12345678")
+    assert counts == {"email": 1, "secret": 1} and local[:50] not in new and local[-50:] not in new and "abcdefgh" not in new
+    assert names.apply("..@example.org @x.y a@b")[1] == {}
+    assert names.apply("token" * 20000 + "@" + "a" * 20000)[1] == {}
 
 
 def test_awkward_rows(spark):
     docs = with_clashes(frame(spark), "pii_counts")
-    found = pii.pseudonymise(docs).collect()
+    found = pii.pseudonymise(docs, KEY).collect()
     assert len(found) == docs.count()
     assert {r["doc_id"]: (r["text"], r["pii_counts"]) for r in found if r["doc_id"] in (1, 2)} == {1: (None, {}), 2: ("", {})}
-    assert pii.pseudonymise(docs.limit(0)).count() == 0
-    assert pii.pseudonymise(docs, counts=None).columns == docs.columns
+    assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
+    assert pii.pseudonymise(docs, KEY, counts=None).columns == docs.columns
+
+
+def brute(text):
+    """Values by plain patterns of the tables' own forms, each replaced by looking its pseudonym up."""
+    names = pii.Pseudonyms(pii.TEST_KEY.encode())
+    if text is None:
+        return None
+    for kind, form in (("email", r"[a-z0-9.]+@[a-z0-9-]+\.[a-z.]*[a-z]"), ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"), ("ipv4", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), ("card", r"\b(?:\d{16}|\d{4} \d{4} \d{4} \d{4})\b"), ("iban", r"\b[A-Z]{2}\d{2}(?: \d{4}){5}\b"), ("phone", r"\+\d \(\d{3}\) \d{3}-\d{4}")):
+        text = re.sub(form, lambda m: names._of(kind, m[0]) or m[0], text)
+    return re.sub(r"(?<=token = \")[0-9a-f]{40}", lambda m: names.letters(m[0], b"secret"), text)
 
 
-def test_query_returns_every_document(spark, small_dir):
-    found = pii.op6(spark, small_dir)
-    assert found.count() == spark.read.parquet(f"{small_dir}/documents.parquet").count()
+def test_query_equals_plain_replacement(spark, small_dir):
+    found = {r["doc_id"]: r for r in pii.op6(spark, small_dir).collect()}
+    docs = dict(documents(spark, small_dir))
+    assert found.keys() == docs.keys()
+    plain = {i: pii.Pseudonyms(pii.TEST_KEY.encode()).apply(t) if t is not None else (None, {}) for i, t in docs.items()}
+    for i, (text, counts) in plain.items():
+        assert found[i]["text"] == text
+        assert {k: found[i][f"n_{k}"] for k in pii.FORMS if found[i][f"n_{k}"]} == counts
+    other = [i for i, t in docs.items() if t and not plain[i][1].get("date") and brute(t) != found[i]["text"]]
+    assert not other, [(docs[i][:300], found[i]["text"][:300]) for i in other[:2]]
+    assert sum(brute(t) != t for t in docs.values()) > 3
 
 
 def test_secrets_are_taken_whole():
-    names = pii.Pseudonyms()
+    names = pii.Pseudonyms(KEY)
     jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
     aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY=="
     long_one = "".join(f"{i:x}Kq" for i in range(2500))
@@ -90,7 +139,7 @@ def test_secrets_are_taken_whole():
 
 
 def test_values_next_to_other_digits_are_found():
-    names = pii.Pseudonyms()
+    names = pii.Pseudonyms(KEY)
     card, phone, iban = "4111 1111 1111 1111", "+1 (487) 555-7209", "ES91 2100 0418 4502 0005 1332"
     uk = "+44 20 7946 0958"
     for text, values in (
