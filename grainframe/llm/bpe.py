@@ -20,6 +20,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from grainframe.llm.common import columns_of, free_name, table, without
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The pre-tokenizer's pattern, published with the byte-level vocabularies.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A space where cutting at spaces could cut a run of white space.

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainframe.sources.workspace import Workspace  # noqa: F401  (the operators take it from here)
+
 #: A word of a text, as every contract here takes it: a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,45 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="grainframe-"))
-    return context.getCheckpointDir()
-
-
-class Workspace:
-    """Tables that cut lineage: each is written once as Parquet in the shared folder and read back.
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key of its own for each row: the file it is read from and its place there, the same in every pass.
 
-    A lost executor costs the tasks it ran, never a table. ``drop`` frees a table that no later step reads.
+    Rows that are not read as they are (as in tests) are numbered by Spark, in the order of its tasks.
     """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/grainframe/{label}-{uuid.uuid4().hex[:12]}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
-        frame.write.parquet(self.path(name))
-        return self.spark.read.schema(frame.schema).parquet(self.path(name))
-
-    def append(self, frame: DataFrame, name: str) -> None:
-        """Adds rows to a table that ``read`` gives back whole, so that many steps leave one short plan."""
-        frame.write.mode("append").parquet(self.path(name))
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    node = docs._jdf.queryExecution().analyzed()
+    while node.children().size() == 1 and node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.children().size() or node.metadataOutput().isEmpty():
+        return docs.select("*", F.monotonically_increasing_id().cast("string").alias(name))
+    return docs.select("*", F.concat_ws(":", F.xxhash64("_metadata.file_path").cast("string"), F.col("_metadata.row_index").cast("string")).alias(name))
 
 
 def crc32_of(column: Column) -> Column:

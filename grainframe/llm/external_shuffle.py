@@ -1,6 +1,7 @@
 """Two-pass external shuffle into shards.
 
-Pass 1 scatters whole records uniformly into memory-sized buckets by a seeded hash. Pass 2 takes one bucket at a time,
+Pass 1 scatters whole records uniformly into memory-sized buckets by a seeded hash of the record and of its place in the
+input, so records that repeat an id and a text are scattered like others. Pass 2 takes one bucket at a time,
 puts its records in a fixed order, shuffles them by Fisher-Yates under a seed of the bucket, and writes them. The buckets
 one after another are a random order of all records; it is cut into shards whose counts are at most one apart (law
 ``rows``). A record's rank comes from prefix sums over bucket counts, taken in two levels, so that no task sees more than
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainframe.llm.common import Workspace, columns_of, table, without
+from grainframe.llm.common import Workspace, columns_of, free_name, table, with_row_key, without
 from grainframe.llm.runs import sorted_runs
 
 SHARDS = 24
@@ -46,10 +47,13 @@ def external_shuffle(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """``docs`` in shuffled order, with ``size, text_crc32, bucket, position, shard, slot``."""
     work = Workspace(docs.sparkSession, "external-shuffle")
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    base = without(docs, *_MADE).withColumn("size", F.octet_length(data).cast("long") + RECORD_BYTES).withColumn("text_crc32", F.crc32(data))
+    base = without(docs, *_MADE)
+    key = free_name(base, "row_key")
+    base = with_row_key(base, key).withColumn("size", F.octet_length(data).cast("long") + RECORD_BYTES).withColumn("text_crc32", F.crc32(data))
     total = base.agg(F.sum("size")).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_bytes))
-    dealt = base.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), "text_crc32", "size"), F.lit(n_buckets)))
+    hashed = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), "text_crc32", "size", F.col(key))
+    dealt = base.withColumn("bucket", F.pmod(hashed, F.lit(n_buckets))).drop(key)
     names = dealt.columns
 
     def fisher_yates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

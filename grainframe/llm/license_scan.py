@@ -65,8 +65,6 @@ MIN_COSINE = 0.6
 MIN_FULL = 0.8
 #: Parts of at most this many words give unknown words no weight, but must name the licence.
 SHORT = 40
-#: Characters of the longest paragraph compared, and of the longest text.
-MAX_PART, MAX_FULL = 4_000, 100_000
 NAMES = {"Apache": ["apache"], "BSD": ["bsd", "redistribution"], "CC": ["cc", "commons"], "AGPL": ["affero", "agpl"], "GPL": ["gnu", "gpl"], "LGPL": ["lesser", "lgpl"], "ISC": ["isc"], "MIT": ["mit", "hereby"], "MPL": ["mozilla", "mpl"]}
 VERSION = r"^v?[0-9](\.[0-9]+)*$"
 FULL_SIGN = r"(?i)permission is hereby granted|is hereby granted, provided|redistribution and use in source|terms and conditions|public license|cc0 1\.0|lesser general"
@@ -139,10 +137,10 @@ def own_licences(docs: DataFrame, templates: dict[str, str] | None = None, min_c
     headed = docs.where(F.col("text").rlike(HEADER) | F.col("text").rlike(FULL_SIGN)).withColumn("bare", F.regexp_replace("text", COPYRIGHT_LINE, ""))
     bare_lines = F.filter(F.split("bare", "\n"), lambda x: x.rlike(HEADER))
     sentences = F.flatten(F.transform(bare_lines, lambda x: F.split(x, r"(?<=[A-Za-z0-9)\"'][.;:])\s+(?=[A-Z(])")))
-    paragraphs = F.filter(F.split("bare", r"\n(?:[^A-Za-z0-9\n]*\n)+"), lambda x: x.rlike(HEADER) & (F.length(x) <= MAX_PART))
+    paragraphs = F.filter(F.split("bare", r"\n(?:[^A-Za-z0-9\n]*\n)+"), lambda x: x.rlike(HEADER))
     parts = headed.select("doc_id", "path", F.explode(F.array_distinct(F.concat(bare_lines, F.filter(sentences, lambda x: x.rlike(HEADER)), paragraphs))).alias("part"))
     stated = nearest_template(parts, templates or TEMPLATES, SHORT).where(F.col("cosine") >= min_cosine)
-    whole = headed.where(F.col("text").rlike(FULL_SIGN) & (F.length("text") <= MAX_FULL)).select("doc_id", "path", F.col("bare").alias("part"))
+    whole = headed.where(F.col("text").rlike(FULL_SIGN)).select("doc_id", "path", F.col("bare").alias("part"))
     full = nearest_template(whole, full_texts()).where(F.col("cosine") >= MIN_FULL)
     tagged = headed.select("doc_id", "path", F.regexp_extract("text", SPDX, 1).alias("licence")).where("licence <> ''").select("doc_id", "path", F.lit(1.0).alias("cosine"), "licence")
     found = [t.withColumn("rank", F.lit(i)) for i, t in enumerate((tagged, full, stated))]

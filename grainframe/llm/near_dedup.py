@@ -14,7 +14,9 @@ may fall ``SKETCH_SLACK`` deviations below the limit; both misses together are a
 
 Defined results: texts without words (null, empty, only white space) have the empty set, link with nothing and are kept.
 A text of fewer words than a shingle has its whole sequence as its one shingle. Rows without an id take part in nothing:
-their component is null and they are kept. Rows that repeat an id and a text get equal results. Extra columns play no part.
+their component is null and they are kept. Rows that repeat an id and a text get equal results. Of rows of one id with
+different texts, candidates are confirmed on one of the texts; ``without_near_duplicates`` tells such rows apart. Extra
+columns play no part.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainframe.llm.common import Workspace, table
-from grainframe.llm.components import connected_components
+from grainframe.llm.common import Workspace, free_name, table, with_row_key
+from grainframe.operators.components import connected_components
 from grainframe.llm.runs import sorted_runs
 
 BANDS, ROWS = 38, 5
@@ -264,6 +266,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` of which one of each group of near duplicates stays.
+
+    Rows without an id, or with an id that other rows have too, go by a number of their text, above all ids. Of rows with
+    one such number one stays (one with an id, if there is), so repeated rows and copies without an id go too. Other texts without words all stay.
+    """
+    key, own = free_name(docs, "row_key"), free_name(docs, "own_id")
+    work = Workspace(docs.sparkSession, "near-dedup-rows")
+    keyed = with_row_key(docs, key)
+    ids = keyed.select(F.col(doc_id).cast("long").alias("id__"))
+    repeated = work.save(ids.where("id__ IS NOT NULL").groupBy("id__").agg(F.count("*").alias("n__")).where("n__ > 1").select("id__"), "repeated-ids")
+    few = repeated.count() <= MAX_BROADCAST_IDS
+    data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    number = F.xxhash64(data).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    joined = keyed.join(F.broadcast(repeated) if few else repeated, F.col(doc_id).cast("long") == F.col("id__"), "left")
+    numbered = F.col("id__").isNotNull() | F.col(doc_id).isNull()
+    rows = joined.withColumn(own, F.when(numbered, number).otherwise(F.col(doc_id).cast("long"))).drop("id__")
+    found = near_duplicates(rows.select(F.col(own), F.col(text)), text, own, shingle, percent)
+    gone = work.save(found.where("NOT kept").select(F.col("doc_id").alias(own)).distinct(), "gone")
+    again = rows.where(F.col(own) >= F.lit(1 << 62)).select(own, F.struct(F.col(doc_id).isNull().alias("last"), F.col(key).alias("key")).alias("place__"))
+    first = again.groupBy(own).agg(F.min("place__").alias("first__"))
+    copies = work.save(again.join(first, own).where("place__ <> first__").select(F.col("place__.key").alias(key)), "copies")
+    kept = rows
+    for name, frame in ((own, gone), (key, copies)):
+        kept = kept.join(F.broadcast(frame) if frame.count() <= MAX_BROADCAST_IDS else frame, name, "left_anti")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     """``op3_minhash_near_dedup``: components of documents at 80 % of their 4-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)

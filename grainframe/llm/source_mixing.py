@@ -12,7 +12,8 @@ the order, then inside a slice, so no task gets a whole leaf. Only ids, keys and
 
 Defined results: a null domain, language or source is the node ``unknown``. Nodes without a given weight get
 ``default_weight``. Null texts have no tokens; documents without tokens are taken with the documents around them. If the
-budget exceeds all capacity, every leaf is taken ``max_epochs`` times. Rows of equal id and leaf are interchangeable.
+budget exceeds all capacity, every leaf is taken ``max_epochs`` times. Leaves below a node of weight 0 are not taken, and what
+they hold counts for no ancestor; a negative weight is refused. Rows of equal id, leaf and text are interchangeable.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainframe.llm.common import WORD, free_name, table
+from grainframe.llm.common import WORD, free_name, table, with_row_key
 
 LEVELS = ("domain", "lang", "source")
 WEIGHTS = {
@@ -57,7 +58,7 @@ def _shared_out(nodes: DataFrame, parents: list[str], level: str, weights: dict[
     order = Window.partitionBy(*parents).orderBy((F.col("capacity") / F.col("w")).asc(), F.col(level))
     before = F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("capacity")
     rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    out = nodes.withColumn("w", _weight(level, weights, default)).where("w > 0").withColumn("left", F.col("budget") - before).withColumn("among", rest)
+    out = nodes.withColumn("w", _weight(level, weights, default)).withColumn("left", F.col("budget") - before).withColumn("among", rest)
     # whole numbers throughout, so that an only child gets all of its parent's share
     level_here = F.struct((F.col("left") / F.col("among")).alias("at"), "left", "among")
     fits = F.when(F.col("left") * F.col("w") <= F.col("capacity") * F.col("among"), level_here)
@@ -69,6 +70,10 @@ def _shared_out(nodes: DataFrame, parents: list[str], level: str, weights: dict[
 def leaf_budgets(leaves: DataFrame, budget: int, max_epochs: int, weights: dict[str, dict[str, int]] | None = None, default_weight: int = DEFAULT_WEIGHT) -> DataFrame:
     """``domain, lang, source, tokens, share`` from ``leaves`` (domain, lang, source, tokens)."""
     weights = WEIGHTS if weights is None else weights
+    if default_weight < 0 or any(w < 0 for named in weights.values() for w in named.values()):
+        raise ValueError("weights must not be negative")
+    for level in LEVELS:  # a node without weight holds nothing that its parent could give
+        leaves = leaves.where(_weight(level, weights, default_weight) > 0)
     leaves = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
     parent = None
     for depth, level in enumerate(LEVELS):
@@ -85,9 +90,13 @@ def leaf_budgets(leaves: DataFrame, budget: int, max_epochs: int, weights: dict[
 def mix_sources(docs: DataFrame, budget: int | None = None, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, weights: dict[str, dict[str, int]] | None = None, seed: str = SEED, doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, domain, lang, source, n_tokens, epochs`` of every row of ``docs`` (which has those but ``epochs``).
 
-    ``epochs`` is how often the row is taken. Without a ``budget`` in tokens, it is a percentage of all tokens.
+    ``epochs`` is how often the row is taken. Without a ``budget`` in tokens, it is a percentage of all tokens. A column
+    ``tie`` of ``docs`` (a digest of the text) orders rows of one id, and stands for the id of rows without one. A column
+    ``row_key`` comes back with the row.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in LEVELS), F.col("n_tokens").cast("long").alias("n_tokens"))
+    tie = F.col("tie") if "tie" in docs.columns else F.lit("")
+    extra = ["row_key"] if "row_key" in docs.columns else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in LEVELS), F.col("n_tokens").cast("long").alias("n_tokens"), tie.alias("tie"), *extra)
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     if budget is None:
         budget = (leaves.agg(F.sum("tokens")).first()[0] or 0) * budget_percent // 100
@@ -96,29 +105,39 @@ def mix_sources(docs: DataFrame, budget: int | None = None, budget_percent: int
     plan = shares.select(*LEVELS, whole.cast("long").alias("whole"), F.when(F.col("tokens") > 0, F.col("share") % F.col("tokens")).otherwise(F.lit(0)).cast("long").alias("rest"))
 
     joined = rows.join(plan, list(LEVELS), "left").withColumn("whole", F.coalesce("whole", F.lit(0))).withColumn("rest", F.coalesce("rest", F.lit(0)))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), "tie", F.lit(""))).cast("binary"))
     placed = joined.withColumn("h", order).withColumn("slice", F.substring("h", 1, SLICE_DIGITS))
     slices = placed.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("n"))
     over_slices = Window.partitionBy(*LEVELS).orderBy("slice")
     earlier = slices.select(*LEVELS, "slice", (F.sum("n").over(over_slices) - F.col("n")).alias("earlier"))
-    inside = Window.partitionBy(*LEVELS, "slice").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*LEVELS, "slice").orderBy("h", "doc_id", "n_tokens", "tie", *extra).rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumn("within", F.sum("n_tokens").over(inside)).join(earlier, [*LEVELS, "slice"])
     taken = (F.col("rest") > 0) & (F.col("earlier") + F.col("within") <= F.col("rest"))
-    return summed.select("doc_id", *LEVELS, "n_tokens", (F.col("whole") + taken.cast("long")).alias("epochs"))
+    return summed.select("doc_id", *LEVELS, "n_tokens", (F.col("whole") + taken.cast("long")).alias("epochs"), *extra)
 
 
-def take_mixed(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` says."""
-    name, other = free_name(docs, "epochs_taken"), free_name(docs, "mixed_id")
-    taken = mixed.where("epochs > 0").select(F.col("doc_id").alias(other), F.col("epochs").alias(name)).dropDuplicates([other])
-    again = docs.join(taken, docs[doc_id].eqNullSafe(taken[other]))
-    return again.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name)))).drop(name, other)
+def take_mixed(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, weights: dict[str, dict[str, int]] | None = None, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source ...), each as often as mixing takes it.
+
+    A decision is carried back by the row's own key, so rows that share an id, or have none, keep their own.
+    """
+    name, other, key = (free_name(docs, n) for n in ("epochs_taken", "mixed_key", "row_key_"))
+    keyed = with_row_key(docs, key)
+    counted = keyed.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_words().alias("n_tokens"), tie_of().alias("tie"), F.col(key).alias("row_key"))
+    mixed = mix_sources(counted, None, budget_percent, max_epochs, weights, seed)
+    taken = mixed.where("epochs > 0").select(F.col("row_key").alias(other), F.col("epochs").alias(name))
+    again = keyed.join(taken, F.col(key) == F.col(other))
+    return again.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name)))).drop(name, other, key)
+
+
+def tie_of(text: str = "text") -> Column:
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     """``op9_source_mixing``: how often every document is taken, for 80 % of all tokens (words) at the target weights."""
     docs = table(spark, sf_dir, "documents")
-    return mix_sources(docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_words().alias("n_tokens")))
+    return mix_sources(docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_words().alias("n_tokens"), tie_of().alias("tie")))
 
 
 def _case(level: str) -> str:
@@ -129,7 +148,7 @@ def mixing_sql(docs: str = "documents", max_epochs: int = MAX_EPOCHS, budget_per
     """DuckDB SQL of ``op9``, as common table expressions that end in ``mixed``."""
     parts = [
         f"""rows_in AS (SELECT doc_id, CASE CAST(try_cast(nullif(regexp_extract(source, '[0-9]+'), '') AS INTEGER) % 3 AS INTEGER) WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'code' ELSE 'unknown' END AS domain,
-  coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens FROM {docs})""",
+  coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens, md5(coalesce(text, '')) AS tie FROM {docs})""",
         f"leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {max_epochs} AS BIGINT) AS capacity FROM rows_in GROUP BY ALL)",
         f"share_root AS (SELECT CAST(coalesce(sum(tokens), 0) AS BIGINT) * {budget_percent} // 100 AS budget FROM leaves)",
     ]
@@ -148,8 +167,8 @@ def mixing_sql(docs: str = "documents", max_epochs: int = MAX_EPOCHS, budget_per
         above = f"share_{level}"
     parts += [
         f"plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN share % tokens ELSE 0 END AS rest FROM {above})",
-        f"placed AS (SELECT *, md5('{SEED}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM rows_in JOIN plan USING (domain, lang, source))",
-        "mixed AS (SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS BIGINT) AS epochs FROM placed)",
+        f"placed AS (SELECT *, md5('{SEED}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), tie)) AS h FROM rows_in JOIN plan USING (domain, lang, source))",
+        "mixed AS (SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id, n_tokens, tie ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS BIGINT) AS epochs FROM placed)",
     ]
     return "WITH " + ",\n".join(parts)
 

@@ -6,10 +6,11 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__
 import corpus_pipeline
 from grainframe.llm import entries, license_scan, near_dedup, pii, quality_classifier, quality_rules
 
-from .cases import SCHEMA, frame, with_clashes
+from .cases import SCHEMA, awkward, frame, with_clashes
 
 
 def test_held_out_accuracy(spark):
@@ -90,7 +91,7 @@ def test_pipeline_stage_by_stage(spark, small_dir):
             again = near_dedup.near_duplicates(docs)
             assert again.where("NOT kept").count() == 0
         if name == "pii":
-            plain = pii.Pseudonyms()
+            plain = pii.Pseudonyms(pii.key_of(spark))
             texts = {r["doc_id"]: r["text"] for r in before.collect()}
             assert all(r["text"] == plain.apply(texts[r["doc_id"]])[0] and r["n_chars"] == len(r["text"]) for r in docs.collect())
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, small_dir)
@@ -99,13 +100,24 @@ def test_pipeline_stage_by_stage(spark, small_dir):
 
 
 def test_pipeline_takes_awkward_and_no_rows(spark, tmp_path):
-    for name, rows in (("some", None), ("none", [])):
-        frame(spark, rows).write.parquet(str(tmp_path / name / "documents.parquet"))
-        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() >= 0
+    """Of the copies 10, 11 and 12, and two without an id, one stays; all else fails the rules. 95 % of its 21 words are too few for it."""
+    rows = [r for r in awkward() if r[0] != 10]
+    word = next(r for r in awkward() if r[0] == 10)
+    rows += [word, (11, *word[1:]), (None, *word[1:]), (None, *word[1:])]
+    for name, some in (("some", rows), ("none", [])):
+        frame(spark, some).write.parquet(str(tmp_path / name / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, docs, "").write.parquet(str(tmp_path / f"stage-{i}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage-{i}"))
+    assert [(r["doc_id"], r["text"]) for r in docs.collect()] == [(10, word[1])]
+    assert corpus_pipeline.run(spark, str(tmp_path / "some")).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in entries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in entries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n for n in __spark_entry__.queries() if n.startswith(("op", "pipeline"))][-1] == "pipeline"
     assert SCHEMA and quality_rules
 
 

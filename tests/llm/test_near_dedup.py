@@ -1,10 +1,13 @@
+from collections import Counter
 import re
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from grainframe.llm import near_dedup
-from grainframe.llm.components import connected_components
+from grainframe.operators.components import connected_components
 from grainframe.llm.common import Workspace
 
 from .cases import documents, frame, with_clashes
@@ -85,3 +88,44 @@ def test_blocks_find_what_pivots_cannot(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 8000)
     found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4)
     assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 4, 80)
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, copies without an id and near copies go; rows of one id with other texts, and texts without words, don't."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near_copy = base + " end"
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, base), (1, base), (None, base), (2, near_copy), (None, near_copy), (3, other), (3, base + " x " + other), (None, other), (None, "alone in the world with nobody near it"), (4, ""), (5, None), (6, " "), (7, ""), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("theirs"))
+    found = sorted(((r["doc_id"], r["text"]) for r in near_dedup.without_near_duplicates(docs).collect()), key=str)
+    expect = [(2, near_copy), (3, other), (3, base + " x " + other), (4, ""), (5, None), (6, " "), (7, "")]
+    assert sorted(((i, t) for i, t in found if i is not None), key=str) == sorted(expect, key=str)
+    assert sum(i is None for i, _ in found) == 2  # the text of its own, and one row of no id and no words
+    assert near_dedup.without_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_query_equals_exact_links_at_sf001(spark):
+    """All links of a thousand documents by an inverted index of their full sets."""
+    folder = "/root/testdata/sf0.01"
+    docs = [(i, near_dedup.shingles((t or "").encode(), 4)) for i, t in documents(spark, folder)]
+    index, common = {}, Counter()
+    for i, found in docs:
+        for s in found:
+            index.setdefault(s, []).append(i)
+    for ids in index.values():
+        common.update((a, b) for a in ids for b in ids if a < b)
+    size, parent = {i: len(s) for i, s in docs}, {i: i for i, _ in docs}
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 80 * (size[a] + size[b] - n)]
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    assert len(links) > 50
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.op3(spark, folder).collect()}
+    assert found == {i: (size[i], root(i)) for i, _ in docs}

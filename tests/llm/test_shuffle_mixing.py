@@ -1,5 +1,8 @@
-import duckdb
 import zlib
+
+import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from grainframe.llm import external_shuffle, source_mixing
@@ -69,11 +72,56 @@ def test_awkward_rows_equal_sql(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=str) == mixed_by_sql(str(tmp_path / "documents.parquet"), spark)
 
 
-def test_take_mixed_repeats_and_drops(spark):
-    docs = with_clashes(frame(spark, [(i, "x y", "en", "s", 3) for i in range(4)]), "epochs", "epochs_taken", "mixed_id")
-    mixed = spark.createDataFrame([(0, 0), (1, 1), (2, 3)], "doc_id long, epochs long")
-    taken = source_mixing.take_mixed(docs, mixed)
+def test_take_mixed_repeats_and_drops(spark, tmp_path):
+    """Rows that share an id, or have none, keep decisions of their own: a leaf of 40 rows of one word is taken up to its budget."""
+    rows = [(1 if i % 2 else None, "word", "en", f"src_{i % 3}", 4) for i in range(120)]
+    frame(spark, rows).repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = with_clashes(spark.read.parquet(str(tmp_path / "docs")), "epochs", "epochs_taken", "mixed_key", "row_key_")
+    taken = source_mixing.take_mixed(docs, 50, 1)
     assert taken.columns == docs.columns
-    assert sorted(r["doc_id"] for r in taken.collect()) == [1, 2, 2, 2]
+    assert 55 <= taken.count() <= 60  # half of 120 words, shares of leaves rounded down
+    assert source_mixing.take_mixed(docs, 100, 2).count() == 120
+    assert source_mixing.take_mixed(docs.limit(0), 50, 1).count() == 0
     empty = source_mixing.mix_sources(docs.limit(0).select("doc_id", F.lit("web").alias("domain"), "lang", "source", F.lit(1).alias("n_tokens")))
     assert empty.count() == 0
+
+
+def test_leaves_without_weight_leave_their_budget_to_others(spark):
+    leaves = [("web", "en", "a", 500), ("web", "de", "b", 1000), ("books", "en", "c", 3000)]
+    frame_ = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    weights = {"domain": {"web": 50, "books": 50}, "lang": {"en": 1, "de": 0}}
+    found = {(r["domain"], r["lang"]): r["share"] for r in source_mixing.leaf_budgets(frame_, 2000, 1, weights).collect()}
+    assert found == {("web", "en"): 500, ("books", "en"): 1500}
+    with pytest.raises(ValueError, match="negative"):
+        source_mixing.leaf_budgets(frame_, 2000, 1, {"domain": {"web": -1}})
+
+
+def plain_shuffle(rows, shards, seed, n_buckets, bucket_of):
+    """``{row: (shard, slot)}`` by plain lists: buckets one after another, each shuffled whole."""
+    buckets = {}
+    for row in rows:
+        buckets.setdefault(bucket_of[row], []).append(row)
+    order = []
+    for b in sorted(buckets):
+        held = sorted(buckets[b])
+        order += [held[k] for k in np.random.default_rng([seed, b]).permutation(len(held))]
+    n, out = len(order), {}
+    for rank, row in enumerate(order):
+        shard = rank * shards // n
+        out[row] = (shard, rank - -(-shard * n // shards))
+    return out
+
+
+def test_query_equals_a_plain_shuffle(spark, small_dir):
+    found = external_shuffle.external_shuffle(spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text"), bucket_bytes=20_000).collect()
+    bucket_of = {(r["doc_id"], r["text_crc32"], r["size"]): r["bucket"] for r in found}
+    assert len(set(bucket_of.values())) > 5
+    expect = plain_shuffle(bucket_of, 24, external_shuffle.SEED, 0, bucket_of)
+    assert {(r["doc_id"], r["text_crc32"], r["size"]): (r["shard"], r["slot"]) for r in found} == expect
+    assert external_shuffle.op2(spark, small_dir).select("doc_id").distinct().count() == len(expect)
+
+
+def test_equal_rows_are_scattered(spark):
+    docs = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text in every row").alias("text"))
+    sizes = [r["count"] for r in external_shuffle.external_shuffle(docs, bucket_bytes=200_000).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 100_000 and len(sizes) > 10 and max(sizes) < 2 * 100_000 / len(sizes)
