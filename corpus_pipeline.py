@@ -22,14 +22,13 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, 80 %."""
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    return docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates (five-word shingles, 80 %), of repeated rows, and of copies without an id."""
+    return near_dedup.without_near_duplicates(docs).select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms in place of personal data; ``n_chars`` follows the text."""
-    out = pii.pseudonymise(docs, counts=None)
+    """Documents with pseudonyms in place of personal data, under the session's key; ``n_chars`` follows the text."""
+    out = pii.pseudonymise(docs, pii.key_of(spark), counts=None)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -37,9 +36,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents taken under the token budgets of the tree of domain, language and source."""
-    counted = docs.select("doc_id", source_mixing.domain_of(F.col("source")).alias("domain"), "lang", "source", source_mixing.n_words().alias("n_tokens"))
-    mixed = source_mixing.mix_sources(counted, budget_percent=MIX_PERCENT, max_epochs=1)
-    return source_mixing.take_mixed(docs, mixed).select(*docs.columns)
+    return source_mixing.take_mixed(docs, MIX_PERCENT, 1).select(*docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
