@@ -61,13 +61,13 @@ def with_delta_e_2000(rows: DataFrame, name: str, first: tuple[Column, Column, C
     return held.withColumn(name, F.sqrt(dl * dl + dc * dc + dd * dd + F.col("rt__") * dc * dd)).drop(*made)
 
 
-def material_masses(seed: Column, background: Column, other: Column, temperature: float = 1.0) -> dict[str, Column]:
+def material_masses(seed: Column, background: Column, other: Column, temperature: float = 1.0, unknown_weight: float = 1.0) -> dict[str, Column]:
     """Masses of seed, nonseed, conflict and unknown from three supports in 0 to 1; they sum to 1.
 
     Nonseed support is the noisy-or of background and other material. Without any mass everything is unknown.
     """
     nonseed = 1 - (1 - background) * (1 - other)
-    raw = {"seed": seed * (1 - nonseed), "nonseed": nonseed * (1 - seed), "conflict": 2 * seed * nonseed, "unknown": (1 - seed) * (1 - nonseed)}
+    raw = {"seed": seed * (1 - nonseed), "nonseed": nonseed * (1 - seed), "conflict": 2 * seed * nonseed, "unknown": unknown_weight * (1 - seed) * (1 - nonseed)}
     raw = {k: F.pow(v, F.lit(1 / temperature)) for k, v in raw.items()}
     total = raw["seed"] + raw["nonseed"] + raw["conflict"] + raw["unknown"]
     return {k: F.when(total > 0, v / total).otherwise(1.0 if k == "unknown" else 0.0) for k, v in raw.items()}
@@ -85,11 +85,11 @@ def weighted_support(supports: list[Column], weights: list[float], authorities:
     return F.try_divide(value, F.nullif(total, F.lit(0.0)))
 
 
-def conditional_masses(seed: Column, background: Column, other: Column) -> dict[str, Column]:
-    """Masses of background, other, both and neither among what is not seed; they sum to 1 less ``seed``."""
-    raw = {"background": background * (1 - other), "other": other * (1 - background), "both": 2 * background * other, "neither": (1 - background) * (1 - other)}
-    total = raw["background"] + raw["other"] + raw["both"] + raw["neither"]
-    return {k: (1 - seed) * F.when(total > 0, v / total).otherwise(1.0 if k == "neither" else 0.0) for k, v in raw.items()}
+def conditional_masses(background: Column, other: Column, unknown_weight: float = 1.0) -> dict[str, Column]:
+    """Masses of background, other, both and neither, given that a place is not seed; they sum to 1."""
+    raw = {"background": background * (1 - other), "other": other * (1 - background), "both": 2 * background * other, "neither": unknown_weight * (1 - background) * (1 - other)}
+    total = F.greatest(raw["background"] + raw["other"] + raw["both"] + raw["neither"], F.lit(1e-8))
+    return {k: v / total for k, v in raw.items()}
 
 
 def class_masses(scores: dict[str, Column], contrast: float, unknown: float = 0.08) -> dict[str, Column]:

@@ -30,6 +30,14 @@ def balance_error(rows: DataFrame, group: str, source: str, weight: str) -> Data
     return join_nulls(sums, totals, [group]).groupBy(group, "sources").agg(F.max(share).alias("largest"), F.max(F.abs(share - 1.0 / F.col("sources"))).alias("error"))
 
 
+def weight_signature(rows: DataFrame, group: str, source: str, weight: str) -> DataFrame:
+    """``group, source, share, largest``: each source's part of its group's weight, and whether no other has more."""
+    sums = Workspace(rows.sparkSession, "signature").save(rows.groupBy(group, source).agg(F.sum(weight).alias("w")), "sums")
+    totals = sums.groupBy(group).agg(F.sum("w").alias("total"), F.max("w").alias("most"))
+    joined = join_nulls(sums, totals, [group])
+    return joined.select(group, source, F.try_divide(F.col("w").cast("double"), F.col("total").cast("double")).alias("share"), (F.col("w") == F.col("most")).alias("largest"))
+
+
 def strata(rows: DataFrame, fields: dict[str, str], measures: dict[str, Column]) -> DataFrame:
     """``field, stratum`` and measures, for each field by itself: one pass of grouping sets. Missing is ``unknown``."""
     named = rows.select("*", *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(f"{f}__") for f, c in fields.items()))

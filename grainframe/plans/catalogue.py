@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grainframe.plans import overlap, statistics, study
+from grainframe.plans import audit, banks, overlap, signals, statistics, study
 
-_ALL = overlap.QUERIES | statistics.QUERIES | study.QUERIES
+_ALL = overlap.QUERIES | statistics.QUERIES | study.QUERIES | audit.QUERIES | banks.QUERIES | signals.QUERIES
 
 
 def queries():
