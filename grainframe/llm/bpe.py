@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainframe.llm.common import columns_of, free_name, table, without
+from grainframe.llm.common import columns_of, free_name, lean, table, without
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The pre-tokenizer's pattern, published with the byte-level vocabularies.
@@ -36,7 +36,7 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 _RUN = regex.compile(r" (?:\s|\Z)")
 #: Words remembered between slices of a batch, and bytes of text in a slice: together they bound a task's memory.
 CACHE = 60_000
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 2_500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -248,7 +248,7 @@ def bpe_encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text: str
 
     source = base.select("*", F.col(text).cast("string").alias(free_name(base, "text_given")))
     types = f"`{ids}` array<int>" + ("" if decoded is None else f", `{decoded}` string")
-    return source.mapInArrow(run, f"{columns_of(base) + ', ' if names else ''}{types}")
+    return source.mapInArrow(lean(run), f"{columns_of(base) + ', ' if names else ''}{types}")
 
 
 def bpe_decode(frame: DataFrame, vocabulary: Vocabulary | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -269,7 +269,7 @@ def bpe_decode(frame: DataFrame, vocabulary: Vocabulary | None = None, ids: str
                 texts.append(_decoded(found, tokens))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, decoded])
 
-    return base.mapInArrow(run, f"{columns_of(base)}, `{decoded}` string")
+    return base.mapInArrow(lean(run), f"{columns_of(base)}, `{decoded}` string")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

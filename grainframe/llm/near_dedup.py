@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainframe.llm.common import Workspace, free_name, table, with_row_key
+from grainframe.llm.common import Workspace, free_name, lean, table, with_row_key
 from grainframe.operators.components import connected_components
 from grainframe.llm.runs import sorted_runs
 
@@ -102,7 +102,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                 names=["doc", "n", "digest", "bands", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc bigint, n bigint, digest binary, bands array<bigint>, sketch binary")
+    return docs.mapInArrow(lean(run), "doc bigint, n bigint, digest binary, bands array<bigint>, sketch binary")
 
 
 def least_agreement(percent: int) -> int:
@@ -122,7 +122,7 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, least: int, percent: int) -
             alike = pa.array((x == y).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(alike) for i in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
             kept = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
             found = [np.sort(np.fromiter(map(digest, shingles(x.as_py(), size)), np.uint64)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["doc", "n", "hashes"])
 
-    return texts.select("doc", "text").mapInArrow(run, "doc bigint, n bigint, hashes binary")
+    return texts.select("doc", "text").mapInArrow(lean(run), "doc bigint, n bigint, hashes binary")
 
 
 def block_links(sets: list[np.ndarray], component: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -204,7 +204,7 @@ def _blockwise(members: DataFrame, percent: int) -> DataFrame:
                 a, b = docs[np.array(links)].T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _pivots(held: DataFrame, seed: int) -> DataFrame:

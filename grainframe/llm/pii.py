@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainframe.llm.common import columns_of, table, without
+from grainframe.llm.common import columns_of, lean, table, without
 
 #: Where the session's key is found, and the key of tests and of queries of a session that has none.
 KEY_SETTING, TEST_KEY = "spark.grainframe.pseudonymKey", "grainframe-pseudonyms"
@@ -341,7 +341,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", counts: str |
                 columns.append(pa.array([list(c.items()) for _, c in found], pa.map_(pa.string(), pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *made])
 
-    return base.mapInArrow(run, columns_of(base) + (f", `{counts}` map<string,bigint>" if counts else ""))
+    return base.mapInArrow(lean(run), columns_of(base) + (f", `{counts}` map<string,bigint>" if counts else ""))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainframe.llm.common import without
+from grainframe.llm.common import lean, without
 
 #: Common words of each reference language, lower case.
 LANGUAGES = {
@@ -248,7 +248,7 @@ def quality_rules(
     source = base.select("*", F.col(text).cast("binary").alias("\x01text")) if text in kept_names else None
     if source is None:
         raise ValueError(f"no column {text}")
-    return source.mapInArrow(run, f"{given}, {_ADDED}")
+    return source.mapInArrow(lean(run), f"{given}, {_ADDED}")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
