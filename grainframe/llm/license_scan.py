@@ -1,14 +1,15 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-A document's header is its lines that speak of a licence. Each sentence, line and paragraph of it is compared by itself with
-statements, and the whole text with full licence texts where it has their signs; copyright lines are left out. In short parts
-unknown words have no weight, but the licence must be named, and a version must agree. An SPDX tag counts as it stands,
-expressions included. Parts and templates become sparse vectors of words, weighted by
-count and inverse frequency among the templates; the dot products come from a join of header words with the words of the
-templates (a table of fixed size, broadcast), and only documents that have a header are exploded. A document whose text is
-mostly header, is a full licence text, or has the name of a licence file is one: its licence holds for its directory. Each directory takes the licence of its nearest
-ancestor that has one, itself included, by an equi-join of its ancestors' paths; documents without a licence of their own
-take that of their directory. Everything is DataFrame functions; texts are never shuffled.
+A document's header is its lines that speak of a licence. Each sentence and line of it, and each paragraph that is to a
+good part header, is compared by itself with statements, and the whole text with full licence texts where it has their
+signs; copyright lines are left out. In short parts unknown words have no weight, but the licence must be named, and a
+version must agree. An SPDX tag counts as it stands, expressions included. Parts and templates become sparse vectors of
+words, weighted by count and inverse frequency among the templates; the dot products come from a join of header words with
+the words of the templates (a table of fixed size, broadcast), and only documents that have a header are exploded: these are
+written once. A document whose text is mostly header, is a full licence text, or has the name of a licence file is one: its
+licence holds for its directory. Each directory takes the licence of its nearest ancestor that has one, itself included, by
+an equi-join of its ancestors' paths; documents without a licence of their own take that of their directory. Everything is
+DataFrame functions; texts are never shuffled.
 
 Defined results: null and empty texts have no header. Without a match of at least ``MIN_COSINE`` and without an ancestor's
 licence, ``licence`` is null and ``origin`` is ``none``. If a directory has several licence files, the highest cosine
@@ -21,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import lru_cache
+from functools import lru_cache, reduce
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame
@@ -68,11 +69,14 @@ SHORT = 40
 NAMES = {"Apache": ["apache"], "BSD": ["bsd", "redistribution"], "CC": ["cc", "commons"], "AGPL": ["affero", "agpl"], "GPL": ["gnu", "gpl"], "LGPL": ["lesser", "lgpl"], "ISC": ["isc"], "MIT": ["mit", "hereby"], "MPL": ["mozilla", "mpl"]}
 VERSION = r"^v?[0-9](\.[0-9]+)*$"
 FULL_SIGN = r"(?i)permission is hereby granted|is hereby granted, provided|redistribution and use in source|terms and conditions|public license|cc0 1\.0|lesser general"
+#: One of these is in every text that HEADER or FULL_SIGN finds; looking for them first spares most texts the patterns.
+SIGNS = ("licen", "copyright", "spdx-", "hereby granted", "redistribution and use", "terms and conditions", "cc0 1.0", "lesser general")
 FILE_NAME = r"(?i)(^|/)(un)?(licen[sc]e|copying)[^/]*$"
 SPDX = r"(?i:SPDX-License-Identifier):[ \t]*(\(*[A-Za-z0-9][A-Za-z0-9.+\-]*\)*(?:[ ]+(?:OR|AND|WITH)[ ]+\(*[A-Za-z0-9][A-Za-z0-9.+\-]*\)*)*)"
 COPYRIGHT_LINE = r"(?im)^[^a-z0-9\n]*(?:copyright\b|\(c\)|©)(?![^\n]*licen[sc]e)[^\n]*$|^[^a-z0-9\n]*all rights reserved[.]?[ \t]*$"
-#: A licence file is header for at least this share of its characters.
+#: A licence file is header for at least this share of its characters; a paragraph that is compared whole, for this one.
 FILE_SHARE = 0.5
+PARAGRAPH_SHARE = 0.25
 
 
 def _words(text: str) -> list[str]:
@@ -128,16 +132,24 @@ def nearest_template(parts: DataFrame, templates: dict[str, str], short: int = 0
     return cosines.groupBy("doc_id", "path").agg(F.max("cosine").alias("cosine"), F.min_by("licence", F.struct(-F.col("cosine"), F.col("licence"))).alias("licence"))
 
 
-def own_licences(docs: DataFrame, templates: dict[str, str] | None = None, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """``doc_id, path, licence, cosine, is_file`` of the documents (doc_id, path, text) that declare a licence.
+def headed_texts(docs: DataFrame) -> DataFrame:
+    """The documents with a header or the signs of a full text, and ``bare``: the text without copyright lines."""
+    low = F.lower("text")
+    signed = reduce(Column.__or__, (low.contains(sign) for sign in SIGNS))
+    found = docs.where(signed).where(F.col("text").rlike(HEADER) | F.col("text").rlike(FULL_SIGN))
+    return found.withColumn("bare", F.regexp_replace("text", COPYRIGHT_LINE, ""))
+
+
+def own_licences(headed: DataFrame, templates: dict[str, str] | None = None, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """``doc_id, path, licence, cosine, is_file`` of those of the ``headed_texts`` that declare a licence.
 
     An SPDX tag comes first, then a full text, then the best statement.
     """
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(HEADER))
-    headed = docs.where(F.col("text").rlike(HEADER) | F.col("text").rlike(FULL_SIGN)).withColumn("bare", F.regexp_replace("text", COPYRIGHT_LINE, ""))
     bare_lines = F.filter(F.split("bare", "\n"), lambda x: x.rlike(HEADER))
     sentences = F.flatten(F.transform(bare_lines, lambda x: F.split(x, r"(?<=[A-Za-z0-9)\"'][.;:])\s+(?=[A-Z(])")))
-    paragraphs = F.filter(F.split("bare", r"\n(?:[^A-Za-z0-9\n]*\n)+"), lambda x: x.rlike(HEADER))
+    told = lambda x: F.length(F.array_join(F.filter(F.split(x, "\n"), lambda line: line.rlike(HEADER)), "\n"))
+    paragraphs = F.filter(F.split("bare", r"\n(?:[^A-Za-z0-9\n]*\n)+"), lambda x: x.rlike(HEADER) & (told(x) >= PARAGRAPH_SHARE * F.length(x)))
     parts = headed.select("doc_id", "path", F.explode(F.array_distinct(F.concat(bare_lines, F.filter(sentences, lambda x: x.rlike(HEADER)), paragraphs))).alias("part"))
     stated = nearest_template(parts, templates or TEMPLATES, SHORT).where(F.col("cosine") >= min_cosine)
     whole = headed.where(F.col("text").rlike(FULL_SIGN)).select("doc_id", "path", F.col("bare").alias("part"))
@@ -169,7 +181,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, min_c
 
     ``origin`` is ``header``, ``file``, ``inherited`` or ``none``.
     """
-    own = Workspace(docs.sparkSession, "licences").save(own_licences(docs.select("doc_id", "path", "text"), templates, min_cosine), "own")
+    work = Workspace(docs.sparkSession, "licences")
+    headed = work.save(headed_texts(docs.select("doc_id", "path", "text")), "headed")
+    own = work.save(own_licences(headed, templates, min_cosine), "own")
+    work.drop("headed")
     files = own.where("is_file AND path IS NOT NULL").withColumn("dir", directory_of(F.col("path")))
     licensed = files.groupBy("dir").agg(F.min_by("licence", F.struct(-F.col("cosine"), F.col("licence"))).alias("licence"))
     rows = docs.select("doc_id", "path").withColumn("dir", directory_of(F.col("path")))
