@@ -149,7 +149,7 @@ def candidate_score(marker: Column, boundary: Column, area: Column, expected_are
 
 def scale_bar_length(pixels_per_mm: Column, width: Column) -> Column:
     """The length of 1, 2, 5 or 10 times a power of ten that is nearest to 12 % of the width; 10 without a scale."""
-    target = width * 0.12 / pixels_per_mm
+    target = F.try_divide(width * 0.12, pixels_per_mm)
     power = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(target, F.lit(0.1)))))
     best = F.array_min(F.transform(F.array(*(F.lit(x) for x in (1.0, 2.0, 5.0, 10.0))), lambda m: F.struct(F.abs(m * power - target).alias("off"), (m * power).alias("length"))))
     return F.when(pixels_per_mm > 0, best["length"]).otherwise(10.0)

@@ -30,6 +30,11 @@ def overlap_iou(counts: DataFrame, keys: list[str]) -> DataFrame:
     return joined.withColumn("iou", F.col("n") / (F.col("truth_area") + F.col("prediction_area") - F.col("n")))
 
 
+def overlap_above(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs that overlap by more than ``least``."""
+    return pairs.where(F.col("iou") > least)
+
+
 def ratio(a: Column, b: Column, empty: Column | None = None) -> Column:
     """``a / b``; null, or ``empty``, where ``b`` is 0."""
     found = F.try_divide(a.cast("double"), b.cast("double"))

@@ -1,0 +1,119 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from grainframe.operators import audits, components, hierarchy, measures, ordered, raster, signals, suppression, traits, vectors
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    from grainframe.sources.workspace import Workspace
+
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (None, 1)]
+    frame = spark.createDataFrame(links, "a long, b long").repartition(8)
+    found = {r["node"]: r["component"] for r in components.connected_components(frame, Workspace(spark, "t")).collect()}
+    assert found == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}}
+
+
+def test_groups_of_rows_with_null_keys_and_no_rows(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, None, "x"), (3, "a", "x"), (4, None, None), (5, "b", None)], "id int, p string, q string")
+    found = {r["id"]: r["component"] for r in components.independent_groups(rows, "id", {"p": F.col("p"), "q": F.col("q")}).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert components.independent_groups(rows.limit(0), "id", {"p": F.col("p")}).count() == 0
+
+
+def test_closure_with_cycles(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 8)], "source int, target int")
+    found = components.closure(edges, spark.createDataFrame([(1,), (4,), (9,)], "start int"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2), (1, 3), (1, 4), (4, 4), (9, 8), (9, 9)]
+
+
+def test_runs_and_ranks_over_many_ranges(spark):
+    rng = random.Random(2)
+    rows = [(k, i, rng.choice("ab") if k else "a") for k in range(3) for i in range(4000)] + [(7, 1, None), (7, 2, None), (7, 3, "a")]
+    frame = spark.createDataFrame(rows, "k int, i int, v string").repartition(5)
+    found = {r["k"]: (r["longest"], r["runs"]) for r in ordered.longest_runs(frame, "k", [F.col("i")], "v").collect()}
+    for k in (0, 1, 2, 7):
+        values = [v for kk, _, v in sorted(rows, key=lambda r: (r[0], r[1])) if kk == k]
+        runs, n = [], 0
+        for before, v in zip([object(), *values], values):
+            n = n + 1 if v == before else 1
+            runs.append((n, v == before))
+        assert found[k] == (max(n for n, _ in runs), sum(not same for _, same in runs))
+
+
+def test_greedy_suppression_equals_one_pass(spark):
+    rng = random.Random(4)
+    points = [(i, i % 3, rng.uniform(0, 60), rng.uniform(0, 60), round(rng.random(), 1)) for i in range(300)]
+    frame = spark.createDataFrame(points, "id int, k int, x double, y double, s double")
+    kept = []
+    for p in sorted(points, key=lambda p: (-p[4], p[0])):
+        if all(q[1] != p[1] or math.hypot(q[2] - p[2], q[3] - p[3]) >= 7 for q in kept):
+            kept.append(p)
+    assert sorted(r["id"] for r in suppression.suppress_near(frame, ["k"], "id", "x", "y", "s", 7.0).collect()) == sorted(p[0] for p in kept)
+    assert suppression.suppress_near(frame.limit(0), ["k"], "id", "x", "y", "s", 7.0).count() == 0
+
+
+def test_hulls_of_few_and_of_collinear_points():
+    assert raster.shape_of([(1, 1)]) == (0.0, 0.0, 0.0, 0.0)
+    area, around, widest, narrow = raster.shape_of([(0, 0), (1, 1), (2, 2), (3, 3)])
+    assert (area, narrow) == (0.0, 0.0) and widest == pytest.approx(math.sqrt(18)) and around == pytest.approx(2 * math.sqrt(18))
+    assert raster.shape_of([(0, 0), (4, 0), (4, 3), (0, 3), (2, 1), (2, 0)]) == pytest.approx((12.0, 14.0, 5.0, 3.0))
+
+
+def test_pieces_of_labels_by_four_and_eight_neighbours(spark):
+    cells = [("a", 0, 0, 1), ("a", 1, 1, 1), ("a", 1, 2, 1), ("a", 5, 5, 1), ("a", 0, 1, 2), ("a", 3, 3, None)]
+    frame = spark.createDataFrame(cells, "image string, y int, x int, label int")
+    assert {r["label"]: r["pieces"] for r in raster.continuity(frame, ["image"]).collect()} == {1: 2, 2: 1}
+    four = raster.label_components(frame, ["image"], raster.FOUR).groupBy("label").agg(F.count_distinct("component").alias("n"))
+    assert {r["label"]: r["n"] for r in four.collect()} == {1: 3, 2: 1}
+
+
+def test_wavelets_give_the_series_back(spark):
+    series = spark.range(90).select(F.lit("k").alias("key"), F.col("id").alias("t"), (F.col("id") * 37 % 11).cast("double").alias("v"))
+    found = signals.wavelets(series, "key", 4).withColumn("off", F.abs(F.col("v") - F.col("d1") - F.col("d2") - F.col("d3") - F.col("d4") - F.col("rest")))
+    assert found.count() == 90 and found.agg(F.max("off")).first()[0] < 1e-9
+    with pytest.raises(ValueError, match="longer"):
+        signals.wavelets(series.where("t < 10"), "key", 4)
+
+
+def test_circular_runs(spark):
+    rings = {"none": [0, 0, 0], "all": [1, 1], "wrap": [0, 0, 1, 0, 1, 0], "one": [0, 1, 0, 0]}
+    frame = spark.createDataFrame([(k, i, bool(v)) for k, ring in rings.items() for i, v in enumerate(ring)], "key string, t int, f boolean")
+    assert {r["key"]: r["longest"] for r in signals.circular_false_run(frame, "key", "f").collect()} == {"none": 3, "all": 0, "wrap": 3, "one": 3}
+
+
+def test_banks_refuse_to_grow_and_take_nothing(spark):
+    rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, [5.0, 5.0])], "id int, e array<double>")
+    bank = spark.createDataFrame([(1, [0.0, 0.0], [1.0, 1.0], 4.0), (2, [5.0, 5.0], [1.0, 1.0], 1.0)], "prototype int, centre array<double>, scale array<double>, weight double")
+    found = {r["id"]: (r["prototype"], round(r["similarity"], 6)) for r in vectors.prototype_similarity(rows, "e", bank).collect()}
+    assert found == {1: (1, round(math.exp(-0.25), 6)), 2: (2, round(0.78 + 0.22 * 0.5, 6))}
+    assert [tuple(r) for r in vectors.prototype_similarity(rows, "e", bank.limit(0)).select("prototype", "similarity").collect()] == [(None, 0.0)] * 2
+    with pytest.raises(ValueError, match="more than"):
+        vectors.one_row(spark.range(vectors.MAX_BANK + 1).withColumnRenamed("id", "prototype"), ["prototype"], [])
+
+
+def test_leakage_audit_of_nothing_and_of_a_chain(spark):
+    schema = "sample_id string, source_sha256 string, split_role string, truth_state string, biological_lot_id string, specimen_group_id string, physical_specimen_id string, capture_session_id string, capture_group_id string"
+    rows = [("a", "1", "development", "available", "L", None, None, "S1", None), ("b", "2", "validation", "available", "L", None, None, "S2", None), ("c", "3", "locked_test", "available", "M", None, None, "S2", None), ("d", "3", "locked_test", "available", "M", None, None, "S3", None)]
+    access = spark.createDataFrame([("x", "a")], "access_id string, sample_id string")
+    found = {r["code"]: (r["key"], r["n_ids"], r["roles"], r["kinds"]) for r in audits.leakage_audit(spark.createDataFrame(rows, schema), access).collect()}
+    kinds = "biological_lot_id,capture_session_id"
+    assert found == {
+        "related_groups_cross_splits": ("a", 4, "development,locked_test,validation", kinds),
+        "locked_test_access_recorded": ("x", 1, "development,locked_test", f"{kinds},source_sha256"),
+    }
+    none = spark.createDataFrame([], schema)
+    assert [r["code"] for r in audits.leakage_audit(none, access.limit(0)).collect()] == ["no_locked_test_samples"]
+
+
+def test_undefined_values(spark):
+    rows = spark.createDataFrame([("g", None, 1.0), ("g", "s", None)], "g string, s string, w double")
+    assert [r["balanced"] for r in hierarchy.source_balanced(rows, "g", "s", "w").orderBy("w").collect()] == [None, 1.0]
+    ring = spark.createDataFrame([(1, 2.0, 2.0), (2, 2.0, 1.0)], "a int, b double, c double")
+    assert measures.rank_disagreement(ring, [("b", "a")]).first()["disagreement"] == 1.0
+    assert traits.size_statistics(spark.createDataFrame([("k", 3.0, 0.5)], "k string, v double, e double"), ["k"], "v", "e").first()[1:] == (1, 3.0, 0.0, 0.5)
+    assert measures.evaluation_gate(spark.createDataFrame([], "sample_id int, reviewed boolean, annotation_author string, annotation_revision string, analysis_mode string, source_sha256 string, recipe_sha256 string, target_audit string, references_sha256 string"), "development").count() == 0
+    with pytest.raises(ValueError, match="protocol"):
+        measures.evaluation_gate(spark.range(1), "other")
