@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_source_mixing": source_mixing.SQL}
+    return {"op3_minhash_near_dedup": near_dedup.SQL, "op9_source_mixing": source_mixing.SQL}
