@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from grainframe.llm.common import columns_of, free_name, lean, table, without
 
@@ -232,13 +233,17 @@ def bpe_encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text: str
     base = without(docs, *made)
     names = base.columns
 
+    # a text that passes through anyway is sent to the workers once
+    passed = [i for i, f in enumerate(base.schema.fields) if f.name.lower() == text.lower() and f.dataType == StringType()]
+    at = passed[0] if passed else len(names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         tokens = shared.value.tokens
         for batch in batches:
-            for start, n in _slices(batch.column(len(names))):
+            for start, n in _slices(batch.column(at)):
                 part = batch.slice(start, n)
-                rows = list(encoder.encode(part.column(len(names)).to_pylist()))
+                rows = list(encoder.encode(part.column(at).to_pylist()))
                 offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
                 flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
                 found = [pa.ListArray.from_arrays(pa.array(offsets), flat)]
@@ -246,7 +251,7 @@ def bpe_encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text: str
                     found.append(pa.array([_decoded(np.frombuffer(r, dtype="<i4"), tokens) for r in rows], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *found], names=[*names, *made])
 
-    source = base.select("*", F.col(text).cast("string").alias(free_name(base, "text_given")))
+    source = base if passed else docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").cast("string").alias(free_name(base, "text_given")))
     types = f"`{ids}` array<int>" + ("" if decoded is None else f", `{decoded}` string")
     return source.mapInArrow(lean(run), f"{columns_of(base) + ', ' if names else ''}{types}")
 
