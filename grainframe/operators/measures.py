@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainframe.functions.measures import identity, kept_by_pattern
 from grainframe.operators.ordered import counted_quantiles, join_nulls, value_counts
-from grainframe.operators.statistics import mean_ranks
+from grainframe.operators.statistics import correlation, mean_ranks
 
 
 def thinned(mask: DataFrame, image: list[str], reviewed: DataFrame, weight: float) -> DataFrame:
@@ -65,7 +65,7 @@ def rank_disagreement(rows: DataFrame, channels: list[tuple[str, str]]) -> DataF
     for i, (a, b) in enumerate(channels):
         for side, column in (("a", a), ("b", b)):
             joined = joined.join(mean_ranks(rows, column, f"{side}{i}__"), column)
-        names.append(F.coalesce(F.nanvl(F.corr(f"a{i}__", f"b{i}__"), F.lit(0.0)), F.lit(0.0)))
+        names.append(F.coalesce(correlation(f"a{i}__", f"b{i}__"), F.lit(0.0)))
     return joined.agg(F.count("*").alias("n"), (1 - sum(names[1:], names[0]) / len(names)).alias("disagreement"))
 
 

@@ -62,11 +62,16 @@ def mean_ranks(frame: DataFrame, value: str, name: str) -> DataFrame:
     return found.select(value, (F.col("upto") - F.col("n") + (F.col("n") - 1) / 2).alias(name))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation as an aggregate; null where a column is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(frame: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """``keys, n, rho``: correlation of the mean ranks of two columns (ranks over all rows), by ``keys``."""
+    """``keys, n, rho``: correlation of the mean ranks of two columns (ranks over all rows), by ``keys``; null where ranks are constant."""
     rows = frame.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     both = rows.join(mean_ranks(rows, a, "rank_a"), a).join(mean_ranks(rows, b, "rank_b"), b)
-    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rank_a", "rank_b").alias("rho"))
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), correlation("rank_a", "rank_b").alias("rho"))
 
 
 def balanced_log_loss(frame: DataFrame, score: str, outcome: str, keys: list[str], edge: float = 1e-5) -> DataFrame:
