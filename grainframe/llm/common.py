@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,19 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return lean_run
 
 
+def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Places and numbers of rows of consecutive slices of about ``limit`` bytes; a longer text is a slice by itself."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and total + n > limit:
+            yield start, i - start
+            start, total = i, 0
+        total += n
+    if len(lengths) > start:
+        yield start, len(lengths) - start
+
+
 def crc32_of(column: Column) -> Column:
     """Unsigned CRC-32 of a value's UTF-8 text."""
     return F.crc32(column.cast("string").cast("binary"))
