@@ -39,8 +39,8 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
-        frame.write.parquet(self.path(name))
+    def save(self, frame: DataFrame, name: str, **options: str) -> DataFrame:
+        frame.write.options(**options).parquet(self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
     def append(self, frame: DataFrame, name: str) -> None:
