@@ -7,6 +7,7 @@ import platform
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,9 +54,12 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return lean_run
 
 
-def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
-    """Places and numbers of rows of consecutive slices of about ``limit`` bytes; a longer text is a slice by itself."""
-    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+def byte_lengths(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+
+
+def slices(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Places and numbers of consecutive rows whose lengths add up to ``limit`` at most; a longer row is a slice by itself."""
     start, total = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if i > start and total + n > limit:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainframe.llm.common import Workspace, columns_of, free_name, lean, slices, table, with_row_key, without
+from grainframe.llm.common import Workspace, byte_lengths, columns_of, free_name, lean, slices, table, with_row_key, without
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Characters of a piece, and of the stretch that two neighbours share.
@@ -169,7 +169,7 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY, text: str = "text", pi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(spec.value)
         for batch in batches:
-            for start, n in slices(batch.column(at), SLICE_BYTES):
+            for start, n in slices(byte_lengths(batch.column(at)), SLICE_BYTES):
                 part = batch.slice(start, n)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.counts(part.column(at).to_pylist()), pa.int64())], names=[*names, "n_tokens"])
 
