@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainframe.llm import bpe, external_shuffle, flac, license_scan, near_dedup, pii, quality_classifier, quality_rules, source_mixing, suffix_dedup, token_alignment, token_counts
+from grainframe.llm import bpe, external_shuffle, flac, license_scan, near_dedup, periodic_runs, pii, quality_classifier, quality_rules, source_mixing, suffix_dedup, token_alignment, token_counts
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_license_scan": license_scan.op8,
         "op9_source_mixing": source_mixing.op9,
         "op10_byte_pair_encoding": bpe.op10,
+        "op11_periodic_runs": periodic_runs.op11,
         "op12_tokenizer_alignment": token_alignment.op12,
         "op13_token_counts": token_counts.op13,
     }
