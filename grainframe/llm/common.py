@@ -26,13 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_row_key(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a key of its own for each row: the file it is read from and its place there, the same in every pass.
 
-    Rows that are not read as they are (as in tests) are numbered by Spark, in the order of its tasks.
+    Rows that are not read as they are, but come from a shuffle or from memory, are saved first.
     """
     node = docs._jdf.queryExecution().analyzed()
     while node.children().size() == 1 and node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         node = node.children().head()
     if node.children().size() or node.metadataOutput().isEmpty():
-        return docs.select("*", F.monotonically_increasing_id().cast("string").alias(name))
+        docs = Workspace(docs.sparkSession, "keyed").save(docs, "rows")
     return docs.select("*", F.concat_ws(":", F.xxhash64("_metadata.file_path").cast("string"), F.col("_metadata.row_index").cast("string")).alias(name))
 
 

@@ -1,14 +1,16 @@
 """Two-pass external shuffle into shards.
 
-Pass 1 scatters whole records uniformly into memory-sized buckets by a seeded hash of the record and of its place in the
-input, so records that repeat an id and a text are scattered like others. Pass 2 takes one bucket at a time,
+Pass 1 scatters whole records uniformly into memory-sized buckets by a seeded hash of all their columns. Rows that are
+equal in every column would meet in one bucket: where their copies fill more than a ``HOT_SHARE`` of a bucket, they are
+counted, and as many copies are dealt out anew by their number. So places hang on the rows alone, not on files, partitions
+or the order of tasks. Pass 2 takes one bucket at a time,
 puts its records in a fixed order, shuffles them by Fisher-Yates under a seed of the bucket, and writes them. The buckets
 one after another are a random order of all records; it is cut into shards whose counts are at most one apart (law
 ``rows``). A record's rank comes from prefix sums over bucket counts, taken in two levels, so that no task sees more than
 ``RUN`` counts and a summary row for each ``RUN`` buckets.
 
-Defined results: a null text has no bytes (its record still has 8) and checksum 0. Records that are equal in id and text
-are interchangeable. An empty table gives no shards. Extra columns travel along; those made here replace others of
+Defined results: a null text has no bytes (its record still has 8) and checksum 0. Rows are told apart by two 64-bit hashes
+of all columns; equal rows are interchangeable. An empty table gives no shards. Extra columns travel along; those made here replace others of
 their names.
 """
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainframe.llm.common import Workspace, columns_of, free_name, table, with_row_key, without
+from grainframe.llm.common import Workspace, columns_of, free_name, table, without
 from grainframe.llm.runs import sorted_runs
 
 SHARDS = 24
@@ -29,6 +31,8 @@ SEED = 20240607
 #: Bytes of a bucket: what one task shuffles in memory.
 BUCKET_BYTES = 16_000_000
 RECORD_BYTES = 8
+#: Equal rows that fill more than this part of a bucket are scattered by their number.
+HOT_SHARE = 8
 RUN = 1024
 _MADE = ("size", "text_crc32", "bucket", "position", "shard", "slot")
 
@@ -48,13 +52,24 @@ def external_shuffle(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     work = Workspace(docs.sparkSession, "external-shuffle")
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     base = without(docs, *_MADE)
-    key = free_name(base, "row_key")
-    base = with_row_key(base, key).withColumn("size", F.octet_length(data).cast("long") + RECORD_BYTES).withColumn("text_crc32", F.crc32(data))
-    total = base.agg(F.sum("size")).first()[0] or 0
-    n_buckets = max(1, -(-total // bucket_bytes))
-    hashed = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), "text_crc32", "size", F.col(key))
-    dealt = base.withColumn("bucket", F.pmod(hashed, F.lit(n_buckets))).drop(key)
-    names = dealt.columns
+    plain = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in base.schema.fields]
+    names, first, second, number = base.columns, *(free_name(base, n) for n in ("row_hash", "row_hash_2", "copy"))
+    # nulls are skipped by hashes, so each column is hashed with whether it is one
+    known = [x for c in plain for x in (c.isNull(), c)]
+    base = base.withColumn("size", F.octet_length(data).cast("long") + RECORD_BYTES).withColumn("text_crc32", F.crc32(data))
+    base = base.withColumn(first, F.xxhash64(F.lit(seed), *known)).withColumn(second, F.xxhash64(*known, F.lit(seed)))
+    equal = base.groupBy(first, second).agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    summed = equal.agg(F.sum(F.col("n") * F.col("size")), F.max(F.when(F.col("n") > 1, F.col("n") * F.col("size")))).first()
+    n_buckets = max(1, -(-(summed[0] or 0) // bucket_bytes))
+    dealt = base.withColumn(number, F.lit(0))
+    if (summed[1] or 0) * HOT_SHARE > bucket_bytes:
+        hot = work.save(equal.where((F.col("n") > 1) & (F.col("n") * F.col("size") * HOT_SHARE > bucket_bytes)).select(first, second, F.col("n").cast("int").alias(number)), "hot")
+        rows = F.struct(*(F.col(f"`{c}`") for c in [*names, "size", "text_crc32"]))
+        copies = base.join(hot, [first, second]).groupBy(first, second, number).agg(F.first(rows).alias("row"))
+        copies = copies.select("row.*", first, second, F.explode(F.sequence(F.lit(0), F.col(number) - 1)).alias(number))
+        dealt = dealt.join(hot, [first, second], "left_anti").unionByName(copies)
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), first, number), F.lit(n_buckets))).drop(second, number)
+    kept = [c for c in dealt.columns if c != first]
 
     def fisher_yates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in sorted_runs(batches, ["bucket"]):
@@ -65,9 +80,9 @@ def external_shuffle(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
             for part in records.take(pa.array(order)).combine_chunks().to_batches(max_chunksize=4096):
                 at = place[order[: part.num_rows]]
                 order = order[part.num_rows :]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at)], names=[*names, "position"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(at)], names=[*kept, "position"])
 
-    laid = dealt.repartition("bucket").sortWithinPartitions("bucket", doc_id, "text_crc32", "size").mapInArrow(fisher_yates, f"{columns_of(dealt)}, position bigint")
+    laid = dealt.repartition("bucket").sortWithinPartitions("bucket", doc_id, "text_crc32", "size", first).mapInArrow(fisher_yates, f"{columns_of(dealt.select(*(f'`{c}`' for c in kept)))}, position bigint")
     written = work.save(laid, "buckets")
     counts = written.groupBy("bucket").agg(F.count("*").alias("n"))
     ranked = written.join(_offsets(counts), "bucket").withColumn("rank", F.col("offset") + F.col("position"))

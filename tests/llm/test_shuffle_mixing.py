@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainframe.llm import external_shuffle, source_mixing
+from grainframe.llm import common, external_shuffle, source_mixing
 
 from .cases import frame, with_clashes
 
@@ -38,6 +38,22 @@ def test_shuffle_of_many_buckets(spark):
     assert external_shuffle.external_shuffle(docs.limit(0)).count() == 0
 
 
+def test_places_hang_on_the_rows_alone(spark, tmp_path):
+    """The same rows from other files, partitions and orders, copies included, get the same places."""
+    repeated = [(77, "the same row again and again", "en", "src_0", 28)] * 300 + [(78, None, None, None, None)] * 40
+    docs = frame(spark).union(frame(spark, repeated)).union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    docs.repartition(7).write.parquet(str(tmp_path / "other"))
+    found = []
+    for given in (spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "other")), docs.orderBy(F.rand(3)), docs.repartition(5, "lang")):
+        out = external_shuffle.external_shuffle(given, shards=5, bucket_bytes=4000)
+        found.append(sorted(map(tuple, out.select("doc_id", "text_crc32", "source", "bucket", "shard", "slot").collect()), key=str))
+    assert len(found[0]) == docs.count() and len({r[3] for r in found[0]}) > 20
+    assert found[0] == found[1] == found[2] == found[3]
+    buckets = [r[3] for r in found[0] if r[0] == 77]
+    assert max(map(buckets.count, set(buckets))) < 40
+
+
 def test_written_shards_hold_all_rows(spark, tmp_path):
     found = external_shuffle.external_shuffle(frame(spark), shards=4)
     external_shuffle.write_shards(found, str(tmp_path / "shards"))
@@ -125,3 +141,11 @@ def test_equal_rows_are_scattered(spark):
     docs = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text in every row").alias("text"))
     sizes = [r["count"] for r in external_shuffle.external_shuffle(docs, bucket_bytes=200_000).groupBy("bucket").count().collect()]
     assert sum(sizes) == 100_000 and len(sizes) > 10 and max(sizes) < 2 * 100_000 / len(sizes)
+
+
+def test_row_keys_stay_the_same_in_every_pass(spark):
+    keyed = common.with_row_key(frame(spark).orderBy(F.rand()), "k")
+    keys = lambda: sorted((r["k"], r["doc_id"] or -1) for r in keyed.collect())
+    assert keys() == keys() and len({k for k, _ in keys()}) == frame(spark).count()
+    mixed = [source_mixing.take_mixed(frame(spark).orderBy(F.rand()), 100, 1) for _ in range(2)]
+    assert all(sorted(map(tuple, m.collect()), key=str) == sorted(map(tuple, m.collect()), key=str) for m in mixed)
