@@ -5,7 +5,10 @@ range, dates by the calendar, telephone numbers and social security numbers by t
 within their format by a keyed Feistel network: the same value gets the same pseudonym in every document, different values
 get different ones, and a pseudonym passes the same check. Mail addresses keep their domain and the class of each
 character of the local part. Secrets assigned to a name that holds a keyword (``aws_secret_access_key = "..."``) are taken
-whole, to their closing quote or to white space; they keep their length, and the class of each character.
+whole, to their closing quote or to white space; they keep their length, and the class of each character. A keyword ends where
+its name does, at ``_``, ``-`` or a digit, or before a capital: ``tokens`` and ``secretary`` name no secret. Nor does a plain word that
+follows a colon and is followed by another. Dates are day first where that gives a day of the calendar, else month first; those
+of the second kind are permuted among themselves.
 
 One map over the documents; nothing is shuffled. Texts without a digit are passed on as they are.
 
@@ -39,7 +42,7 @@ KEY_SETTING, TEST_KEY = "spark.grainframe.pseudonymKey", "grainframe-pseudonyms"
 ROUNDS = 10
 
 FORMS = {
-    "secret": r"""(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]*?(?i:api[_-]?key|access[_-]?key|secret|token|password|passwd))(?<name>[A-Za-z0-9_\-]++)(?<link>\\?["'`]?[ \t]*+(?::=|=>|={1,2}|:)[ \t]*+(?:(?i:bearer|basic)[ ]+)?)(?:(?<open>\\?["'`])(?:(?i:bearer|basic)[ ]+)?(?<quoted>(?:(?!(?P=open))(?:\\[^\n]|[^\\\n]))++)(?P=open)|\\?["'`]?(?<bare>[^\s"'`]++))""",
+    "secret": r"""(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]*?(?i:api[_-]?key|access[_-]?key|secret(?:key)?|token(?:key)?|password|passwd)(?:(?<=[a-z])(?=[A-Z])|(?![A-Za-z])))(?<name>[A-Za-z0-9_\-]++)(?<link>\\?["'`]?[ \t]*+(?::=|=>|={1,2}|:)[ \t]*+(?:(?i:bearer|basic)[ ]+)?)(?:(?<open>\\?["'`])(?:(?i:bearer|basic)[ ]+)?(?<quoted>(?:(?!(?P=open))(?:\\[^\n]|[^\\\n]))++)(?P=open)|(?!(?<=:[ \t])[A-Z]?[a-z]+[.,;!?]*+[ \t]+[A-Za-z])\\?["'`]?(?<bare>[^\s"'`]++))""",
     "email": r"(?<![A-Za-z0-9._%+\-])(?=[._%+\-]*+[A-Za-z0-9])(?<local>[A-Za-z0-9._%+\-]++)@(?<domain>[A-Za-z0-9][A-Za-z0-9\-]*+(?:\.[A-Za-z0-9\-]++)+)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
@@ -58,6 +61,8 @@ _PASSWORD = regex.compile("(?i)passw")
 BLOCK = 64
 _DIGIT, _DIGITS, _WORDS = regex.compile("[0-9]"), regex.compile("[0-9]+"), regex.compile("[A-Z0-9]+")
 DATE_FROM, DATE_TO = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Days that can't be read day first when they are written month first.
+_MONTH_FIRST = [day for day in range(DATE_FROM, DATE_TO + 1) if datetime.date.fromordinal(day).day > 12]
 
 
 #: Digits of cards by their first digits (the longest that fits counts).
@@ -216,12 +221,17 @@ class Pseudonyms:
         if kind == "date":
             first = found["y"] is not None
             y, m, d, mark = (int(found["y"]), int(found["m"]), int(found["d"]), found["s"]) if first else (int(found["y2"]), int(found["m2"]), int(found["d2"]), found["s2"])
+            month_first = not first and m > 12
             try:
-                day = datetime.date(y, m, d).toordinal()
+                day = (datetime.date(y, d, m) if month_first else datetime.date(y, m, d)).toordinal()
             except ValueError:
                 return None
             if not DATE_FROM <= day <= DATE_TO:
                 return None
+            if month_first:
+                days = _MONTH_FIRST
+                at = datetime.date.fromordinal(days[self.feistel.move(bisect.bisect_left(days, day), len(days), b"date-month-first")])
+                return f"{at.month:02d}{mark}{at.day:02d}{mark}{at.year:04d}"
             at = datetime.date.fromordinal(DATE_FROM + self.feistel.move(day - DATE_FROM, DATE_TO - DATE_FROM + 1, b"date"))
             return f"{at.year:04d}{mark}{at.month:02d}{mark}{at.day:02d}" if first else f"{at.day:02d}{mark}{at.month:02d}{mark}{at.year:04d}"
         if kind == "email":
@@ -316,9 +326,12 @@ class Pseudonyms:
         return "".join([*out, text[last:]]) if out else text, counts
 
 
-def key_of(spark: SparkSession) -> bytes:
-    """The session's key. Production sets it; without it queries run under the key of the tests."""
-    return spark.conf.get(KEY_SETTING, TEST_KEY).encode()
+def key_of(spark: SparkSession, otherwise: str | None = None) -> bytes:
+    """The session's key. A session without one gets ``otherwise``, which only registered queries and tests give; else that is an error."""
+    key = spark.conf.get(KEY_SETTING, None) or otherwise
+    if not key:
+        raise ValueError(f"set {KEY_SETTING}: pseudonyms need a key of their own")
+    return key.encode()
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", counts: str | None = "pii_counts") -> DataFrame:
@@ -346,5 +359,5 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", counts: str |
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """``op6_pii_pseudonyms``: every document's text under pseudonyms, and the number of values of each kind."""
-    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
+    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark, TEST_KEY))
     return found.select("doc_id", "text", *(F.coalesce(F.col("pii_counts")[kind], F.lit(0)).cast("long").alias(f"n_{kind}") for kind in FORMS))

@@ -154,3 +154,34 @@ def test_values_next_to_other_digits_are_found():
     one, other = (names.apply(x)[0] for x in (f"{phone} 1200", f"{phone}"))
     assert one == f"{other} 1200"
     assert names.apply("+4915112345678")[1] == {"phone": 1}
+
+
+def test_prose_stays_as_it_is():
+    names = pii.Pseudonyms(KEY)
+    for text in ("passwords: several people", "user tokens: 12345678 items", "secretary: Johnathan12345", "Secretaries = Anna12345678", "password: several people know it", "The token: Something else entirely", "tokenizer = WordPiece12345678", "secrecy: abcdefgh12345678"):
+        assert names.apply(text) == (text, {}), text
+    for text in ("password: hunter2 and more", "accessToken = abcdEFGH1234", "secretKey: abcdEFGH1234", "DB_PASSWORD: correcthorse", "token2 = abcdEFGH1234", "userpassword='several people'", "API-KEY: abcdefgh12345678 x", "secret=abcdefghijklmnopqrst is it"):
+        assert names.apply(text)[1] == {"secret": 1}, text
+
+
+def test_dates_written_month_first():
+    names = pii.Pseudonyms(KEY)
+    new, counts = names.apply("on 12/31/1999, 31/12/1999 and 13/13/1999")
+    assert counts == {"date": 2}
+    first, second = new.split()[1].rstrip(","), new.split()[2]
+    month, day, year = map(int, first.split("/"))
+    assert day > 12 and datetime.date(year, month, day) and first != "12/31/1999"
+    assert second == names.of("date", "31/12/1999") and new.endswith("13/13/1999")
+    every = {names._of("date", f"{m:02d}/{d:02d}/2024") for m in range(1, 13) for d in range(13, 29)}
+    assert len(every) == 12 * 16 and all(int(x.split("/")[1]) > 12 for x in every)
+
+
+def test_a_key_is_asked_for(spark):
+    with pytest.raises(ValueError):
+        pii.key_of(spark)
+    assert pii.key_of(spark, "given") == b"given"
+    spark.conf.set(pii.KEY_SETTING, "own")
+    try:
+        assert pii.key_of(spark, "given") == b"own"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
