@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grainframe.plans import audit, banks, measures, overlap, signals, statistics, study
+from grainframe.plans import audit, banks, measures, overlap, selection, signals, statistics, study
 
-_ALL = overlap.QUERIES | statistics.QUERIES | study.QUERIES | audit.QUERIES | banks.QUERIES | signals.QUERIES | measures.QUERIES
+_ALL = overlap.QUERIES | statistics.QUERIES | study.QUERIES | audit.QUERIES | banks.QUERIES | signals.QUERIES | measures.QUERIES | selection.QUERIES
 
 
 def queries():

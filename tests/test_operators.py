@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from grainframe.operators import audits, components, hierarchy, measures, ordered, raster, signals, suppression, traits, vectors
+from grainframe.operators import audits, components, hierarchy, measures, ordered, packing, raster, signals, suppression, traits, vectors
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
@@ -55,6 +55,38 @@ def test_greedy_suppression_equals_one_pass(spark):
     assert suppression.suppress_near(frame.limit(0), ["k"], "id", "x", "y", "s", 7.0).count() == 0
 
 
+def packed(nodes, links):
+    """The process over all candidates at once: (id, annotated, score, area, group) and pairs of ids."""
+    order = sorted(nodes, key=lambda n: (not n[1], -n[2], -n[3], n[0]))
+    against = {n[0]: {b for a, b in links if a == n[0]} | {a for a, b in links if b == n[0]} | {m[0] for m in nodes if m[4] == n[4]} - {n[0]} for n in nodes}
+    by_id, chosen = {n[0]: n for n in nodes}, set()
+    for n in order:
+        if not against[n[0]] & chosen:
+            chosen.add(n[0])
+    for _ in range(2):
+        for n in order:
+            out = against[n[0]] & chosen
+            if n[0] not in chosen and out and not any(by_id[j][1] for j in out) and n[2] > sum(by_id[j][2] for j in out) + 1e-6:
+                chosen = chosen - out | {n[0]}
+    for n in order:
+        if not against[n[0]] & chosen:
+            chosen.add(n[0])
+    return chosen
+
+
+@pytest.mark.parametrize("max_nodes", [3, 20_000])
+def test_packing_equals_one_process(spark, max_nodes):
+    """Components settled by one task, and by rounds of Spark; ties in score, annotated ones, large groups."""
+    rng = random.Random(max_nodes)
+    nodes = [(i, rng.random() < 0.1, rng.choice([0.2, 0.3, 0.5, 0.55, 0.9, 1.1]), rng.randrange(1, 4), rng.randrange(90) if i % 3 else 1000 + i) for i in range(200)]
+    links = [(a, b) for a, b in ((rng.randrange(150), rng.randrange(150)) for _ in range(170)) if a != b]
+    frame = spark.createDataFrame(nodes, "id int, marked boolean, score double, area int, marker int").repartition(3)
+    both = spark.createDataFrame([*links, *((b, a) for a, b in links), (7, 7), (5, 900)], "a int, b int")
+    found = packing.pack(frame, "id", both, ["marker"], F.col("marked"), max_nodes=max_nodes)
+    assert sorted(r["id"] for r in found.collect()) == sorted(packed(nodes, links))
+    assert packing.pack(frame.limit(0), "id", both).count() == 0
+
+
 def test_hulls_of_few_and_of_collinear_points():
     assert raster.shape_of([(1, 1)]) == (0.0, 0.0, 0.0, 0.0)
     area, around, widest, narrow = raster.shape_of([(0, 0), (1, 1), (2, 2), (3, 3)])
