@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainframe.operators import hierarchy, traits, vectors
+from grainframe.operators import hierarchy, prototypes, traits, vectors
 from grainframe.sources.tables import table
 
 
@@ -219,7 +219,42 @@ def ag18_size_statistics(spark, sf_dir):
 
 AG18_SQL = """SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 6) AS mean, round(coalesce(stddev_samp(p_retailprice), 0), 6) AS sd, round(sqrt(coalesce(var_samp(p_retailprice), 0) / count(*) + avg(pow(p_size / 10, 2))), 6) AS se FROM part GROUP BY p_brand"""
 
+
+
+PROTOTYPES, SUPPORT, ITERATIONS, FLOOR = 3, 6, 3, 0.045
+
+
+def g07_robust_prototypes(spark, sf_dir):
+    """Prototypes of each label's vectors, a dimension a row: a spread-out start, three rounds of medians, medoids and scales."""
+    found = prototypes.fit_prototypes(_vectors(spark, sf_dir), "label", "vec_id", "e", PROTOTYPES, SUPPORT, ITERATIONS, FLOOR)
+    long = found.select("label", "prototype", "medoid", "n", F.round("weight", 6).alias("weight"), F.posexplode(F.arrays_zip("centre", "scale")).alias("dimension", "c"))
+    return long.select("label", "prototype", "medoid", "n", "weight", "dimension", F.round("c.centre", 6).alias("centre"), F.round("c.scale", 6).alias("scale"))
+
+
+def _prototypes_sql():
+    """The rounds written out one after another."""
+    robust = lambda name, source, keys, v: f"{name}_c AS MATERIALIZED (SELECT {keys}, i, quantile_disc({v}, 0.5) AS c FROM {source} GROUP BY ALL), {name} AS MATERIALIZED (SELECT {keys}, i, any_value(c) AS c, greatest(1.4826 * quantile_disc(abs({v} - c), 0.5), {FLOOR}) AS s FROM {source} JOIN {name}_c USING ({keys}, i) GROUP BY {keys}, i)"
+    parts = [_long_sql(), robust("scales", "e", "label", "v"), "z AS MATERIALIZED (SELECT vec_id, label, i, v, (v - c) / s AS z FROM e JOIN scales USING (label, i))"]
+    parts.append(f"sizes AS (SELECT label, count(DISTINCT vec_id) AS n, least({PROTOTYPES}, greatest(1, count(DISTINCT vec_id) // {SUPPORT})) AS most FROM e GROUP BY label)")
+    parts.append("near0 AS MATERIALIZED (SELECT vec_id, label, avg(z * z) AS near FROM z GROUP BY ALL)")
+    for k in range(PROTOTYPES):
+        parts.append(f"p{k} AS MATERIALIZED (SELECT label, vec_id AS picked FROM near{k} JOIN sizes USING (label) WHERE most > {k}{' AND near > 1e-8' if k else ''} QUALIFY row_number() OVER (PARTITION BY label ORDER BY near DESC, vec_id) = 1)")
+        parts.append(f"d{k} AS (SELECT z.vec_id, z.label, sum(pow(z.z - o.z, 2)) AS d FROM z JOIN p{k} ON p{k}.label = z.label JOIN z o ON o.vec_id = picked AND o.i = z.i GROUP BY ALL)")
+        parts.append(f"near{k + 1} AS MATERIALIZED (SELECT vec_id, label, {'least(near, d)' if k else 'd'} AS near FROM d{k} JOIN near{k} USING (vec_id, label))")
+    parts.append("c0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT z.label, {k} AS k, i, z AS c FROM p{k} JOIN z ON z.vec_id = picked" for k in range(PROTOTYPES)) + ")")
+    for t in range(ITERATIONS + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT vec_id, label, k FROM (SELECT z.vec_id, z.label, k, sum(pow(z - c, 2)) AS d FROM z JOIN c{t} USING (label, i) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)")
+        if t < ITERATIONS:
+            parts.append(f"c{t + 1} AS MATERIALIZED (SELECT label, k, i, coalesce(m, c) AS c FROM c{t} LEFT JOIN (SELECT label, k, i, quantile_disc(z, 0.5) AS m FROM z JOIN a{t} USING (vec_id, label) GROUP BY ALL) USING (label, k, i))")
+    parts += [f"f AS MATERIALIZED (SELECT vec_id, label, k, i, v FROM z JOIN a{ITERATIONS} USING (vec_id, label))", robust("l", "f", "label, k", "v")]
+    parts.append("far AS (SELECT vec_id, label, k, avg(pow((v - c) / s, 2)) AS d FROM f JOIN l USING (label, k, i) GROUP BY ALL), best AS (SELECT label, k, arg_min(vec_id, {'d': d, 'i': vec_id}) AS medoid, count(*) AS members FROM far GROUP BY ALL)")
+    return "WITH " + ", ".join(parts) + " SELECT label, k AS prototype, medoid, members AS n, round(members / sizes.n, 6) AS weight, i - 1 AS dimension, round(c, 6) AS centre, round(s, 6) AS scale FROM l JOIN best USING (label, k) JOIN sizes USING (label)"
+
+
+G07_SQL = _prototypes_sql()
+
 QUERIES = {
+    "g07_robust_prototypes": (g07_robust_prototypes, G07_SQL),
     "j10_prototype_similarity": (j10_prototype_similarity, J10_SQL),
     "ag11_weight_signature": (ag11_weight_signature, AG11W_SQL),
     "ag12_loo_distance": (ag12_loo_distance, AG12_SQL),

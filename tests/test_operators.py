@@ -1,10 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainframe.operators import audits, components, hierarchy, measures, ordered, packing, raster, signals, suppression, traits, vectors
+from grainframe.operators import audits, components, hierarchy, measures, ordered, packing, prototypes, raster, signals, suppression, traits, vectors
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
@@ -87,6 +88,51 @@ def test_packing_equals_one_process(spark, max_nodes):
     assert packing.pack(frame.limit(0), "id", both).count() == 0
 
 
+def fitted(points, maximum, support, iterations, floor):
+    """Prototypes of (id, vector) by NumPy, one after another."""
+    ids, x = np.array([i for i, _ in points]), np.array([v for _, v in points], dtype=float)
+    median = lambda a: np.sort(a, axis=0)[(len(a) - 1) // 2]
+    centre = median(x)
+    z = (x - centre) / np.maximum(1.4826 * median(abs(x - centre)), floor)
+    near, chosen = (z**2).mean(axis=1), []
+    for _ in range(min(maximum, max(1, len(x) // support))):
+        if chosen and near.max() <= 1e-8:
+            break
+        chosen.append(min(range(len(x)), key=lambda i: (-near[i], ids[i])))
+        d = ((z - z[chosen[-1]]) ** 2).sum(axis=1)
+        near = d if len(chosen) == 1 else np.minimum(near, d)
+    centres = z[chosen].copy()
+    nearest = lambda: ((z[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    for _ in range(iterations):
+        a = nearest()
+        centres = np.array([median(z[a == k]) if (a == k).any() else c for k, c in enumerate(centres)])
+    a, out = nearest(), []
+    for k in sorted(set(a.tolist())):
+        own, mine = x[a == k], ids[a == k]
+        c = median(own)
+        s = np.maximum(1.4826 * median(abs(own - c)), floor)
+        d = (((own - c) / s) ** 2).mean(axis=1)
+        out.append((k, int(min(zip(d.round(12), mine))[1]), c.round(9).tolist(), s.round(9).tolist(), len(own)))
+    return out
+
+
+@pytest.mark.parametrize("in_group", [10, 200_000])
+def test_prototypes_equal_a_plain_fit(spark, monkeypatch, in_group):
+    """Several keys (a null one too), repeated rows, keys of one row, centres that lose their rows; medians of groups and of ranges."""
+    monkeypatch.setattr(prototypes, "IN_GROUP", in_group)
+    monkeypatch.setattr(prototypes, "MAX_CENTRE_BYTES", 1500)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), key, [float(v) for v in rng.normal(rng.integers(0, 4) * 3, 1, 3).round(2)]) for i, key in enumerate(["a"] * 60 + ["b"] * 25 + [None] * 17 + ["one"])]
+    rows += [(200 + i, "same", [1.0, 2.0, 3.0]) for i in range(9)]
+    bad = [(900, "a", None), (901, "a", [1.0, None, 2.0]), (902, "nan", [float("nan"), 1.0, 1.0])]
+    frame = spark.createDataFrame(rows + bad, "id int, k string, v array<double>").repartition(4)
+    found = {}
+    for r in prototypes.fit_prototypes(frame, "k", "id", "v", 4, 5, 3).collect():
+        found.setdefault(r["k"], []).append((r["prototype"], r["medoid"], [round(x, 9) for x in r["centre"]], [round(x, 9) for x in r["scale"]], r["n"]))
+    assert {k: sorted(v) for k, v in found.items()} == {k: fitted([(i, v) for i, kk, v in rows if kk == k], 4, 5, 3, 0.045) for k in ("a", "b", None, "one", "same")}
+    assert prototypes.fit_prototypes(frame.limit(0), "k", "id", "v", 4, 5).count() == 0
+
+
 def test_hulls_of_few_and_of_collinear_points():
     assert raster.shape_of([(1, 1)]) == (0.0, 0.0, 0.0, 0.0)
     area, around, widest, narrow = raster.shape_of([(0, 0), (1, 1), (2, 2), (3, 3)])
