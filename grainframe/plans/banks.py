@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainframe.operators import hierarchy, prototypes, traits, vectors
+from grainframe.operators import hierarchy, prototypes, training, traits, vectors
 from grainframe.sources.tables import table
 
 
@@ -253,7 +253,54 @@ def _prototypes_sql():
 
 G07_SQL = _prototypes_sql()
 
+
+
+STEPS, RATE, L2, HEATS = 4, 0.03, 0.01, (0.05, 20.0, 9)
+
+
+def _trained(spark, sf_dir):
+    """A model of the labels, trained on three quarters of the vectors and calibrated on the last."""
+    rows = _vectors(spark, sf_dir)
+    classes = [r[0] for r in rows.select("label").distinct().orderBy("label").collect()]
+    model = training.train_softmax(rows.where("vec_id % 4 <> 0"), "e", "label", classes, STEPS, RATE, L2)
+    return rows, training.calibrated(rows.where("vec_id % 4 = 0"), "e", "label", model, HEATS[:2], HEATS[2])
+
+
+def tr02_softmax_training(spark, sf_dir):
+    """Weights after four steps (dimension 0 is the bias), with the temperature chosen and its loss."""
+    _, model = _trained(spark, sf_dir)
+    found = model.frame(spark, "int").select(F.col("class").alias("label"), F.posexplode(F.concat(F.array("bias"), "weights")).alias("dimension", "weight"))
+    return found.select("label", "dimension", F.round("weight", 6).alias("weight"), F.lit(round(model.temperature, 6)).alias("temperature"), F.lit(round(model.loss, 6)).alias("loss"))
+
+
+def tr02_temperature_losses(spark, sf_dir):
+    """Loss of that model at every temperature of the grid."""
+    rows, model = _trained(spark, sf_dir)
+    found = training.temperature_losses(rows.where("vec_id % 4 = 0"), "e", "label", model, training.temperatures(*HEATS))
+    return found.select(F.round("temperature", 6).alias("temperature"), "n", F.round("loss", 6).alias("loss"))
+
+
+def _training_sql():
+    """The steps written out one after another; dimension 0 of every vector is 1."""
+    parts = [_long_sql(), "s AS MATERIALIZED (SELECT i, avg(v) AS m, stddev_pop(v) AS d FROM e WHERE vec_id % 4 <> 0 GROUP BY i)"]
+    parts.append("z AS MATERIALIZED (SELECT vec_id, label, i, (v - m) / CASE d WHEN 0 THEN 1 ELSE d END AS z FROM e JOIN s USING (i) UNION ALL SELECT vec_id, label, 0, 1 FROM embeddings)")
+    parts.append("w0 AS (SELECT k, i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM (SELECT DISTINCT label AS k FROM e) CROSS JOIN (SELECT DISTINCT i FROM z))")
+    for t in range(1, STEPS + 1):
+        parts.append(f"l{t} AS (SELECT vec_id, label, k, sum(z * w) AS l FROM z JOIN w{t - 1} USING (i) WHERE vec_id % 4 <> 0 GROUP BY ALL), p{t} AS MATERIALIZED (SELECT vec_id, k, exp(l - max(l) OVER r) / sum(exp(l)) OVER r * exp(max(l) OVER r) - CAST(k = label AS INT) AS p FROM l{t} WINDOW r AS (PARTITION BY vec_id))")
+        parts.append(f"g{t} AS (SELECT k, i, avg(p * z) AS g FROM p{t} JOIN z USING (vec_id) GROUP BY ALL), u{t} AS (SELECT k, i, w, g + CASE WHEN i > 0 THEN {L2} * w ELSE 0 END AS g, m, v FROM w{t - 1} JOIN g{t} USING (k, i))")
+        parts.append(f"w{t} AS MATERIALIZED (SELECT k, i, w - {RATE} / (1 - pow(0.9, {t})) * (0.9 * m + 0.1 * g) / (sqrt((0.999 * v + 0.001 * g * g) / (1 - pow(0.999, {t}))) + 1e-8) AS w, 0.9 * m + 0.1 * g AS m, 0.999 * v + 0.001 * g * g AS v FROM u{t})")
+    heats = ", ".join(map(repr, training.temperatures(*HEATS).tolist()))
+    parts.append(f"t AS (SELECT unnest(CAST([{heats}] AS DOUBLE[])) AS t), lc AS MATERIALIZED (SELECT vec_id, label, k, sum(z * w) AS l FROM z JOIN w{STEPS} USING (i) WHERE vec_id % 4 = 0 GROUP BY ALL)")
+    parts.append("x AS (SELECT t, vec_id, ln(sum(exp(l / t))) - max(CASE WHEN k = label THEN l END) / t AS x FROM lc CROSS JOIN t GROUP BY t, vec_id), f AS (SELECT t, count(*) AS n, avg(x) AS loss FROM x GROUP BY t)")
+    return "WITH " + ", ".join(parts)
+
+
+TR02_SQL = f"{_training_sql()} SELECT k AS label, i AS dimension, round(w, 6) AS weight, (SELECT round(arg_min(t, {{'a': loss, 'b': t}}), 6) FROM f) AS temperature, (SELECT round(min(loss), 6) FROM f) AS loss FROM w{STEPS}"
+TR02T_SQL = f"{_training_sql()} SELECT round(t, 6) AS temperature, n, round(loss, 6) AS loss FROM f"
+
 QUERIES = {
+    "tr02_softmax_training": (tr02_softmax_training, TR02_SQL),
+    "tr02_temperature_losses": (tr02_temperature_losses, TR02T_SQL),
     "g07_robust_prototypes": (g07_robust_prototypes, G07_SQL),
     "j10_prototype_similarity": (j10_prototype_similarity, J10_SQL),
     "ag11_weight_signature": (ag11_weight_signature, AG11W_SQL),

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainframe.operators import audits, components, hierarchy, measures, ordered, packing, prototypes, raster, signals, suppression, traits, vectors
+from grainframe.operators import audits, components, hierarchy, measures, ordered, packing, prototypes, raster, signals, suppression, training, traits, vectors
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
@@ -133,6 +133,41 @@ def test_prototypes_equal_a_plain_fit(spark, monkeypatch, in_group):
     assert prototypes.fit_prototypes(frame.limit(0), "k", "id", "v", 4, 5).count() == 0
 
 
+def test_training_equals_a_plain_fit(spark):
+    """Weights and temperature against NumPy over all rows at once; a constant dimension, rows of no class, rows that aren't finite."""
+    rng = np.random.default_rng(8)
+    rows = [([float(v) for v in rng.normal(k, 2, 3).round(3)] + [5.0], "abc"[k]) for k in rng.integers(0, 3, 240)]
+    frame = spark.createDataFrame(rows + [([1.0, 2.0, 3.0, 4.0], "d"), ([float("nan")] * 4, "a"), (None, "b"), ([1.0, 1.0, 1.0, 1.0], None)], "v array<double>, c string").repartition(6)
+    x, y = np.array([v for v, _ in rows]), np.array(["abc".index(c) for _, c in rows])
+    scale = x.std(axis=0)
+    scale[scale == 0] = 1
+    z = (x - x.mean(axis=0)) / scale
+    w, b = np.zeros((3, 4)), np.zeros(3)
+    moments = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(b), np.zeros_like(b)]]
+
+    def log_softmax(logits):
+        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+    for step in range(1, 13):
+        wrong = (np.exp(log_softmax(z @ w.T + b)) - np.eye(3)[y]) / len(y)
+        for (m, v), value, slope in zip(moments, (w, b), (wrong.T @ z + 0.01 * w, wrong.sum(axis=0))):
+            m += 0.1 * (slope - m)
+            v += 0.001 * (slope**2 - v)
+            value -= 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    model = training.train_softmax(frame, "v", "c", list("abc"), iterations=12)
+    assert np.allclose(model.weights, w, atol=1e-9) and np.allclose(model.bias, b, atol=1e-9)
+    found = training.calibrated(frame, "v", "c", model)
+    losses = {t: -log_softmax((z @ w.T + b) / t)[np.arange(len(y)), y].mean() for t in training.temperatures(0.05, 20, 65)}
+    best = min(losses, key=lambda t: (losses[t], t))
+    assert found.temperature == best and abs(found.loss - losses[best]) < 1e-9 and 1.0 in losses
+    told = vectors.predict_linear(frame.where("c IS NOT NULL").withColumn("id", F.monotonically_increasing_id()), "id", "v", found.frame(spark), found.mean.tolist(), found.scale.tolist(), found.temperature, 0.0)
+    assert told.where("predicted IS NOT NULL").count() == 241
+    with pytest.raises(ValueError):
+        training.train_softmax(frame, "v", "c", list("abcx"), iterations=1)
+    with pytest.raises(ValueError):
+        training.calibrated(frame.limit(0), "v", "c", model)
+
+
 def test_hulls_of_few_and_of_collinear_points():
     assert raster.shape_of([(1, 1)]) == (0.0, 0.0, 0.0, 0.0)
     area, around, widest, narrow = raster.shape_of([(0, 0), (1, 1), (2, 2), (3, 3)])
