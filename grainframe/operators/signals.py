@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainframe.operators.ordered import counted_quantiles, join_nulls, ranked, value_counts
-from grainframe.operators.suppression import greedy_keep
+from grainframe.operators.suppression import suppress_near
 from grainframe.sources.workspace import Workspace
 
 BLOCK = 100_000
@@ -85,11 +85,7 @@ def profile_peaks(series: DataFrame, key: str, pitch: float) -> DataFrame:
     limit = F.col("base") + F.greatest(F.lit(0.8), (F.col("high") - F.col("base")) * 0.1)
     raw = join_nulls(held.join(around, [key, "t"]), levels, [key]).where((F.col("v") >= F.col("top") - 1e-6) & (F.col("v") >= limit))
     raw = work.save(raw.withColumn("id", F.struct(F.col(key).alias("k"), F.col("t").alias("t"))), "raw")
-    reach = math.ceil(gap) - 1
-    near = [o for o in range(-reach, reach + 1) if o and abs(o) < gap]
-    asked = raw.select(key, F.col("id").alias("a"), F.explode(F.array(*(F.col("t") + o for o in near)) if near else F.array().cast("array<bigint>")).alias("t"))
-    conflicts = asked.join(raw.select(key, "t", F.col("id").alias("b")), [key, "t"]).select("a", "b")
-    kept = greedy_keep(raw, "id", "v", conflicts)
+    kept = suppress_near(raw.withColumn("line", F.lit(0.0)), [key], "id", "t", "line", "v", gap).select("id")
     bend = F.col("before") - 2 * F.col("v") + F.col("after")
     shift = F.when(bend < 0, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (F.col("before") - F.col("after")) / bend))).otherwise(0.0)
     return raw.join(kept, "id", "left_semi").select(key, "t", (F.col("t") + F.coalesce(shift, F.lit(0.0))).alias("place"))

@@ -1,17 +1,25 @@
-"""Suppression of weaker candidates near stronger ones, exactly as a greedy pass by score would, but in rounds over all.
+"""Suppression of weaker candidates near stronger ones, exactly as a greedy pass by score would, but over all at once.
 
-Candidates in reach of each other are linked by an equi-join on cells of the plane. In a round every open candidate that is
-better than all open ones it is linked to is kept, and those in reach of it go. The order of a greedy pass only matters along
-chains of links, so the outcome is the same, and rounds are few.
+Points are settled in blocks of the plane (``suppress_near``). Candidates whose conflicts are given as links are settled in
+rounds (``greedy_keep``): each open one that is better than all open ones it is linked to is kept, and those linked to it go.
+The order of a greedy pass only matters along chains of conflicts, so the outcome is the same.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainframe.sources.workspace import Workspace
 
+#: Width of the first blocks in separations, and open points of a block up to which blocks grow.
+BLOCK_REACHES, MAX_BLOCK = 64, 250_000
+
 
 def near_pairs(points: DataFrame, keys: list[str], point_id: str, x: str, y: str, reach: float) -> DataFrame:
     """``keys, a, b, distance`` of ordered pairs of points of a key (a <> b) at most ``reach`` apart."""
@@ -46,10 +54,76 @@ def greedy_keep(candidates: DataFrame, point_id: str, score: str, conflicts: Dat
             return work.read("kept", schema).withColumnRenamed("id", point_id)
 
 
+def _settled(separation: float):
+    """Kept and gone points of blocks that come whole and in order: ``block, own, kept, x, y, id``."""
+    side = separation / math.sqrt(2) * (1 - 1e-9)  # two points of one cell are nearer than the separation
+    around = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept, waiting = None, {}, {}
+        for batch in batches:
+            states = []
+            for block, own, is_kept, x, y in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if block != last:
+                    last, kept, waiting = block, {}, {}
+                cell = cx, cy = math.floor(x / side), math.floor(y / side)
+                near = ((cx + i, cy + j) for i, j in around)
+                if is_kept:
+                    kept.setdefault(cell, []).append((x, y))
+                    states.append(None)
+                    continue
+                ring = [c for c in near if c in kept or c in waiting]
+                if any(math.hypot(x - u, y - v) < separation for c in ring for u, v in kept.get(c, ())):
+                    states.append("gone")
+                elif own and cell not in waiting and not any(math.hypot(x - u, y - v) < separation for c in ring for u, v in waiting.get(c, ())):
+                    kept.setdefault(cell, []).append((x, y))
+                    states.append("kept")
+                else:
+                    waiting.setdefault(cell, []).append((x, y))
+                    states.append(None)
+            found = pa.RecordBatch.from_arrays([batch.column(5), batch.column(1), pa.array(states, pa.string())], names=["id", "own", "state"])
+            yield found.filter(pc.and_(found.column("own"), pc.is_valid(found.column("state")))).select(["id", "state"])
+
+    return run
+
+
 def suppress_near(points: DataFrame, keys: list[str], point_id: str, x: str, y: str, score: str, separation: float) -> DataFrame:
-    """Points that remain when, by falling score, each takes all others closer than ``separation`` out."""
-    pairs = near_pairs(points, keys, point_id, x, y, separation).where(F.col("distance") < separation)
-    return points.join(greedy_keep(points, point_id, score, pairs), point_id, "left_semi")
+    """Points that remain when, by falling score (then rising id), each takes all others of its key closer than ``separation`` out.
+
+    The plane is cut into blocks, and a task settles a block in one pass over its points in order, with those of other blocks
+    within reach. A point waits for a better one within reach that isn't settled; only what crosses an edge waits for another
+    round, with blocks four times as wide, as long as none has over ``MAX_BLOCK`` open points. Points are never paired, so a
+    dense place costs no more than its points.
+
+    Points without a place (null, or no finite number) take nothing out and stay. Null scores come last.
+    """
+    work = Workspace(points.sparkSession, "suppression")
+    places = [F.col(c).cast("double") for c in (x, y)]
+    known = F.coalesce((F.abs(places[0]) < float("inf")) & (F.abs(places[1]) < float("inf")), F.lit(False))
+    rank = F.struct((-F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))).alias("s"), F.col(point_id).alias("i"))
+    held = points.select(F.to_json(F.struct(*keys)).alias("key"), F.col(point_id).alias("id"), places[0].alias("x"), places[1].alias("y"), rank.alias("rank"), known.alias("known"))
+    open_ = work.save(held.where("known").drop("known"), "open-0")
+    kept = open_.limit(0)
+    kind = points.schema[point_id].dataType.simpleString()
+    width, round_ = BLOCK_REACHES * separation, 0
+    while not open_.isEmpty():
+        both = open_.withColumn("kept", F.lit(False)).union(kept.withColumn("kept", F.lit(True)))
+        reached = lambda c: F.array_distinct(F.array(*(F.floor((F.col(c) + d) / width) for d in (0.0, -separation, separation))))
+        dealt = both.withColumn("bx", F.explode(reached("x"))).withColumn("by", F.explode(reached("y")))
+        own = (F.col("bx") == F.floor(F.col("x") / width)) & (F.col("by") == F.floor(F.col("y") / width))
+        dealt = dealt.select(F.concat_ws("/", "bx", "by", "key").alias("block"), own.alias("own"), "kept", "x", "y", "id", "rank")
+        ordered = dealt.repartition("block").sortWithinPartitions("block", F.col("kept").desc(), "rank").drop("rank")
+        settled = work.save(ordered.mapInArrow(_settled(separation), f"id {kind}, state string"), f"settled-{round_}")
+        kept = work.save(open_.join(settled.where("state = 'kept'").select("id"), "id", "left_semi").select(*open_.columns), f"kept-{round_}")
+        work.append(kept.select("id"), "all-kept")
+        round_ += 1
+        open_ = work.save(open_.join(settled.select("id"), "id", "left_anti").select(*open_.columns), f"open-{round_}")
+        largest = open_.groupBy("key", F.floor(F.col("x") / (4 * width)), F.floor(F.col("y") / (4 * width))).count().agg(F.max("count")).first()[0] or 0
+        width = 4 * width if largest <= MAX_BLOCK else width
+    chosen = held.where("NOT known").select("id")
+    if round_:
+        chosen = chosen.union(work.read("all-kept", f"id {kind}"))
+    return points.join(chosen.withColumnRenamed("id", point_id), point_id, "left_semi")
 
 
 def overlap_conflicts(pairs: DataFrame, limit: float) -> DataFrame:

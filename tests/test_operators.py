@@ -56,6 +56,31 @@ def test_greedy_suppression_equals_one_pass(spark):
     assert suppression.suppress_near(frame.limit(0), ["k"], "id", "x", "y", "s", 7.0).count() == 0
 
 
+def test_suppression_of_chains_and_dense_places(spark, monkeypatch):
+    """A chain of falling scores needs few rounds; thousands of points in one place, null places and scores, several keys."""
+    saved = []
+
+    class Counting(suppression.Workspace):
+        def save(self, frame, name, **options):
+            saved.append(name)
+            return super().save(frame, name, **options)
+
+    monkeypatch.setattr(suppression, "Workspace", Counting)
+    chain = [(i, "k", i * 0.9, 0.0, float(-i)) for i in range(10_000)]
+    frame = spark.createDataFrame(chain, "id int, k string, x double, y double, s double").repartition(5)
+    assert sorted(r["id"] for r in suppression.suppress_near(frame, ["k"], "id", "x", "y", "s", 1.0).collect()) == list(range(0, 10_000, 2))
+    assert len([n for n in saved if n.startswith("settled")]) <= 10
+    rng = random.Random(6)
+    dense = [(i, rng.choice("ab"), rng.gauss(0, 2) - 3, rng.gauss(0, 2), None if i % 97 == 0 else round(rng.random(), 2)) for i in range(4000)] + [(9000, "a", None, 1.0, 5.0), (9001, "b", float("nan"), 1.0, 5.0)]
+    monkeypatch.setattr(suppression, "BLOCK_REACHES", 2)
+    kept = []
+    for p in sorted(dense[:4000], key=lambda p: (float("inf") if p[4] is None else -p[4], p[0])):
+        if all(q[1] != p[1] or math.hypot(q[2] - p[2], q[3] - p[3]) >= 0.5 for q in kept):
+            kept.append(p)
+    frame = spark.createDataFrame(dense, "id int, k string, x double, y double, s double")
+    assert sorted(r["id"] for r in suppression.suppress_near(frame, ["k"], "id", "x", "y", "s", 0.5).collect()) == sorted([*(p[0] for p in kept), 9000, 9001])
+
+
 def packed(nodes, links):
     """The process over all candidates at once: (id, annotated, score, area, group) and pairs of ids."""
     order = sorted(nodes, key=lambda n: (not n[1], -n[2], -n[3], n[0]))
