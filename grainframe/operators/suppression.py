@@ -8,13 +8,15 @@ The order of a greedy pass only matters along chains of conflicts, so the outcom
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainframe.operators.ordered import ranked
+from grainframe.operators.polygons import star_overlap
 from grainframe.sources.workspace import Workspace
 
 #: Width of the first blocks in separations, and open points of a block up to which blocks grow.
@@ -54,76 +56,126 @@ def greedy_keep(candidates: DataFrame, point_id: str, score: str, conflicts: Dat
             return work.read("kept", schema).withColumnRenamed("id", point_id)
 
 
-def _settled(separation: float):
-    """Kept and gone points of blocks that come whole and in order: ``block, own, kept, x, y, id``."""
-    side = separation / math.sqrt(2) * (1 - 1e-9)  # two points of one cell are nearer than the separation
-    around = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4]
+def _near_enough(separation: float) -> Callable:
+    """Whether a point ``(x, y, shape)`` is closer than ``separation`` to any other."""
+    return lambda one, others: any(math.hypot(one[0] - x, one[1] - y) < separation for x, y, _ in others)
+
+
+def _settled(side: float, steps: int, against: Callable, alike: bool):
+    """Kept and gone candidates of blocks that come whole and in order: ``block, own, kept, x, y, id, shape``.
+
+    What can be ``against`` a candidate is at most ``steps`` cells of ``side`` away; ``alike``: all of one cell are against each other.
+    """
+    around = [(i, j) for i in range(-steps, steps + 1) for j in range(-steps, steps + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept, waiting = None, {}, {}
         for batch in batches:
             states = []
-            for block, own, is_kept, x, y in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for block, own, is_kept, x, y, _, shape in zip(*(c.to_pylist() for c in batch.columns)):
                 if block != last:
                     last, kept, waiting = block, {}, {}
                 cell = cx, cy = math.floor(x / side), math.floor(y / side)
-                near = ((cx + i, cy + j) for i, j in around)
+                one, state = (x, y, shape), None
+                near = [(cx + i, cy + j) for i, j in around]
                 if is_kept:
-                    kept.setdefault(cell, []).append((x, y))
-                    states.append(None)
-                    continue
-                ring = [c for c in near if c in kept or c in waiting]
-                if any(math.hypot(x - u, y - v) < separation for c in ring for u, v in kept.get(c, ())):
-                    states.append("gone")
-                elif own and cell not in waiting and not any(math.hypot(x - u, y - v) < separation for c in ring for u, v in waiting.get(c, ())):
-                    kept.setdefault(cell, []).append((x, y))
-                    states.append("kept")
+                    kept.setdefault(cell, []).append(one)
+                elif against(one, [o for c in near if c in kept for o in kept[c]]):
+                    state = "gone"
+                elif own and not (alike and cell in waiting) and not against(one, [o for c in near if c in waiting for o in waiting[c]]):
+                    kept.setdefault(cell, []).append(one)
+                    state = "kept"
                 else:
-                    waiting.setdefault(cell, []).append((x, y))
-                    states.append(None)
+                    waiting.setdefault(cell, []).append(one)
+                states.append(state)
             found = pa.RecordBatch.from_arrays([batch.column(5), batch.column(1), pa.array(states, pa.string())], names=["id", "own", "state"])
             yield found.filter(pc.and_(found.column("own"), pc.is_valid(found.column("state")))).select(["id", "state"])
 
     return run
 
 
-def suppress_near(points: DataFrame, keys: list[str], point_id: str, x: str, y: str, score: str, separation: float) -> DataFrame:
-    """Points that remain when, by falling score (then rising id), each takes all others of its key closer than ``separation`` out.
-
-    The plane is cut into blocks, and a task settles a block in one pass over its points in order, with those of other blocks
-    within reach. A point waits for a better one within reach that isn't settled; only what crosses an edge waits for another
-    round, with blocks four times as wide, as long as none has over ``MAX_BLOCK`` open points. Points are never paired, so a
-    dense place costs no more than its points.
-
-    Points without a place (null, or no finite number) take nothing out and stay. Null scores come last.
-    """
-    work = Workspace(points.sparkSession, "suppression")
-    places = [F.col(c).cast("double") for c in (x, y)]
-    known = F.coalesce((F.abs(places[0]) < float("inf")) & (F.abs(places[1]) < float("inf")), F.lit(False))
-    rank = F.struct((-F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))).alias("s"), F.col(point_id).alias("i"))
-    held = points.select(F.to_json(F.struct(*keys)).alias("key"), F.col(point_id).alias("id"), places[0].alias("x"), places[1].alias("y"), rank.alias("rank"), known.alias("known"))
-    open_ = work.save(held.where("known").drop("known"), "open-0")
-    kept = open_.limit(0)
-    kind = points.schema[point_id].dataType.simpleString()
-    width, round_ = BLOCK_REACHES * separation, 0
+def _kept_by_blocks(held: DataFrame, reach: float, width: float, settle: Callable, work: Workspace) -> DataFrame:
+    """``id`` of the kept. ``held``: key, id, x, y, rank (its place in the order) and shape; none is against another beyond ``reach``."""
+    open_ = work.save(held, "open-0")
+    kept, kind, round_ = open_.limit(0), held.schema["id"].dataType.simpleString(), 0
     while not open_.isEmpty():
         both = open_.withColumn("kept", F.lit(False)).union(kept.withColumn("kept", F.lit(True)))
-        reached = lambda c: F.array_distinct(F.array(*(F.floor((F.col(c) + d) / width) for d in (0.0, -separation, separation))))
+        reached = lambda c: F.array_distinct(F.array(*(F.floor((F.col(c) + d) / width) for d in (0.0, -reach, reach))))
         dealt = both.withColumn("bx", F.explode(reached("x"))).withColumn("by", F.explode(reached("y")))
         own = (F.col("bx") == F.floor(F.col("x") / width)) & (F.col("by") == F.floor(F.col("y") / width))
-        dealt = dealt.select(F.concat_ws("/", "bx", "by", "key").alias("block"), own.alias("own"), "kept", "x", "y", "id", "rank")
+        dealt = dealt.select(F.concat_ws("/", "bx", "by", "key").alias("block"), own.alias("own"), "kept", "x", "y", "id", "shape", "rank")
         ordered = dealt.repartition("block").sortWithinPartitions("block", F.col("kept").desc(), "rank").drop("rank")
-        settled = work.save(ordered.mapInArrow(_settled(separation), f"id {kind}, state string"), f"settled-{round_}")
+        settled = work.save(ordered.mapInArrow(settle, f"id {kind}, state string"), f"settled-{round_}")
         kept = work.save(open_.join(settled.where("state = 'kept'").select("id"), "id", "left_semi").select(*open_.columns), f"kept-{round_}")
         work.append(kept.select("id"), "all-kept")
         round_ += 1
         open_ = work.save(open_.join(settled.select("id"), "id", "left_anti").select(*open_.columns), f"open-{round_}")
         largest = open_.groupBy("key", F.floor(F.col("x") / (4 * width)), F.floor(F.col("y") / (4 * width))).count().agg(F.max("count")).first()[0] or 0
         width = 4 * width if largest <= MAX_BLOCK else width
-    chosen = held.where("NOT known").select("id")
-    if round_:
-        chosen = chosen.union(work.read("all-kept", f"id {kind}"))
-    return points.join(chosen.withColumnRenamed("id", point_id), point_id, "left_semi")
+    return work.read("all-kept", f"id {kind}") if round_ else held.select("id").limit(0)
+
+
+def _placed(points: DataFrame, keys: list[str], point_id: str, x: str, y: str, score: str) -> tuple[DataFrame, DataFrame]:
+    """``key, id, x, y, rank`` of the points with a place, and ``id`` of those without. Null scores come last."""
+    places = [F.col(c).cast("double") for c in (x, y)]
+    known = F.coalesce((F.abs(places[0]) < float("inf")) & (F.abs(places[1]) < float("inf")), F.lit(False))
+    rank = F.struct((-F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))).alias("s"), F.col(point_id).alias("i"))
+    held = points.where(known).select(F.to_json(F.struct(*keys)).alias("key"), F.col(point_id).alias("id"), places[0].alias("x"), places[1].alias("y"), rank.alias("rank"))
+    return held, points.where(~known).select(F.col(point_id).alias("id"))
+
+
+def suppress_near(points: DataFrame, keys: list[str], point_id: str, x: str, y: str, score: str, separation: float) -> DataFrame:
+    """Points that remain when, by falling score (then rising id), each takes all others of its key closer than ``separation`` out.
+
+    The plane is cut into blocks, and a task settles a block in one pass over its points in order, with those of other blocks
+    within reach. A point waits for a better one within reach that isn't settled; only what crosses an edge waits for another
+    round, with blocks four times as wide, as long as none has over ``MAX_BLOCK`` open points. Points are never paired, so a
+    dense place costs no more than its points.
+
+    Points without a place (null, or no finite number) take nothing out and stay. Null scores come last.
+    """
+    held, without = _placed(points, keys, point_id, x, y, score)
+    side = separation / math.sqrt(2) * (1 - 1e-9)  # two points of one cell are nearer than the separation
+    settle = _settled(side, 2, _near_enough(separation), True)
+    kept = _kept_by_blocks(held.withColumn("shape", F.lit(None).cast("array<double>")), separation, BLOCK_REACHES * separation, settle, Workspace(points.sparkSession, "suppression"))
+    return points.join(without.union(kept).withColumnRenamed("id", point_id), point_id, "left_semi")
+
+
+def suppress_polygons(polygons: DataFrame, keys: list[str], polygon_id: str, x: str, y: str, rays: str, score: str, threshold: float, maximum: int | None = None) -> DataFrame:
+    """Star polygons that remain when, by falling score (then rising id), each takes out those it overlaps by over ``threshold``.
+
+    ``rays``: distances (0.5 at least) from a centre at even angles, three or more, as many for all. The overlap is exact: the
+    area of the intersection by that of the union. With ``maximum``, only so many of the best of each key are candidates.
+    Settled by blocks, as points are; a candidate is only held against kept ones near it.
+
+    Polygons without a place, or with a ray that is null or no finite number, are left out. Null scores come last.
+    """
+    if not 0 <= threshold <= 1:
+        raise ValueError("a threshold is from 0 to 1")
+    work = Workspace(polygons.sparkSession, "polygons")
+    sound = F.coalesce(F.forall(rays, lambda r: r.isNotNull() & ~F.isnan(r) & (r < float("inf"))) & (F.size(rays) >= 3), F.lit(False))
+    held, _ = _placed(polygons.where(sound), keys, polygon_id, x, y, score)
+    if maximum is not None:
+        held = ranked(held, [F.col("rank.s"), F.col("rank.i")], "place", ["key"]).where(F.col("place") < maximum)
+    shapes = polygons.where(sound).select(F.col(polygon_id).alias("id"), F.transform(rays, lambda r: F.greatest(r.cast("double"), F.lit(0.5))).alias("shape"))
+    held = work.save(held.join(shapes, "id").select("key", "id", "x", "y", "rank", "shape"), "polygons")
+    largest = held.agg(F.max(F.array_max("shape"))).first()[0]
+    if largest is None:
+        return polygons.limit(0)
+    reach = 2 * largest
+    kept = _kept_by_blocks(held, reach, BLOCK_REACHES / 8 * reach, _settled(reach, 1, _overlapping(threshold), False), work)
+    return polygons.join(kept.withColumnRenamed("id", polygon_id), polygon_id, "left_semi")
+
+
+def _overlapping(threshold: float) -> Callable:
+    """Whether a polygon ``(x, y, rays)`` overlaps any other by more than ``threshold``."""
+
+    def against(one: tuple, others: list[tuple]) -> bool:
+        widest = max(one[2])
+        near = [o for o in others if math.hypot(one[0] - o[0], one[1] - o[1]) < widest + max(o[2])]
+        return bool(near) and bool((star_overlap(one, near) > threshold).any())
+
+    return against
 
 
 def overlap_conflicts(pairs: DataFrame, limit: float) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainframe.operators import audits, components, hierarchy, measures, ordered, packing, prototypes, raster, signals, suppression, training, traits, vectors
+from grainframe.operators import audits, components, hierarchy, measures, ordered, packing, polygons, prototypes, raster, signals, suppression, training, traits, vectors
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
@@ -81,6 +81,66 @@ def test_suppression_of_chains_and_dense_places(spark, monkeypatch):
     assert sorted(r["id"] for r in suppression.suppress_near(frame, ["k"], "id", "x", "y", "s", 0.5).collect()) == sorted([*(p[0] for p in kept), 9000, 9001])
 
 
+def clipped_area(p, q):
+    """Area of the intersection of two star polygons, by clipping each triangle of one against each of the other."""
+
+    def clip(points, a, b):
+        side = lambda c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        out = []
+        for c, d in zip(points, points[1:] + points[:1]):
+            if side(c) >= 0:
+                out.append(c)
+            if side(c) * side(d) < 0:
+                t = side(c) / (side(c) - side(d))
+                out.append((c[0] + t * (d[0] - c[0]), c[1] + t * (d[1] - c[1])))
+        return out
+
+    def triangles(x, y, rays):
+        edge = [(x + r * math.cos(2 * math.pi * k / len(rays)), y + r * math.sin(2 * math.pi * k / len(rays))) for k, r in enumerate(rays)]
+        return [[(x, y), c, d] for c, d in zip(edge, edge[1:] + edge[:1])]
+
+    total = 0.0
+    for one in triangles(*p):
+        for other in triangles(*q):
+            part = one
+            for a, b in zip(other, other[1:] + other[:1]):
+                part = clip(part, a, b) if part else part
+            total += sum(c[0] * d[1] - c[1] * d[0] for c, d in zip(part, part[1:] + part[:1])) / 2
+    return total
+
+
+def test_overlap_of_star_polygons():
+    rng = random.Random(2)
+    shapes = [(rng.uniform(-4, 4), rng.uniform(-4, 4), [rng.uniform(0.5, 5) for _ in range(7)]) for _ in range(25)]
+    shapes += [shapes[0], (shapes[1][0], shapes[1][1], [r / 2 for r in shapes[1][2]]), (0.0, 0.0, [2.0] * 7), (2.0, 0.0, [2.0] * 7)]
+    for p in shapes:
+        found = polygons.star_overlap(p, shapes)
+        for q, iou in zip(shapes, found):
+            shared = clipped_area(p, q)
+            union = sum(polygons.star_area(np.array([s[2]]))[0] for s in (p, q)) - shared
+            assert abs(iou - shared / union) < 1e-6, (p, q)
+
+
+def test_polygon_suppression_equals_one_pass(spark, monkeypatch):
+    """Dense places, copies, several keys, small blocks, a limit on candidates, rays and places that are no numbers."""
+    monkeypatch.setattr(suppression, "BLOCK_REACHES", 8)
+    rng = random.Random(5)
+    rows = [(i, rng.choice("ab"), rng.gauss(0, 8), rng.gauss(0, 8), [round(rng.uniform(1, 4), 2) for _ in range(6)], round(rng.random(), 1)) for i in range(400)]
+    rows += [(1000 + i, "a", 3.0, 3.0, [2.0] * 6, 0.5) for i in range(60)]
+    bad = [(2000, "a", None, 1.0, [1.0] * 6, 9.0), (2001, "a", 1.0, 1.0, [1.0, None, 1.0, 1.0, 1.0, 1.0], 9.0), (2002, "a", 1.0, 1.0, None, 9.0)]
+    frame = spark.createDataFrame(rows + bad, "id int, k string, x double, y double, r array<double>, s double").repartition(4)
+    for maximum in (None, 50):
+        kept = []
+        for key in "ab":
+            mine = []
+            for p in sorted((p for p in rows if p[1] == key), key=lambda p: (-p[5], p[0]))[:maximum]:
+                if not mine or not (polygons.star_overlap(p[2:5], [q[2:5] for q in mine]) > 0.3).any():
+                    mine.append(p)
+            kept += [p[0] for p in mine]
+        assert sorted(r["id"] for r in suppression.suppress_polygons(frame, ["k"], "id", "x", "y", "r", "s", 0.3, maximum).collect()) == sorted(kept)
+    assert suppression.suppress_polygons(frame.limit(0), ["k"], "id", "x", "y", "r", "s", 0.3).count() == 0
+
+
 def packed(nodes, links):
     """The process over all candidates at once: (id, annotated, score, area, group) and pairs of ids."""
     order = sorted(nodes, key=lambda n: (not n[1], -n[2], -n[3], n[0]))
