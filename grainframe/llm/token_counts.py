@@ -1,6 +1,7 @@
 """Token counts of whole texts, huge ones by overlapping pieces that are encoded apart and spliced.
 
-A text of at most ``PIECE`` characters is encoded as it is. A longer one is cut into overlapping pieces, each a row of its
+A text of at most ``PIECE`` characters is encoded in its task. No token, special token or normalisation spans a space, so the
+parts between spaces are encoded by themselves, and up to ``CACHE`` of them are remembered. A longer text is cut into overlapping pieces, each a row of its
 own, so that one huge document is spread over the cluster. Both neighbours of an overlap encode it, with offsets; they are
 spliced behind a token that both have: the same id at the same characters. A document in which some overlap has no such
 token is cut again, with pieces and overlaps ``WIDEN`` times as wide, until all of its overlaps agree or it is one piece.
@@ -44,6 +45,8 @@ GUARD = 40
 TOKEN_LIMIT = 2048
 #: Bytes of text encoded at once.
 SLICE_BYTES = 400_000
+#: Words whose counts a worker remembers, and the length of those it does.
+CACHE, CACHED_LENGTH = 600_000, 48
 _TOKENS = "array<struct<start:bigint,stop:bigint,id:int,place:bigint>>"
 
 
@@ -54,6 +57,7 @@ class Counter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        self.known: dict[str, int] = {}
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
@@ -70,7 +74,16 @@ class Counter:
                 raise ValueError("a merge comes before those that make its parts")
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        return list(map(len, self.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)))
+        parts = [t.split(" ") if t else [] for t in texts]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = list({w for words in parts for w in words if w not in self.known})
+        found = dict(zip(new, map(len, self.library.encode_batch_fast(new, add_special_tokens=False))))
+        self.known.update(found)
+        counts = [sum(map(self.known.__getitem__, words)) for words in parts]
+        for w in [w for w in new if len(w) > CACHED_LENGTH]:
+            del self.known[w]
+        return counts
 
     def shared(self, text: str, at: int, overlap: int, last: bool) -> tuple[int, list, list]:
         """Tokens of a piece that starts at ``at``: their number, and those at either end that a neighbour may share."""
