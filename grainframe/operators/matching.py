@@ -1,7 +1,7 @@
 """Matching of truths with predictions: most pairs first, then the greatest sum of overlap.
 
-From an overlap above one half on, a label has one partner at most, and every pair stands. Below, labels compete: pairs that
-are alone on both sides stand, the rest falls into components of the graph of pairs, and each component is solved exactly.
+From an overlap above one half on, a label has one partner at most, and every pair stands; at one half only ties compete.
+Below, labels compete: pairs that are alone on both sides stand, the rest falls into components of the graph of pairs, and each component is solved exactly.
 Overlap bounds how many partners a label can have (1 / threshold), so components stay small against the data.
 """
 
@@ -19,58 +19,61 @@ from grainframe.operators.components import connected_components
 from grainframe.sources.workspace import Workspace
 
 #: Pairs of one component that a task solves; beyond that the matching is refused, never cut.
-MAX_PAIRS = 1_000_000
+MAX_PAIRS = 200_000
 
 
 def assign(pairs: list[tuple[int, int, float]]) -> list[int]:
     """Places of the chosen ones among ``(truth, prediction, weight)``; weights are 0 to 1.
 
-    Each step adds the pair of ends that is cheapest to add, by a shortest path from the free truths over chosen and open
-    pairs, with potentials that keep all costs positive; it ends when no path adds a pair.
+    Each pair is worth its weight and more than all weights together, so most pairs come first. Truths are added one by one:
+    a shortest path over chosen and open pairs leads from the new truth to a free prediction, or to a truth that gives its
+    own up. Potentials keep all costs positive, and only those of nodes that a path has reached are touched.
     """
-    around, held_by, holds = defaultdict(list), {}, {}
+    around: dict = defaultdict(list)
     for k, (t, p, w) in enumerate(pairs):
-        around[t].append((p, 1.0 - w, k))
-    height_t, height_p = dict.fromkeys(around, 0.0), defaultdict(float)
-    while True:
-        far_t = {t: 0.0 for t in around if t not in holds}
-        far_p, came, heap = {}, {}, [(0.0, t) for t in sorted(far_t)]
-        end = None
-        while heap:
-            d, t = heapq.heappop(heap)
-            if d > far_t[t]:
+        around[t].append((p, -(len(pairs) + 1.0 + w), k))
+    height_t, height_p, held_by, holds = {}, defaultdict(float), {}, {}
+    for new in around:
+        height_t[new] = min(0.0, min(cost - height_p[p] for p, cost, _ in around[new]))
+        far_t, far_p, came, heap, done = {new: 0.0}, {}, {}, [(0.0, 0, new)], set()
+        best, end, n = float("inf"), None, 0  # the end is a free prediction, or a truth that stays alone
+        while heap and heap[0][0] < best:
+            d, _, t = heapq.heappop(heap)
+            if t in done:
                 continue
+            done.add(t)
+            base = d - height_t[t]
+            if base < best:
+                best, end = base, (t, None)
             for p, cost, k in around[t]:
-                if holds.get(t) == k:
-                    continue
-                at = d + cost + height_t[t] - height_p[p]
-                if at < far_p.get(p, float("inf")) - 1e-12:
+                at = base + cost - height_p[p]
+                if at < far_p.get(p, best) and holds.get(t) != k:
                     far_p[p], came[p] = at, k
-                    if p in held_by:
-                        back = pairs[held_by[p]][0]
-                        if at < far_t.get(back, float("inf")) - 1e-12:
-                            far_t[back] = at
-                            heapq.heappush(heap, (at, back))
-        free = [(at + height_p[p], p) for p, at in far_p.items() if p not in held_by]
-        if not free:
-            return sorted(held_by.values())
-        end = min(free)[1]
-        top = max(max(far_t.values()), max(far_p.values()))
-        for t in height_t:
-            height_t[t] += far_t.get(t, top)
-        for p in list(far_p):
-            height_p[p] += far_p[p]
-        for p in {p for edges in around.values() for p, _, _ in edges} - far_p.keys():
-            height_p[p] += top
-        p = end
+                    holder = held_by.get(p)
+                    if holder is None:
+                        best, end = at, (None, p)
+                    elif at < far_t.get(back := pairs[holder][0], float("inf")):
+                        far_t[back], n = at, n + 1
+                        heapq.heappush(heap, (at, n, back))
+        for t in done:
+            height_t[t] += best - far_t[t]
+        for p, at in far_p.items():
+            if at < best:
+                height_p[p] -= best - at
+        alone, p = end
+        if alone is not None:
+            if alone == new:
+                continue
+            p = pairs[holds.pop(alone)][1]
         while True:
             k = came[p]
             t = pairs[k][0]
             before = holds.get(t)
             held_by[p], holds[t] = k, k
-            if before is None:
+            if t == new:
                 break
             p = pairs[before][1]
+    return sorted(held_by[p] for p in held_by)
 
 
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,13 +119,22 @@ def matches(pairs: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFr
     open_ = pairs.where(F.col("iou") >= threshold)
     if threshold > 0.5:
         return open_
-    work = Workspace(pairs.sparkSession, "matching")
+    if threshold == 0.5:  # labels of a map are disjoint, so a pair above one half leaves its labels no other of a half
+        ties = pairs.where(F.col("iou") == 0.5)
+        return open_ if ties.isEmpty() else pairs.where(F.col("iou") > 0.5).union(_by_components(ties, keys))
+    return _by_components(open_, keys)
+
+
+def _by_components(open_: DataFrame, keys: list[str]) -> DataFrame:
+    """The matching among pairs that compete."""
+    columns = open_.columns
+    work = Workspace(open_.sparkSession, "matching")
     node = lambda side: F.struct(*keys, F.lit(side).alias("side"), F.col(side).cast("string").alias("label"))
     open_ = work.save(open_.withColumns({"t_": node("truth"), "p_": node("prediction")}), "pairs")
     lonely = [open_.groupBy(c).agg(F.count("*").alias(f"n{c}")).where(f"n{c} = 1").select(c) for c in ("t_", "p_")]
     alone = open_.join(lonely[0], "t_", "left_semi").join(lonely[1], "p_", "left_semi")
     rest = open_.join(alone.select("t_", "p_"), ["t_", "p_"], "left_anti")
     found = connected_components(rest.select(F.col("t_").alias("a"), F.col("p_").alias("b")), work)
-    dealt = rest.join(found.select(F.col("node").alias("t_"), F.col("component").alias("component_")), "t_").select(*pairs.columns, "component_")
+    dealt = rest.join(found.select(F.col("node").alias("t_"), F.col("component").alias("component_")), "t_").select(*columns, "component_")
     solved = dealt.repartition("component_").sortWithinPartitions("component_", "truth", "prediction").mapInArrow(_solved, dealt.schema)
-    return alone.select(*pairs.columns).union(solved.select(*pairs.columns))
+    return alone.select(*columns).union(solved.select(*columns))

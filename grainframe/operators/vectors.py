@@ -6,13 +6,21 @@ meet it without a shuffle. Distances are made once, as a column of their own; la
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from grainframe.operators.ordered import counted_quantiles
 from grainframe.sources.workspace import Workspace
 
-MAX_BANK = 20_000
+MAX_BANK, MAX_BANK_BYTES = 20_000, 64_000_000
+#: Rows that meet a bank at once.
+STEP = 500
 
 
 def one_row(bank: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
@@ -50,17 +58,40 @@ def prototype_similarity(rows: DataFrame, vector: str, bank: DataFrame, toleranc
     """``rows`` with ``prototype`` and ``similarity``: the best of exp(-d / 2), d the mean squared scaled distance (30 at most).
 
     ``bank``: prototype, centre, scale, weight. A prototype's support, its weight against the largest, gives 78 to 100 %.
-    Ties take the first prototype; an empty bank gives null and 0.
+    Ties take the first prototype; an empty bank, or a vector that is null or holds a null, gives null and 0. A batch of rows meets
+    the bank in one matrix product; a bank of more than ``MAX_BANK`` rows or ``MAX_BANK_BYTES`` is refused.
     """
-    held = bank.select("prototype", "centre", F.transform("scale", lambda s: F.greatest(s * tolerance, F.lit(1e-4))).alias("scale"), "weight")
-    row = one_row(held, ["prototype"], ["centre", "scale", "weight"])
-    joined = rows.crossJoin(row).withColumn("most__", F.array_max(F.transform("bank", lambda b: b["weight"])))
-    size = F.size(vector)
-    distance = lambda b: F.least(squared_distance(F.col(vector), b["centre"], b["scale"]) / size, F.lit(30.0))
-    support = lambda b: 0.78 + 0.22 * F.sqrt(b["weight"] / F.greatest(F.col("most__"), F.lit(1e-6)))
-    joined = joined.withColumn("all__", F.transform("bank", lambda b: F.struct((F.exp(-0.5 * distance(b)) * support(b)).alias("s"), b["prototype"].alias("p"))))
-    joined = joined.withColumn("best__", F.aggregate("all__", F.lit(None).cast(joined.schema["all__"].dataType.elementType), lambda a, b: F.when(a.isNull() | (b["s"] > a["s"]), b).otherwise(a)))
-    return joined.withColumns({"prototype": F.col("best__.p"), "similarity": F.coalesce(F.col("best__.s"), F.lit(0.0))}).drop("bank", "most__", "all__", "best__")
+    base = rows.drop("prototype", "similarity")
+    size, width = bank.agg(F.count("*"), F.max(F.size("centre"))).first()
+    if size > MAX_BANK or 16 * size * (width or 0) > MAX_BANK_BYTES:
+        raise ValueError(f"a bank of {size} rows of {width} values is more than {MAX_BANK} or {MAX_BANK_BYTES} bytes")
+    held = bank.select("prototype", "centre", "scale", "weight").orderBy("prototype").collect()
+    kind, at = bank.schema["prototype"].dataType, base.columns.index(vector)
+    names = [r["prototype"] for r in held]
+    centres = np.array([r["centre"] for r in held], dtype=np.float64).reshape(size, -1)
+    sharp = 1 / np.maximum(np.array([r["scale"] for r in held], dtype=np.float64).reshape(size, -1) * tolerance, 1e-4) ** 2
+    weights = np.array([r["weight"] for r in held], dtype=np.float64)
+    support = 0.78 + 0.22 * np.sqrt(weights / max(weights.max(initial=0.0), 1e-6))
+    shared = rows.sparkSession.sparkContext.broadcast((names, sharp, centres * sharp, (centres**2 * sharp).sum(axis=1), support))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, inverse, scaled, constant, own = shared.value
+        for batch in batches:
+            found, best = [None] * batch.num_rows, np.zeros(batch.num_rows)
+            sound = np.array([v is not None and None not in v for v in batch.column(at).to_pylist()], dtype=bool)
+            places = np.flatnonzero(sound) if ids else []
+            for i in range(0, len(places), STEP):
+                part = places[i : i + STEP]
+                x = np.array(batch.column(at).take(pa.array(part)).to_pylist(), dtype=np.float64)
+                distance = np.clip((x**2 @ inverse.T - 2 * x @ scaled.T + constant) / x.shape[1], 0.0, 30.0)
+                alike = np.exp(-0.5 * distance) * own
+                top = alike.argmax(axis=1)
+                best[part] = alike[np.arange(len(part)), top]
+                for j, k in zip(part.tolist(), top.tolist()):
+                    found[j] = ids[k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, to_arrow_type(kind)), pa.array(best)], names=[*batch.schema.names, "prototype", "similarity"])
+
+    return base.mapInArrow(run, StructType([*base.schema.fields, StructField("prototype", kind), StructField("similarity", DoubleType())]))
 
 
 def predict_linear(rows: DataFrame, row_id: str, vector: str, model: DataFrame, mean: list[float], scale: list[float], temperature: float = 1.0, threshold: float = 0.8) -> DataFrame:

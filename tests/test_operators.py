@@ -1,11 +1,12 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainframe.operators import audits, components, hierarchy, measures, ordered, packing, polygons, prototypes, raster, signals, suppression, training, traits, vectors
+from grainframe.operators import audits, components, hierarchy, matching, measures, ordered, packing, polygons, prototypes, raster, signals, suppression, training, traits, vectors
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
@@ -315,3 +316,15 @@ def test_undefined_values(spark):
     assert measures.evaluation_gate(spark.createDataFrame([], "sample_id int, reviewed boolean, annotation_author string, annotation_revision string, analysis_mode string, source_sha256 string, recipe_sha256 string, target_audit string, references_sha256 string"), "development").count() == 0
     with pytest.raises(ValueError, match="protocol"):
         measures.evaluation_gate(spark.range(1), "other")
+
+
+def test_matching_of_a_large_component():
+    """A chain and a tangle of twenty thousand pairs each are solved in seconds; the chain's matching is known."""
+    pairs = [(i // 2, (i + 1) // 2, 0.25 if i % 2 else 0.5) for i in range(20_000)]
+    start = time.perf_counter()
+    assert matching.assign(pairs) == list(range(0, 20_000, 2))
+    rng = random.Random(3)
+    tangle = [(t, p, rng.random()) for t, p in sorted({(rng.randrange(5000), rng.randrange(5000)) for _ in range(20_000)})]
+    found = [tangle[k] for k in matching.assign(tangle)]
+    assert len({t for t, *_ in found}) == len({p for _, p, _ in found}) == len(found)
+    assert time.perf_counter() - start < 30
