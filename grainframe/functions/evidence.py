@@ -125,9 +125,13 @@ CANDIDATE_RULES = (
 )
 
 
-def candidate_reason(limits: dict[str, float]) -> Column:
-    """Why a candidate (area, concavity, protrusion, solidity, axis_ratio, width_fraction) is refused; null if it isn't."""
-    return first_reason([(reason, F.col(c) < limits[reason] if side == "<" else F.col(c) > limits[reason]) for reason, c, side in CANDIDATE_RULES])
+def candidate_reason(limits: dict[str, float], annotated: Column) -> Column:
+    """Why a candidate (area, concavity, protrusion, solidity, axis_ratio, width_fraction) is refused; null if it isn't.
+
+    An ``annotated`` one may be of any small area.
+    """
+    beyond = [(reason, F.col(c) < limits[reason] if side == "<" else F.col(c) > limits[reason]) for reason, c, side in CANDIDATE_RULES]
+    return first_reason([(reason, ~annotated & rule if reason == "instance_below_minimum_area" else rule) for reason, rule in beyond])
 
 
 def shape_compatibility(values: list[Column], expected: list[float], variances: list[float], floors: list[float]) -> Column:

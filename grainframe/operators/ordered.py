@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from grainframe.sources.workspace import Workspace
 
+#: Rows of a group whose median one task takes; above that it comes from ranges of a long order.
+IN_GROUP = 200_000
+
 
 def join_nulls(frame: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join on ``keys`` by which null keys are keys too. ``other`` brings its other columns."""
@@ -89,6 +92,21 @@ def linear_quantile(frame: DataFrame, keys: list[str], value: str, q: float, nam
     return counted_quantiles(value_counts(frame, keys, value), keys, value, {name: (q, "linear")})
 
 
+def vector_medians(rows: DataFrame, keys: list[str], vector: str, name: str, kind: str) -> DataFrame:
+    """``keys, name``: the median of each dimension of the vectors of a key, ``lower`` or ``linear``, exact at any size.
+
+    Where no key has over ``IN_GROUP`` rows, a group's values are counted by one task; otherwise they come from ranges.
+    """
+    long = rows.select(*keys, F.posexplode(vector).alias("at__", "v__"))
+    largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= IN_GROUP:
+        median = "percentile_disc(0.5) WITHIN GROUP (ORDER BY v__)" if kind == "lower" else "percentile(v__, 0.5)"
+        found = long.groupBy(*keys, "at__").agg(F.expr(median).alias("m__"))
+    else:
+        found = counted_quantiles(value_counts(long, [*keys, "at__"], "v__"), [*keys, "at__"], "v__", {"m__": (0.5, kind)})
+    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at__", "m__"))), lambda s: s["m__"]).alias(name))
+
+
 def even_subsample(frame: DataFrame, order: list[Column], k: int) -> DataFrame:
     """``k`` rows at even places of ``order`` (half to even), with their ``rank``; all rows where there are fewer."""
     placed = ranked(frame, order)

@@ -15,33 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from grainframe.operators.ordered import join_nulls, lower_quantile
+from grainframe.operators.ordered import join_nulls, vector_medians
 from grainframe.operators.vectors import squared_distance
 from grainframe.sources.workspace import Workspace
 
 MAX_CENTRE_BYTES = 64_000_000
-#: Rows of a group whose median one task takes from its values; above that it comes from ranges of a long order.
-IN_GROUP = 200_000
 #: Differences between rows and centres that a task holds at once.
 CHUNK = 4_000_000
 
 
-def lower_medians(rows: DataFrame, keys: list[str], vector: str, name: str) -> DataFrame:
-    """``keys, name``: the lower median of each dimension of the vectors of a key, exact at any size."""
-    long = rows.select(*keys, F.posexplode(vector).alias("at__", "v__"))
-    largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= IN_GROUP:
-        found = long.groupBy(*keys, "at__").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v__)").alias("m__"))
-    else:
-        found = lower_quantile(long, [*keys, "at__"], "v__", 0.5, "m__")
-    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at__", "m__"))), lambda s: s["m__"]).alias(name))
-
-
 def robust_centres(rows: DataFrame, keys: list[str], vector: str, floor: float) -> DataFrame:
     """``keys, centre, scale``: lower medians, and 1.4826 times the lower median distance from them (``floor`` at least)."""
-    centres = lower_medians(rows, keys, vector, "centre")
+    centres = vector_medians(rows, keys, vector, "centre", "lower")
     away = join_nulls(rows, centres, keys).select(*keys, F.zip_with(vector, "centre", lambda v, c: F.abs(v - c)).alias("away__"))
-    mads = lower_medians(away, keys, "away__", "mad__")
+    mads = vector_medians(away, keys, "away__", "mad__", "lower")
     return join_nulls(centres, mads, keys).select(*keys, "centre", F.transform("mad__", lambda m: F.greatest(1.4826 * m, F.lit(floor))).alias("scale"))
 
 
@@ -136,7 +123,7 @@ def fit_prototypes(rows: DataFrame, key: str, row_id: str, vector: str, maximum:
     for step in range(1, iterations + 1):
         assigned = assign(standard.select(key, "z__"), key, "z__", centres)
         assigned = work.save(assigned, f"assigned-{step}")
-        moved = join_nulls(centres, lower_medians(assigned, [key, "cluster"], "z__", "moved__"), [key, "cluster"], "left")
+        moved = join_nulls(centres, vector_medians(assigned, [key, "cluster"], "z__", "moved__", "lower"), [key, "cluster"], "left")
         moved = work.save(moved.select(key, "cluster", F.coalesce("moved__", "centre").alias("centre"), (F.coalesce("moved__", "centre") != F.col("centre")).alias("moved__")), f"centres-{step}")
         centres = moved.drop("moved__")
         work.drop(f"assigned-{step}")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainframe.operators.components import connected_components
+from grainframe.operators.ordered import join_nulls
 from grainframe.sources.workspace import Workspace
 
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
@@ -51,10 +52,11 @@ def boundary(cells: DataFrame, image: list[str], height: int, width: int, offset
     return held.join(same, [*image, "y", "x"], "left").where(F.coalesce("same__", F.lit(0)) < inside).drop("same__")
 
 
-def boundary_agreement(truth: DataFrame, prediction: DataFrame, image: list[str], tolerance: int = 2) -> DataFrame:
+def boundary_agreement(truth: DataFrame, prediction: DataFrame, image: list[str], tolerance: int = 2, images: DataFrame | None = None) -> DataFrame:
     """``image, precision, recall, f1``: shares of boundary cells with one of the other side within ``tolerance`` cells.
 
-    Without boundaries on both sides all are 1; with none on one side, 0. Reach is a fixed set of offsets, so an equi-join.
+    ``images`` lists all images; one without boundaries on both sides has 1 throughout, and is only known from this list. With
+    boundaries on one side only all are 0. Reach is a fixed set of offsets, so an equi-join.
     """
     reach = [(dy, dx) for dy in range(-tolerance, tolerance + 1) for dx in range(-tolerance, tolerance + 1) if dy * dy + dx * dx <= tolerance * tolerance]
     near = lambda a, b: a.select(*image, "y", "x").join(_shifted(b.withColumn("label", F.lit(1)), reach, image).select(*image, "y", "x").distinct(), [*image, "y", "x"], "left_semi")
@@ -63,8 +65,11 @@ def boundary_agreement(truth: DataFrame, prediction: DataFrame, image: list[str]
     joined = parts[0]
     for part in parts[1:]:
         joined = joined.join(part, image, "full")
+    if images is not None:
+        joined = join_nulls(images.select(*image).distinct(), joined, image, "left")
     joined = joined.fillna(0, ["p", "hit_p", "t", "hit_t"])
-    precision, recall = F.coalesce(F.try_divide("hit_p", "p"), F.lit(0.0)), F.coalesce(F.try_divide("hit_t", "t"), F.lit(0.0))
+    nothing = (F.col("p") == 0) & (F.col("t") == 0)
+    precision, recall = (F.when(nothing, 1.0).otherwise(F.coalesce(F.try_divide(f"hit_{c}", c), F.lit(0.0))) for c in ("p", "t"))
     return joined.select(*image, precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / F.greatest(F.lit(1e-12), precision + recall)).alias("f1"))
 
 

@@ -10,12 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from grainframe.operators.ordered import counted_quantiles
+from grainframe.operators.ordered import counted_quantiles, join_nulls, vector_medians
 from grainframe.sources.workspace import Workspace
 
 MAX_BANK, MAX_BANK_BYTES = 20_000, 64_000_000
@@ -169,49 +169,59 @@ def median_update(assigned: DataFrame, vector: str, floor: float = 0.045) -> Dat
     return found.select("cluster", F.transform("l", lambda x: x["m"]).alias("centre"), F.transform("l", lambda x: x["s"]).alias("scale"), "n")
 
 
-def farthest_first(rows: DataFrame, keys: list[str], row_id: str, vector: str, weight: str, k: int, reserved: DataFrame | None = None) -> DataFrame:
+def farthest_first(rows: DataFrame, keys: list[str], row_id: str, vector: str, weight: str, k: int, reserved: DataFrame | None = None, root: bool = True) -> DataFrame:
     """``keys, rank, row_id``: ``k`` rows of each key, each the farthest from those before it, by squared distance and weight.
 
-    The first is the heaviest; then the score is d * (0.25 + 0.75 * sqrt(weight / heaviest)). Ties take the least id. Each
-    round is one pass with a grouped maximum over all keys; only the chosen vectors (``k`` a key) go back to the rows.
-    ``reserved`` (``keys, row_id``) are chosen before.
+    The first is the heaviest; then the score is d * (0.25 + 0.75 * share), where the share is weight / heaviest, or its
+    ``root``. Ties take the least id. ``reserved`` (``keys, row_id``) have rank 0 and count among the ``k``. Rows carry their
+    least distance, so a round is one pass with a grouped maximum over all keys.
     """
     work = Workspace(rows.sparkSession, "farthest")
-    id_type = rows.schema[row_id].dataType.simpleString()
-    held = work.save(rows.select(*keys, row_id, vector, weight), "rows")
-    most = work.save(held.groupBy(*keys).agg(F.max(weight).alias("most__")), "most")
+    most = rows.groupBy(*keys).agg(F.max(weight).alias("most__"))
+    share = F.col(weight) / F.greatest(F.col("most__"), F.lit(1e-12))
+    held = join_nulls(rows.select(*keys, row_id, vector, weight), most, keys).withColumn("factor__", 0.25 + 0.75 * (F.sqrt(share) if root else share))
+    held = held.withColumns({"near__": F.lit(None).cast("double"), "taken__": F.lit(False), "left__": F.lit(k)})
     chosen = None
     if reserved is not None:
-        chosen = work.save(held.join(F.broadcast(reserved.select(row_id)), row_id).select(*keys, row_id, F.lit(0).alias("rank"), F.col(vector).alias("picked__")), "chosen-0")
-    for rank in range(1, k + 1):
-        if chosen is None:
-            first = held.groupBy(*keys).agg(F.min(F.struct((-F.col(weight)).alias("w"), F.col(row_id).alias("i"), F.col(vector).alias("v"))).alias("b"))
-            picked = first.select(*keys, F.col("b.i").alias(row_id), F.lit(rank).alias("rank"), F.col("b.v").alias("picked__"))
-        else:
-            before = chosen.groupBy(*keys).agg(F.collect_list("picked__").alias("before__"), F.collect_list(row_id).alias("ids__"))  # k of each key
-            joined = held.join(F.broadcast(before), keys) if keys else held.crossJoin(F.broadcast(before))
-            joined = joined.join(F.broadcast(most), keys) if keys else joined.crossJoin(F.broadcast(most))
-            open_ = joined.where(~F.array_contains("ids__", F.col(row_id)))
-            near = F.array_min(F.transform("before__", lambda p: squared_distance(F.col(vector), p)))
-            score = near * (0.25 + 0.75 * F.sqrt(F.col(weight) / F.greatest(F.col("most__"), F.lit(1e-12))))
-            best = open_.groupBy(*keys).agg(F.min(F.struct((-score).alias("s"), F.col(row_id).alias("i"), F.col(vector).alias("v"))).alias("b"))
-            picked = best.select(*keys, F.col("b.i").alias(row_id), F.lit(rank).alias("rank"), F.col("b.v").alias("picked__"))
-        picked = work.save(picked, f"picked-{rank}")
+        chosen = work.save(rows.join(reserved.select(row_id), row_id, "left_semi").select(*keys, F.lit(0).alias("rank"), row_id, F.col(vector).alias("picked__")), "reserved")
+        before = chosen.groupBy(*keys).agg(F.collect_list("picked__").alias("before__"), F.collect_list(row_id).alias("ids__"))  # at most k of a key
+        held = join_nulls(held, before, keys, "left")
+        held = held.withColumns({"near__": F.array_min(F.transform("before__", lambda p: squared_distance(F.col(vector), p))), "taken__": F.coalesce(F.array_contains("ids__", F.col(row_id)), F.lit(False)), "left__": F.col("left__") - F.coalesce(F.size("ids__"), F.lit(0))}).drop("before__", "ids__")
+    held = work.save(held.drop("most__"), "rows-0")
+    rounds = held.agg(F.max("left__")).first()[0] or 0
+    for rank in range(1, rounds + 1):
+        score = F.coalesce(F.col("near__") * F.col("factor__"), F.col(weight))
+        best = held.where((F.col("left__") >= rank) & ~F.col("taken__")).groupBy(*keys).agg(F.min(F.struct((-score).alias("s"), F.col(row_id).alias("i"), F.col(vector).alias("v"))).alias("b"))
+        picked = work.save(best.select(*keys, F.lit(rank).alias("rank"), F.col("b.i").alias(row_id), F.col("b.v").alias("picked__")), f"picked-{rank}")
         chosen = picked if chosen is None else chosen.union(picked)
-    return chosen.select(*keys, "rank", F.col(row_id).cast(id_type).alias(row_id))
+        if rank < rounds:
+            nearer = join_nulls(held, picked.select(*keys, F.col(row_id).alias("id__"), "picked__"), keys)
+            distance = squared_distance(F.col(vector), F.col("picked__"))
+            held = work.save(nearer.withColumns({"near__": F.least("near__", distance), "taken__": F.col("taken__") | (F.col("id__") == F.col(row_id))}).drop("id__", "picked__"), f"rows-{rank}")
+            work.drop(f"rows-{rank - 1}")
+    return chosen.select(*keys, "rank", row_id) if chosen is not None else rows.select(*keys, F.lit(0).alias("rank"), row_id).limit(0)
 
 
 def bounded_selection(bank: DataFrame, keys: list[str], row_id: str, vector: str, weight: str, source: str, maximum: int) -> DataFrame:
-    """``keys, row_id`` of at most ``maximum`` rows of each key: one of each source (its heaviest), then farthest first."""
-    top = bank.groupBy(*keys, source).agg(F.min(F.struct((-F.col(weight)).alias("w"), F.col(row_id).alias("i"))).alias("b"))
-    work = Workspace(bank.sparkSession, "selection")
-    reserved = work.save(top.select(*keys, F.col("b.i").alias(row_id)), "reserved")
-    n = reserved.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
-    found = farthest_first(bank, keys, row_id, vector, weight, max(0, maximum - n), reserved)
-    from pyspark.sql import Window
+    """``keys, row_id`` of at most ``maximum`` rows of each key: all of a key that has no more, else one of each source, then farthest first.
 
-    order = Window.partitionBy(*keys).orderBy("rank", row_id)  # at most sources + maximum rows of a key
-    return found.withColumn("place__", F.row_number().over(order)).where(F.col("place__") <= maximum).select(*keys, row_id)
+    The representative of a source is its heaviest row (the lower id on ties); sources in their order until there are
+    ``maximum``. Distances are those of vectors standardised by median and MAD; scores take weights without a root.
+    """
+    work = Workspace(bank.sparkSession, "selection")
+    held = work.save(join_nulls(bank.select(*keys, row_id, vector, weight, source), bank.groupBy(*keys).agg(F.count("*").alias("all__")), keys), "bank")
+    whole = held.where(F.col("all__") <= maximum).select(*keys, row_id)
+    large = held.where(F.col("all__") > maximum)
+    centres = work.save(vector_medians(large, keys, vector, "centre__", "linear"), "centres")
+    away = join_nulls(large, centres, keys).withColumn("away__", F.zip_with(vector, "centre__", lambda v, c: F.abs(v - c)))
+    scales = work.save(join_nulls(centres, vector_medians(away, keys, "away__", "mad__", "linear"), keys), "scales")
+    gaps = F.zip_with(vector, "centre__", lambda v, c: v - c)
+    standard = F.zip_with(gaps, "mad__", lambda g, m: g / F.greatest(1.4826 * m, F.lit(1e-6)))
+    standard = work.save(join_nulls(large, scales, keys).select(*keys, row_id, weight, source, standard.alias(vector)), "standardised")
+    top = standard.groupBy(*keys, source).agg(F.min(F.struct((-F.col(weight)).alias("w"), F.col(row_id).alias("i"))).alias("b"))
+    order = Window.partitionBy(*keys).orderBy(source)  # one row a source
+    first = work.save(top.withColumn("n__", F.row_number().over(order)).where(F.col("n__") <= maximum).select(*keys, F.col("b.i").alias(row_id)), "representatives")
+    return whole.union(farthest_first(standard, keys, row_id, vector, weight, maximum, first, root=False).select(*keys, row_id))
 
 
 def exclude_source(bank: DataFrame, source: str, excluded: DataFrame, group: str, weight: str) -> DataFrame:

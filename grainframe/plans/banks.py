@@ -73,11 +73,11 @@ def _weighted(spark, sf_dir):
     return _vectors(spark, sf_dir).withColumn("w", (F.col("vec_id") * 37 % 101 + 1).cast("double"))
 
 
-def _steps_sql(first, k):
+def _steps_sql(first, k, share="sqrt(any_value(n.w) / any_value(n.top))"):
     """Chosen rows of each label step by step, from the table ``ch0`` on."""
     parts = [first]
     for i in range(1, k):
-        parts.append(f"""s{i} AS (SELECT n.label, n.vec_id, min(n.d) * (0.25 + 0.75 * sqrt(any_value(n.w) / any_value(n.top))) AS score FROM (SELECT a.label, a.vec_id, b.vec_id AS p, sum(pow(a.v - b.v, 2)) AS d, any_value(a.w) AS w, any_value(a.top) AS top FROM x a JOIN x b ON a.label = b.label AND a.i = b.i AND b.vec_id IN (SELECT vec_id FROM ch{i - 1})
+        parts.append(f"""s{i} AS (SELECT n.label, n.vec_id, min(n.d) * (0.25 + 0.75 * {share}) AS score FROM (SELECT a.label, a.vec_id, b.vec_id AS p, sum(pow(a.v - b.v, 2)) AS d, any_value(a.w) AS w, any_value(a.top) AS top FROM x a JOIN x b ON a.label = b.label AND a.i = b.i AND b.vec_id IN (SELECT vec_id FROM ch{i - 1})
   WHERE a.vec_id NOT IN (SELECT vec_id FROM ch{i - 1}) GROUP BY a.label, a.vec_id, b.vec_id) n GROUP BY n.label, n.vec_id),
 ch{i} AS (SELECT * FROM ch{i - 1} UNION ALL SELECT label, {i + 1} AS rank, vec_id FROM (SELECT * FROM s{i} QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1))""")
     return ",\n".join(parts)
@@ -100,7 +100,10 @@ def t07_bounded_selection(spark, sf_dir):
     return vectors.bounded_selection(rows, ["label"], "vec_id", "e", "w", "source", 7)
 
 
-T07_SQL = f"WITH {WEIGHTED_SQL}, {_steps_sql('ch0 AS (SELECT label, 0 AS rank, vec_id FROM x WHERE i = 1 QUALIFY row_number() OVER (PARTITION BY label, vec_id % 5 ORDER BY w DESC, vec_id) = 1)', 3)} SELECT label, vec_id FROM ch2"
+# of a label with seven vectors or fewer all stay; distances are in units of each label's median absolute deviations
+T07_SQL = f"""WITH {WEIGHTED_SQL.replace("x AS (", "y AS (")}, md AS (SELECT label, i, quantile_cont(v, 0.5) AS m, count(*) AS n FROM e GROUP BY ALL), sd AS (SELECT label, i, any_value(m) AS m, any_value(n) AS n, greatest(1e-6, 1.4826 * quantile_cont(abs(v - m), 0.5)) AS s FROM e JOIN md USING (label, i) GROUP BY label, i),
+x AS (SELECT vec_id, label, i, (v - m) / s AS v, w, top FROM y JOIN sd USING (label, i) WHERE n > 7), {_steps_sql('ch0 AS (SELECT label, 0 AS rank, vec_id FROM x WHERE i = 1 QUALIFY row_number() OVER (PARTITION BY label, vec_id % 5 ORDER BY w DESC, vec_id) = 1)', 3, 'any_value(n.w) / any_value(n.top)')}
+SELECT label, vec_id FROM ch2 UNION ALL SELECT DISTINCT y.label, vec_id FROM y JOIN sd USING (label, i) WHERE n <= 7"""
 
 
 def j15_exclude_source(spark, sf_dir):

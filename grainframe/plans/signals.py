@@ -141,7 +141,7 @@ C09_SQL = """WITH s AS (SELECT p_partkey AS k, p_size, greatest(p_partkey % 10 /
 SELECT k AS p_partkey, round(ra / (ra + rb + rc) * (top / (top + 0.08)), 6) AS mass_a, round(rb / (ra + rb + rc) * (top / (top + 0.08)), 6) AS mass_b, round(rc / (ra + rb + rc) * (top / (top + 0.08)), 6) AS mass_c,
   round(exp(-0.5 * (pow((k % 100 - 50) / 20, 2) + 0.5 * pow((p_size - 25) / 10, 2))), 6) AS mode, round(pow(2, -p_size / 8), 6) AS pressure, round(CASE WHEN p_size <= 20 THEN 1 ELSE 0.2 + 0.8 * pow(2, -((p_size - 20) / 10) / 1.5) END, 6) AS authority FROM t"""
 
-LIMITS = {"instance_below_minimum_area": 40.0, "instance_above_maximum_area": 2300.0, "instance_above_maximum_concavity": 0.9, "instance_above_maximum_protrusion": 0.85, "instance_below_minimum_solidity": 0.1, "instance_above_maximum_axis_ratio": 3.6, "instance_above_hard_maximum_width": 1.9}
+LIMITS = {"instance_below_minimum_area": 200.0, "instance_above_maximum_area": 2300.0, "instance_above_maximum_concavity": 0.9, "instance_above_maximum_protrusion": 0.85, "instance_below_minimum_solidity": 0.1, "instance_above_maximum_axis_ratio": 3.6, "instance_above_hard_maximum_width": 1.9}
 
 
 def c29_candidate_score(spark, sf_dir):
@@ -153,12 +153,12 @@ def c29_candidate_score(spark, sf_dir):
     )
     compatibility = evidence.shape_compatibility([F.col("axis_ratio"), F.col("solidity")], [1.6, 0.9], [0.04, 0.0001], [0.08, 0.04])
     score = evidence.candidate_score(F.col("marker"), F.col("boundary"), F.col("area"), F.lit(900.0), F.lit(300.0), F.col("width_fraction"), F.col("concavity"), F.col("protrusion"), compatibility, LIMITS, 1.2, F.col("annotated"))
-    reason = evidence.candidate_reason(LIMITS)
+    reason = evidence.candidate_reason(LIMITS, F.col("annotated"))
     return c.select("p_partkey", reason.alias("reason"), F.when(reason.isNull(), F.round(score, 6)).alias("score"))
 
 
 C29_SQL = """WITH c AS (SELECT p_partkey, p_size * 50.0::DOUBLE AS area, p_partkey % 100 / 100 AS concavity, p_partkey % 37 / 40 AS protrusion, 1 - p_partkey % 20 / 20 AS solidity, 1 + p_partkey % 9 / 3 AS axis, 0.5 + p_partkey % 31 / 20 AS width, p_partkey % 11 / 11 AS marker, p_partkey % 17 / 17 AS boundary, p_partkey % 50 = 0 AS annotated FROM part),
-r AS (SELECT *, CASE WHEN area < 40 THEN 'instance_below_minimum_area' WHEN area > 2300 THEN 'instance_above_maximum_area' WHEN concavity > 0.9 THEN 'instance_above_maximum_concavity' WHEN protrusion > 0.85 THEN 'instance_above_maximum_protrusion' WHEN solidity < 0.1 THEN 'instance_below_minimum_solidity'
+r AS (SELECT *, CASE WHEN NOT annotated AND area < 200 THEN 'instance_below_minimum_area' WHEN area > 2300 THEN 'instance_above_maximum_area' WHEN concavity > 0.9 THEN 'instance_above_maximum_concavity' WHEN protrusion > 0.85 THEN 'instance_above_maximum_protrusion' WHEN solidity < 0.1 THEN 'instance_below_minimum_solidity'
   WHEN axis > 3.6 THEN 'instance_above_maximum_axis_ratio' WHEN width > 1.9 THEN 'instance_above_hard_maximum_width' END AS reason, exp(-0.5 * least(40, (pow(axis - 1.6, 2) / 0.04 + pow(solidity - 0.9, 2) / 0.0016) / 2)) AS compat FROM c),
 s AS (SELECT p_partkey, reason, CASE WHEN annotated THEN 1 ELSE greatest(0, least(1, (0.42 * marker + 0.36 * boundary + 0.22 * exp(-0.5 * pow(ln(greatest(area / 900, 1e-4)) / 0.58, 2))) * least(1, area / 300) * CASE WHEN width <= 1.2 THEN 1 ELSE greatest(0, 1 - (width - 1.2) / 0.7) END
   * pow(greatest(0, 1 - concavity / 0.9) * greatest(0, 1 - protrusion / 0.85), 0.25) * (0.65 + 0.35 * compat))) END AS score FROM r) SELECT p_partkey, reason, CASE WHEN reason IS NULL THEN round(score, 6) END AS score FROM s"""

@@ -205,7 +205,7 @@ def fitted(points, maximum, support, iterations, floor):
 @pytest.mark.parametrize("in_group", [10, 200_000])
 def test_prototypes_equal_a_plain_fit(spark, monkeypatch, in_group):
     """Several keys (a null one too), repeated rows, keys of one row, centres that lose their rows; medians of groups and of ranges."""
-    monkeypatch.setattr(prototypes, "IN_GROUP", in_group)
+    monkeypatch.setattr(ordered, "IN_GROUP", in_group)
     monkeypatch.setattr(prototypes, "MAX_CENTRE_BYTES", 1500)
     rng = np.random.default_rng(3)
     rows = [(int(i), key, [float(v) for v in rng.normal(rng.integers(0, 4) * 3, 1, 3).round(2)]) for i, key in enumerate(["a"] * 60 + ["b"] * 25 + [None] * 17 + ["one"])]
