@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,3 +185,95 @@ def mask_union(masks: list[DataFrame], image: list[str]) -> DataFrame:
     for mask in masks[1:]:
         out = out.union(mask.select(*image, "y", "x"))
     return out.distinct()
+
+
+def hysteresis(cells: DataFrame, image: list[str], strong: str, weak: str, rounds: int = 8) -> DataFrame:
+    """``image, y, x, step`` of the cells that strong ones reach through weak ones by steps to one of eight neighbours, in ``rounds`` at most.
+
+    ``step`` is 0 for strong cells. A round joins the cells reached last with the weak ones not reached yet; a cell that
+    is not weak is never entered, a null flag is false. Repeated cells count once.
+    """
+    work = Workspace(cells.sparkSession, "hysteresis")
+    flag = lambda c: F.coalesce(F.max(F.col(c)), F.lit(False))
+    held = work.save(cells.groupBy(*image, "y", "x").agg(flag(strong).alias("strong"), flag(weak).alias("weak")), "cells")
+    reached = work.save(held.where("strong").select(*image, "y", "x", F.lit(0).alias("step")), "reached-0")
+    open_, out = held.where("weak AND NOT strong").select(*image, "y", "x"), reached
+    for step in range(1, rounds + 1):
+        around = _shifted(reached.withColumn("label", F.lit(1)), EIGHT, image).select(*image, "y", "x").distinct()
+        reached = work.save(open_.join(around, [*image, "y", "x"], "left_semi").withColumn("step", F.lit(step)), f"reached-{step}")
+        if reached.isEmpty():
+            break
+        out = out.union(reached)
+        open_ = work.save(open_.join(reached, [*image, "y", "x"], "left_anti"), f"open-{step}")
+    return out
+
+
+def lower_envelope(heights: np.ndarray) -> np.ndarray:
+    """Least ``(x - c) ** 2 + heights[c]`` for every place x: the lower envelope of a parabola over each place with a finite height."""
+    known = np.flatnonzero(np.isfinite(heights)).tolist()
+    if not known:
+        return np.full(len(heights), np.inf)
+    lowest, starts = [known[0]], [-np.inf]
+    for c in known[1:]:
+        while True:
+            last = lowest[-1]
+            meet = (heights[c] + c * c - heights[last] - last * last) / (2 * (c - last))
+            if meet > starts[-1] or len(lowest) == 1:
+                break
+            lowest.pop()
+            starts.pop()
+        if meet <= starts[-1]:
+            lowest[-1] = c
+        else:
+            lowest.append(c)
+            starts.append(meet)
+    at = np.arange(len(heights))
+    own = np.array(lowest)[np.searchsorted(np.array(starts), at, side="left") - 1]
+    return (at - own) ** 2 + heights[own]
+
+
+def distance_transform(features: DataFrame, image: list[str], images: DataFrame) -> DataFrame:
+    """``image, y, x, distance`` of every cell of every frame to its nearest feature cell; null in frames without one.
+
+    ``images``: ``image, height, width``. Exact and separable: first the columns, each a row of its own with its feature
+    cells, give the distance along them; then the rows take the lower envelope over their columns. No task holds more than a
+    column or a row at once. Features outside their frame don't count.
+    """
+    frames = images.select(*image, "height", "width").distinct()
+    inside = join_nulls(features.select(*image, "y", "x"), frames, image).where((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("height")) & (F.col("x") < F.col("width")))
+    columns = inside.groupBy(*image, "x", "height", "width").agg(F.array_sort(F.collect_set(F.col("y").cast("int"))).alias("ys"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.select(*image).schema.fields)
+    comma = ", " if image else ""
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                x, height, width, ys = (row.column(len(image) + k)[0].as_py() for k in range(4))
+                ys, at = np.array(ys), np.arange(height)
+                after = np.searchsorted(ys, at)
+                gap = np.minimum(np.abs(at - ys[np.maximum(after - 1, 0)]), np.abs(ys[np.minimum(after, len(ys) - 1)] - at))
+                same = pa.array(np.zeros(height, dtype=np.int64))
+                fixed = [pa.array(np.full(height, v)) for v in (int(x), int(width))]
+                yield pa.RecordBatch.from_arrays([*(c.take(same) for c in row.columns[: len(image)]), pa.array(at), *fixed, pa.array(gap.astype(np.float64) ** 2)], names=[*image, "y", "x", "width", "height2"])
+
+    dropped = columns.mapInArrow(down, f"{kinds}{comma}y bigint, x bigint, width bigint, height2 double")
+    rows = dropped.groupBy(*image, "y", "width").agg(F.collect_list(F.struct("x", "height2")).alias("places"))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                width = row.column(len(image) + 1)[0].as_py()
+                heights = np.full(width, np.inf)
+                for place in row.column(len(image) + 2)[0].as_py():
+                    heights[place["x"]] = place["height2"]
+                same = pa.array(np.zeros(width, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([*(c.take(same) for c in row.columns[: len(image) + 1]), pa.array(np.arange(width)), pa.array(np.sqrt(lower_envelope(heights)))], names=[*image, "y", "x", "distance"])
+
+    found = rows.mapInArrow(across, f"{kinds}{comma}y bigint, x bigint, distance double")
+    if not image:
+        return found
+    empty = frames.join(columns.select(*image).distinct(), image, "left_anti")
+    cells = empty.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    return found.union(cells.select(*image, F.col("y").cast("bigint"), F.col("x").cast("bigint"), F.lit(None).cast("double").alias("distance")))

@@ -6,7 +6,10 @@ Neighbours meet by equi-joins on shifted places or by windows over blocks of a s
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from grainframe.operators.suppression import suppress_near
 from grainframe.sources.workspace import Workspace
 
 BLOCK = 100_000
+#: Samples whose part of a spectrum one transform gives.
+SPECTRUM_BLOCK = 4096
 
 
 def _neighbours(series: DataFrame, key: str, offsets: list[int], lengths: DataFrame | None = None) -> DataFrame:
@@ -103,6 +108,50 @@ def lattice_pitch(places: DataFrame, key: str) -> DataFrame:
     return first.join(again, key, "left").select(key, "n", F.when(enough, F.col("again")).otherwise(F.col("slope")).alias("pitch"))
 
 
+def spectral_period(series: DataFrame, key: str, shortest: float, longest: float, pad: int = 16) -> DataFrame:
+    """``key, period`` of the strongest peak of each key's spectrum between two periods; 0 where fewer than three frequencies lie there.
+
+    Samples (``t`` from 0 on, ``v``) less their mean are padded to ``pad`` times their number, so that periods are finer than a
+    sample; the peak is placed at the vertex of a parabola. Spectra add up: each block of ``SPECTRUM_BLOCK`` samples gives its part of the
+    frequencies asked for, and parts are summed by frequency. Missing samples count as the mean.
+    """
+    held = series.where(F.col("v").isNotNull() & F.col("t").isNotNull()).select(key, F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v"))
+    sizes = held.groupBy(key).agg((F.max("t") + 1).alias("n"), F.avg("v").alias("mean"))
+    sizes = sizes.withColumns({"low": F.ceil(F.col("n") * pad / longest), "high": F.least(F.floor(F.col("n") * pad / shortest), F.floor(F.col("n") * pad / 2))})
+    centred = join_nulls(held, sizes, [key]).withColumn("v", F.col("v") - F.col("mean")).where("high - low >= 2")
+    blocks = centred.groupBy(key, F.floor(F.col("t") / SPECTRUM_BLOCK).alias("block"), "n", "low", "high").agg(F.collect_list(F.struct("t", "v")).alias("samples"))
+    kind = series.schema[key].dataType.simpleString()
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                block, n, low, high, samples = (row.column(c)[0].as_py() for c in range(1, 6))
+                values = np.zeros(SPECTRUM_BLOCK)
+                for s in samples:
+                    values[s["t"] - block * SPECTRUM_BLOCK] += s["v"]
+                size = n * pad
+                asked = np.arange(max(low - 1, 0), min(high + 1, size // 2) + 1)
+                # a block no longer than the padded series is transformed as it is, and turned to its place
+                found = np.fft.rfft(values[: min(SPECTRUM_BLOCK, size)], n=size)[asked] * np.exp(-2j * np.pi * (asked * (block * SPECTRUM_BLOCK) % size) / size)
+                same = pa.array(np.zeros(len(asked), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([row.column(0).take(same), pa.array(asked), pa.array(found.real), pa.array(found.imag)], names=[key, "harmonic", "re", "im"])
+
+    sums = blocks.mapInArrow(part, f"`{key}` {kind}, harmonic bigint, re double, im double").groupBy(key, "harmonic").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    work = Workspace(series.sparkSession, "spectra")
+    spectrum = work.save(sums.select(key, "harmonic", F.hypot("re", "im").alias("m")), "spectrum")
+    sizes = work.save(sizes, "sizes")
+    banded = join_nulls(spectrum, sizes.select(key, "low", "high"), [key]).where((F.col("harmonic") >= F.col("low")) & (F.col("harmonic") <= F.col("high")))
+    best = banded.groupBy(key).agg(F.max(F.struct("m", (-F.col("harmonic")).alias("harmonic"))).alias("b")).select(key, (-F.col("b.harmonic")).alias("best"))
+    at = lambda step: F.max(F.when(F.col("harmonic") == F.col("best") + step, F.col("m")))
+    near = join_nulls(spectrum, best, [key]).groupBy(key, "best").agg(at(-1).alias("a"), at(0).alias("b"), at(1).alias("c"))
+    bend = F.col("a") - 2 * F.col("b") + F.col("c")
+    shift = F.when(bend < 0, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (F.col("a") - F.col("c")) / bend))).otherwise(0.0)
+    shift = F.when(F.col("best") > 0, F.coalesce(shift, F.lit(0.0))).otherwise(0.0)
+    joined = join_nulls(sizes.select(key, "n"), near.select(key, "best", shift.alias("shift")), [key], "left")
+    return joined.select(key, F.coalesce(F.col("n") * pad / (F.col("best") + F.col("shift")), F.lit(0.0)).alias("period"))
+
+
 def circular_false_run(ring: DataFrame, key: str, flag: str) -> DataFrame:
     """``key, longest``: the longest run of places around a ring (``t``) without ``flag``; all of it where there is none.
 

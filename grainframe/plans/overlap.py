@@ -237,7 +237,31 @@ def u01_mask_union(spark, sf_dir):
 
 U01_SQL = f"WITH {_raster_sql('c0')}, {_raster_sql('c3', 3)} SELECT image, y, x FROM c0 UNION SELECT image, y, x FROM c3"
 
+def g10_hysteresis(spark, sf_dir):
+    """Cells that those of labels divisible by four reach through cells of odd labels, in eight steps at most."""
+    cells = _raster(spark, sf_dir).select("image", "y", "x", (F.col("label") % 4 == 0).alias("strong"), ((F.col("label") + F.col("y") * F.col("x")) % 3 != 0).alias("weak"))
+    return raster.hysteresis(cells, ["image"], "strong", "weak")
+
+
+G10_SQL = f"""WITH RECURSIVE {_raster_sql('c0')}, f AS (SELECT image, y, x, label % 4 = 0 AS strong, (label + y * x) % 3 <> 0 AS weak FROM c0),
+r AS (SELECT image, y, x, 0 AS step FROM f WHERE strong UNION SELECT f.image, f.y, f.x, step + 1 FROM r JOIN f ON f.image = r.image AND abs(f.y - r.y) <= 1 AND abs(f.x - r.x) <= 1 WHERE step < 8 AND weak AND NOT strong)
+SELECT image, y, x, min(step) AS step FROM r GROUP BY ALL"""
+
+
+def k04_distance_transform(spark, sf_dir):
+    """Distance of every cell to the nearest of the labels divisible by seven; images named by a line's status have none."""
+    lines = table(spark, sf_dir, "lineitem")
+    images = lines.select(F.col("l_returnflag").alias("image")).union(lines.select("l_linestatus")).select("image", F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"))
+    found = raster.distance_transform(_raster(spark, sf_dir).where("label % 7 = 0"), ["image"], images)
+    return found.select("image", "y", "x", F.round("distance", 6).alias("distance"))
+
+
+K04_SQL = f"""WITH {_raster_sql('c0')}, i AS (SELECT l_returnflag AS image FROM lineitem UNION SELECT l_linestatus FROM lineitem), g AS (SELECT image, y, x FROM i CROSS JOIN range({HEIGHT}) a(y) CROSS JOIN range({WIDTH}) b(x))
+SELECT g.image, g.y, g.x, round(sqrt(min(pow(g.y - c0.y, 2) + pow(g.x - c0.x, 2))), 6) AS distance FROM g LEFT JOIN c0 ON c0.image = g.image AND c0.label % 7 = 0 GROUP BY ALL"""
+
 QUERIES = {
+    "g10_hysteresis": (g10_hysteresis, G10_SQL),
+    "k04_distance_transform": (k04_distance_transform, K04_SQL),
     "j01_overlap_iou": (j01_overlap_iou, J01_SQL),
     "m01_match_below_half": (m01_match_below_half, M01_SQL),
     "m03_match_cardinality": (m03_match_cardinality, M03_SQL),

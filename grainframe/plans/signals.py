@@ -52,6 +52,17 @@ g AS (SELECT key, count(*) AS n, regr_slope(place, i) AS a FROM i JOIN f USING (
 SELECT key, f.n, round(CASE WHEN g.n >= greatest(3, f.n // 2) THEN g.a ELSE f.a END, 6) AS pitch FROM f LEFT JOIN g USING (key)"""
 
 
+def cal06_spectral_period(spark, sf_dir):
+    """The strongest period of each series between 3 and 30 samples."""
+    return signals.spectral_period(_series(spark, sf_dir), "key", 3.0, 30.0).withColumn("period", F.round("period", 6))
+
+
+CAL06_SQL = f"""WITH {SERIES_SQL}, m AS (SELECT key, avg(v) AS mean FROM s GROUP BY key), f AS (SELECT unnest(range({16 * LENGTH // 30 - 1}, {16 * LENGTH // 3 + 2})) AS k),
+x AS MATERIALIZED (SELECT key, k, sqrt(pow(sum((v - mean) * cos(2 * pi() * k * t / {16 * LENGTH})), 2) + pow(sum((v - mean) * sin(2 * pi() * k * t / {16 * LENGTH})), 2)) AS m FROM s JOIN m USING (key) CROSS JOIN f GROUP BY ALL),
+n AS (SELECT key, k, m, lag(m) OVER w AS a, lead(m) OVER w AS c FROM x WINDOW w AS (PARTITION BY key ORDER BY k))
+SELECT key, round({16 * LENGTH} / (k + CASE WHEN a - 2 * m + c < 0 THEN greatest(-0.5, least(0.5, 0.5 * (a - c) / (a - 2 * m + c))) ELSE 0 END), 6) AS period FROM n WHERE k BETWEEN {16 * LENGTH // 30} AND {16 * LENGTH // 3} QUALIFY row_number() OVER (PARTITION BY key ORDER BY m DESC, k) = 1"""
+
+
 def k07_wavelet_1d(spark, sf_dir):
     """Three levels of details, and what remains; together the series."""
     found = signals.wavelets(_series(spark, sf_dir), "key", 3)
@@ -219,6 +230,7 @@ ST06X_SQL = """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + IN
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k"""
 
 QUERIES = {
+    "cal06_spectral_period": (cal06_spectral_period, CAL06_SQL),
     "w05_profile_peaks": (w05_profile_peaks, W05_SQL),
     "w06_lattice_pitch": (w06_lattice_pitch, W06_SQL),
     "w08_circular_false_run": (w08_circular_false_run, W08_SQL),

@@ -142,6 +142,40 @@ def test_polygon_suppression_equals_one_pass(spark, monkeypatch):
     assert suppression.suppress_polygons(frame.limit(0), ["k"], "id", "x", "y", "r", "s", 0.3).count() == 0
 
 
+@pytest.mark.parametrize("block", [32, 4096])
+def test_spectra_in_blocks_equal_whole_ones(spark, monkeypatch, block):
+    monkeypatch.setattr(signals, "SPECTRUM_BLOCK", block)
+    rng = np.random.default_rng(4)
+    series = {"a": np.sin(np.arange(200) * 2 * np.pi / 7.3) + rng.normal(0, 0.2, 200), "b": rng.normal(0, 1, 77), "flat": np.ones(3), "short": np.ones(1), None: np.cos(np.arange(150) * 2 * np.pi / 11.7)}
+    frame = spark.createDataFrame([(k, t, float(v)) for k, values in series.items() for t, v in enumerate(values)], "k string, t int, v double").repartition(5)
+    found = {r["k"]: r["period"] for r in signals.spectral_period(frame, "k", 4.0, 20.0).collect()}
+    for key, values in series.items():
+        size = 16 * len(values)
+        spectrum = np.abs(np.fft.rfft(values - values.mean(), n=size))
+        band = [k for k in range(len(spectrum)) if 4.0 <= size / max(k, 1e-9) <= 20.0]
+        if len(band) < 3:
+            assert found[key] == 0
+            continue
+        k = max(band, key=lambda i: spectrum[i])
+        a, b, c = spectrum[k - 1 : k + 2]
+        shift = np.clip(0.5 * (a - c) / (a - 2 * b + c), -0.5, 0.5) if a - 2 * b + c < 0 else 0.0
+        assert abs(found[key] - size / (k + shift)) < 1e-9
+    assert abs(found["a"] - 7.3) < 0.05 and abs(found[None] - 11.7) < 0.1
+
+
+def test_distances_equal_all_pairs(spark):
+    """Frames of several sizes, one without features, one that is all features, features outside their frame and repeated."""
+    rng = random.Random(3)
+    sizes = {"a": (13, 29), "b": (1, 1), "c": (7, 1), "none": (3, 4)}
+    cells = [("a", rng.randrange(13), rng.randrange(29)) for _ in range(9)] * 2 + [("b", 0, 0), ("c", 6, 0), ("none", 3, 0), ("none", -1, 2), ("c", 1, 5)]
+    frames = spark.createDataFrame([(k, *s) for k, s in sizes.items()], "image string, height int, width int")
+    found = {(r["image"], r["y"], r["x"]): r["distance"] for r in raster.distance_transform(spark.createDataFrame(cells, "image string, y int, x int"), ["image"], frames).collect()}
+    assert len(found) == sum(h * w for h, w in sizes.values())
+    for (image, y, x), distance in found.items():
+        near = [math.hypot(y - v, x - u) for k, v, u in cells if k == image and 0 <= v < sizes[k][0] and 0 <= u < sizes[k][1]]
+        assert distance == (pytest.approx(min(near)) if near else None)
+
+
 def packed(nodes, links):
     """The process over all candidates at once: (id, annotated, score, area, group) and pairs of ids."""
     order = sorted(nodes, key=lambda n: (not n[1], -n[2], -n[3], n[0]))
