@@ -159,6 +159,11 @@ def scale_bar_length(pixels_per_mm: Column, width: Column) -> Column:
     return F.when(pixels_per_mm > 0, best["length"]).otherwise(10.0)
 
 
+def other_values(current: Column, choices: list) -> Column:
+    """Array of the values to try for a setting of few: all its ``choices`` but the current one, in their order; a flag has one."""
+    return F.filter(F.array(*(F.lit(c) for c in choices)), lambda v: ~v.eqNullSafe(current))
+
+
 def candidate_steps(current: Column, step: Column, low: Column, high: Column, pass_number: Column, whole: Column) -> Column:
     """Array of the values to try on either side of a setting: a step of 20 % or ``step``, halved with each pass, within limits.
 

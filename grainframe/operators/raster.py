@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainframe.operators.components import connected_components
-from grainframe.operators.ordered import join_nulls
+from grainframe.operators.ordered import join_nulls, linear_quantile
 from grainframe.sources.workspace import Workspace
 
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
@@ -37,6 +37,13 @@ def major_extent(cells: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, (4 * F.sqrt(half + root)).alias("extent"))
 
 
+
+def median_extent(cells: DataFrame, image: list[str], label: str) -> DataFrame:
+    """``image, labels, extent``: the median (mean of middles) over the labels of an image of their major extents."""
+    extents = major_extent(cells.where(F.col(label).isNotNull()), [*image, label])
+    middle = linear_quantile(extents, image, "extent", 0.5, "extent")
+    return join_nulls(extents.groupBy(*image).agg(F.count("*").alias("labels")), middle, image)
+
 def _shifted(cells: DataFrame, offsets: list[tuple[int, int]], image: list[str]) -> DataFrame:
     steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets))
     moved = cells.select(*image, "y", "x", "label", F.explode(steps).alias("s"))

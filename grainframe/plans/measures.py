@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from grainframe.functions import evidence
 from grainframe.functions import measures as fm
-from grainframe.operators import measures, overlap, traits
+from grainframe.operators import measures, overlap, raster, traits
 from grainframe.plans.overlap import CELLS_SQL, HEIGHT, PAIRS_SQL, WIDTH, _cells, _raster, _raster_sql
 from grainframe.sources import library
 from grainframe.sources.tables import table
@@ -212,7 +213,81 @@ def m11_ranking_score(spark, sf_dir):
 
 M11_SQL = "SELECT c_mktsegment, round(avg(c_custkey % 10 / 10 + 0.35::DOUBLE * (c_custkey % 7 / 7) + 0.15::DOUBLE * (c_custkey % 5 / 5) - 0.5 * CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 4 / 4 ELSE c_custkey % 6 END), 6) AS score FROM customer GROUP BY c_mktsegment"
 
+def ag04_median_extent(spark, sf_dir):
+    """Median major extent of the labels of each image."""
+    return raster.median_extent(_raster(spark, sf_dir), ["image"], "label").withColumn("extent", F.round("extent", 6))
+
+
+AG04_SQL = f"""WITH {_raster_sql('c0')}, v AS (SELECT image, label, var_pop(y) AS a, var_pop(x) AS b, covar_pop(y, x) AS c FROM c0 GROUP BY ALL), e AS (SELECT image, 4 * sqrt((a + b) / 2 + sqrt(pow((a - b) / 2, 2) + pow(c, 2))) AS e FROM v)
+SELECT image, count(*) AS labels, round(quantile_cont(e, 0.5), 6) AS extent FROM e GROUP BY image"""
+
+
+def p02_connected_instances(spark, sf_dir):
+    """Orders as instances, reviewed or not, that are connected and not excluded."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed_id"), F.when(F.col("o_orderkey") % 17 == 0, "damaged").when(F.col("o_orderkey") % 5 == 0, " ").alias("shape_exclusion_reason"))
+    return traits.connected_instances(orders.select("seed_id"), orders, orders.where("seed_id % 23 = 0"), ["seed_id"])
+
+
+P02_SQL = "SELECT o_orderkey AS seed_id FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 23 <> 0"
+
+
+def _banks(spark, sf_dir):
+    """Documents of sources of even numbers as one bank, all others as another."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("n_chars").cast("double").alias("weight"))
+    even = F.regexp_extract("source", "([0-9]+)", 1).cast("int") % 2 == 0
+    return [docs.where(even), docs.where(~even)]
+
+
+def u02_merged_banks(spark, sf_dir):
+    """Both banks united, weights balanced by source within a language, with the place of each source."""
+    found = library.reindexed(library.merged(_banks(spark, sf_dir), "lang", "source", "weight"), "source")
+    return found.select("doc_id", "source_index", F.round("balanced", 9).alias("balanced"))
+
+
+U02_SQL = """WITH d AS (SELECT doc_id, lang, source, CAST(n_chars AS DOUBLE) AS w, dense_rank() OVER (ORDER BY source) - 1 AS source_index FROM documents WHERE regexp_extract(source, '([0-9]+)', 1) <> ''), n AS (SELECT lang, count(DISTINCT source) AS n FROM d GROUP BY lang), s AS (SELECT lang, source, sum(w) AS s FROM d GROUP BY ALL)
+SELECT doc_id, source_index, round(w / s / n, 9) AS balanced FROM d JOIN n USING (lang) JOIN s USING (lang, source)"""
+
+
+def u04_repeated_sources(spark, sf_dir):
+    """Sources that a third bank repeats, and in how many banks they are."""
+    banks = _banks(spark, sf_dir)
+    return library.repeated_sources([*banks, banks[0].where("lang = 'en'"), banks[1].where("doc_id % 2 = 0")], "source")
+
+
+U04_SQL = """WITH d AS (SELECT *, CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) % 2 = 0 AS even FROM documents WHERE regexp_extract(source, '([0-9]+)', 1) <> ''), b AS (SELECT source, 0 AS k FROM d UNION SELECT source, 1 FROM d WHERE even AND lang = 'en' UNION SELECT source, 2 FROM d WHERE NOT even AND doc_id % 2 = 0)
+SELECT source, count(*) AS banks FROM b GROUP BY source HAVING count(*) > 1"""
+
+
+def c32_identifier_problem(spark, sf_dir):
+    """Why texts, addresses, names and sources are no stable identifiers, and how many are or aren't."""
+    names = [("documents", "source"), ("documents", "text"), ("pages", "url"), ("customer", "c_name"), ("orders", "o_orderpriority")]
+    texts = [table(spark, sf_dir, t).select(F.lit(c).alias("column"), F.col(c).alias("value")) for t, c in names]
+    every = texts[0]
+    for more in texts[1:]:
+        every = every.union(more)
+    return every.groupBy("column", fm.identifier_problem(F.col("value")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+C32_SQL = """WITH t AS (SELECT 'source' AS "column", source AS v FROM documents UNION ALL SELECT 'text', text FROM documents UNION ALL SELECT 'url', url FROM pages UNION ALL SELECT 'c_name', c_name FROM customer UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders)
+SELECT "column", CASE WHEN v IS NULL OR v = '' OR trim(v) <> v THEN 'not trimmed text' WHEN length(v) > 4096 THEN 'too long' WHEN contains(v, chr(0)) THEN 'holds a NUL' WHEN NOT regexp_matches(v, '^[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}$') THEN 'not a stable identifier' END AS problem, count(*) AS n FROM t GROUP BY ALL"""
+
+
+def o02_other_values(spark, sf_dir):
+    """What else to try for the status and the priority of an order, and for whether it is a large one."""
+    o = table(spark, sf_dir, "orders")
+    tried = [evidence.other_values(F.col("o_orderstatus"), ["F", "O", "P"]), evidence.other_values(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"]), evidence.other_values(F.col("o_totalprice") > 100000, [False, True])]
+    return o.select("o_orderkey", *(F.concat_ws(",", c.cast("array<string>")).alias(n) for c, n in zip(tried, ("status", "priority", "large"))))
+
+
+O02V_SQL = """SELECT o_orderkey, array_to_string(list_filter(['F', 'O', 'P'], lambda v: v IS DISTINCT FROM o_orderstatus), ',') AS status, array_to_string(list_filter(['1-URGENT', '2-HIGH'], lambda v: v IS DISTINCT FROM o_orderpriority), ',') AS priority, CASE WHEN o_totalprice > 100000 THEN 'false' ELSE 'true' END AS large FROM orders"""
+
 QUERIES = {
+    "ag04_median_extent": (ag04_median_extent, AG04_SQL),
+    "p02_connected_instances": (p02_connected_instances, P02_SQL),
+    "u02_merged_banks": (u02_merged_banks, U02_SQL),
+    "u04_repeated_sources": (u04_repeated_sources, U04_SQL),
+    "c32_identifier_problem": (c32_identifier_problem, C32_SQL),
+    "o02_other_values": (o02_other_values, O02V_SQL),
     "j02_overlap_above": (j02_overlap_above, J02_SQL),
     "j06_with_predictions": (j06_with_predictions, J06_SQL),
     "j18_source_identity": (j18_source_identity, J18_SQL),

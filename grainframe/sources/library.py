@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainframe.operators.hierarchy import source_balanced
+from grainframe.operators.ordered import join_nulls, ranked
 from grainframe.sources.workspace import write_revision
 
 _RETIRED = "retired"
@@ -53,19 +57,28 @@ def resolve(pins: DataFrame, versions: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).drop("digest__", "vocabulary__", "retired")
 
 
+def _tagged(banks: list[DataFrame]) -> DataFrame:
+    if len({tuple(sorted((f.name, f.dataType.simpleString()) for f in b.schema)) for b in banks}) > 1:
+        raise ValueError("banks of different schemas can't be merged")
+    return reduce(DataFrame.unionByName, (b.withColumn("bank__", F.lit(i)) for i, b in enumerate(banks)))
+
+
+def repeated_sources(banks: list[DataFrame], source: str) -> DataFrame:
+    """``source, banks``: sources that are in several banks, and in how many."""
+    return _tagged(banks).groupBy(source).agg(F.count_distinct("bank__").alias("banks")).where("banks > 1")
+
+
 def merged(banks: list[DataFrame], group: str, source: str, weight: str) -> DataFrame:
     """Banks of one schema united, their weights balanced by source within ``group``; other schemas and repeated sources are an error."""
-    from functools import reduce
+    if twice := repeated_sources(banks, source).limit(1).collect():
+        raise ValueError(f"source {twice[0][source]} is in several banks")
+    return source_balanced(_tagged(banks).drop("bank__"), group, source, weight)
 
-    from grainframe.operators.hierarchy import source_balanced
 
-    if len({tuple(sorted((f.name, f.dataType.simpleString()) for f in b.schema)) for b in banks}) > 1:
-        raise ValueError("banks of different schemas can't be merged")
-    tagged = reduce(DataFrame.unionByName, (b.withColumn("bank__", F.lit(i)) for i, b in enumerate(banks)))
-    twice = tagged.groupBy(source).agg(F.count_distinct("bank__").alias("n")).where("n > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"source {twice[0][source]} is in several banks")
-    return source_balanced(tagged.drop("bank__"), group, source, weight)
+def reindexed(bank: DataFrame, source: str, name: str = "source_index") -> DataFrame:
+    """``bank`` with the place of each row's source among all its sources in order, from 0. Sources are counted, not collected."""
+    places = ranked(bank.select(source).distinct(), [F.col(source)], name)
+    return join_nulls(bank, places, [source])
 
 
 def export_bundle(result: DataFrame, folder: str, revision: str) -> str:
