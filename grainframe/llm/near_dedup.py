@@ -4,7 +4,8 @@
    band of minima, and a sketch of one byte per minimum. Documents with equal sets are one class from here on.
 2. Classes that share a band's key are candidates. In each of ``PIVOT_ROUNDS`` rounds, the members of a key outside its
    largest component are held against one member of that component (its pivot): first by sketches, then exactly, on the
-   full sets. Components are joined after each round. A group of m near copies costs a few times m pairs, not m squared.
+   full sets. Components are joined after the first round, which finds most links, and before step 3. A group of m near copies
+   costs a few times m pairs, not m squared.
 3. Members still in different components are compared on their full sets, in blocks of bounded size; only links that join
    two components leave a block, to be confirmed again on the texts. No key is capped.
 4. Links are joined to components by alternating large-star and small-star.
@@ -239,7 +240,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     none = spark.createDataFrame([], "a bigint, b bigint")
     links, tested, components = none, none, spark.createDataFrame([], "node bigint, component bigint")
+    joined_links = True  # whether components hold all links
     for step in range(PIVOT_ROUNDS + 1):
+        if step == PIVOT_ROUNDS and not joined_links:
+            components, joined_links = connected_components(links, work, "components-before"), True
         held = members if step == 0 else members.where("m > 2")
         held = held.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         pivots = _pivots(held, step)
@@ -252,11 +256,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             sets = work.save(_sets(texts.join(rest.select("doc").distinct(), "doc", "left_semi"), shingle), "rest-sets")
             size = rest.join(sets.select("doc", "n"), "doc").groupBy("key").agg(F.sum(8 * F.col("n")).alias("size"))
             near = work.save(_blockwise(rest.join(size, "key").join(sets, "doc"), percent).distinct(), f"near-{step}")
+        if near.isEmpty():
+            continue
         tested = tested.union(near)
         found = work.save(_confirmed(near, texts, shingle, percent), f"links-{step}")
         if not found.isEmpty():
-            links = links.union(found)
-            components = connected_components(links, work, f"components-{step}")
+            links, joined_links = links.union(found), False
+        if step == 0 and not joined_links:
+            components, joined_links = connected_components(links, work, "components-first"), True
+    if not joined_links:
+        components = connected_components(links, work, "components-last")
     work.drop("members", "heads", "member-texts", "member-ids", "rest", "rest-sets", *(f"near-{i}" for i in range(PIVOT_ROUNDS + 1)))
 
     joined = components.withColumnRenamed("node", "class")
