@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainframe.functions.evidence import linear_to_srgb, srgb_to_linear
@@ -38,13 +38,18 @@ def scaled(value: Column, pixels_per_mm: Column, area: bool = False) -> Column:
     return F.when(fits & ~F.isnan(found), found)
 
 
-def affine_rgb(b: Column, g: Column, r: Column, matrix: list[list[float]], offset: list[float]) -> dict[str, Column]:
-    """``b, g, r`` (0 to 255) after an affine correction of linear red, green, blue. Beyond gamut a colour is dimmed as a whole."""
-    linear = [srgb_to_linear(c / 255.0) for c in (r, g, b)]
-    moved = [sum((linear[j] * row[j] for j in range(3)), F.lit(shift)) for row, shift in zip(matrix, offset)]
-    peak = F.greatest(F.lit(1.0), *moved)
-    out = [linear_to_srgb(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c / peak))) * 255.0 for c in moved]
-    return {"b": out[2], "g": out[1], "r": out[0]}
+def with_affine_rgb(rows: DataFrame, names: dict[str, str], colour: tuple[Column, Column, Column], matrix: list[list[float]], offset: list[float]) -> DataFrame:
+    """``rows`` with a colour ``b, g, r`` (0 to 255) after an affine correction of linear red, green, blue, under ``names`` of b, g and r.
+
+    Beyond gamut a colour is dimmed as a whole. It is made in steps whose values later steps use several times, so that
+    none is written out again in the next.
+    """
+    held = rows.withColumns({f"{n}__": srgb_to_linear(c / 255.0) for n, c in zip("bgr", colour)})
+    held = held.withColumns({f"moved_{n}__": sum((F.col(f"{c}__") * x for c, x in zip("rgb", row)), F.lit(shift)) for n, row, shift in zip("rgb", matrix, offset)})
+    held = held.withColumn("peak__", F.greatest(F.lit(1.0), *(F.col(f"moved_{n}__") for n in "rgb")))
+    held = held.withColumns({f"fit_{n}__": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"moved_{n}__") / F.col("peak__"))) for n in "rgb"})
+    held = held.withColumns({name: linear_to_srgb(F.col(f"fit_{n}__")) * 255.0 for n, name in names.items()})
+    return held.drop("peak__", *(f"{p}{n}__" for p in ("", "moved_", "fit_") for n in "rgb"))
 
 
 def project(x: Column, y: Column, h: list[list[float]]) -> tuple[Column, Column]:

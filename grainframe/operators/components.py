@@ -68,19 +68,34 @@ def group_digests(members: DataFrame, group: str, member: str) -> DataFrame:
     return members.groupBy(group).agg(F.count("*").alias("members"), F.sha2(F.to_json(listed), 256).alias("digest"))
 
 
-def closure(edges: DataFrame, starts: DataFrame, depth_limit: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, node``: what is reachable along edges (``source, target``) from each start (``start``), itself included.
 
-    One join a step on the frontier alone; steps end when nothing new is reached.
+    While each node has one edge at most (chains), paths are doubled: a round of jumps twice as long reaches twice as far. Where
+    edges branch, a round is one join on the frontier alone. Rounds end when nothing new is reached.
     """
     work = Workspace(edges.sparkSession, "closure")
-    frontier = work.save(starts.select("start", F.col("start").alias("node")).distinct(), "front-0")
+    links = work.save(edges.where("source IS NOT NULL AND target IS NOT NULL AND source <> target").select("source", "target").distinct(), "edges")
+    frontier = work.save(starts.where("start IS NOT NULL").select("start", F.col("start").alias("node")).distinct(), "front-0")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frontier.schema.fields)
     work.append(frontier, "seen")
-    for step in range(1, depth_limit + 1):
-        seen = work.read("seen", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frontier.schema.fields))
-        fresh = frontier.join(edges, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
+    if links.groupBy("source").count().where("count > 1").isEmpty():
+        jumps, step = links, 0
+        while True:
+            seen = work.save(work.read("seen", schema) if step == 0 else seen, f"seen-{step}")
+            fresh = seen.join(jumps, F.col("node") == F.col("source")).select("start", F.col("target").alias("node"))
+            fresh = work.save(fresh.join(seen, ["start", "node"], "left_anti").distinct(), f"fresh-{step}")
+            if fresh.isEmpty():
+                return seen
+            seen, step = seen.union(fresh), step + 1
+            far = jumps.select("source", F.col("target").alias("via"))
+            jumps = work.save(far.join(jumps.withColumnRenamed("source", "via"), "via").select("source", "target"), f"jumps-{step}")
+    step = 0
+    while True:
+        step += 1
+        seen = work.read("seen", schema)
+        fresh = frontier.join(links, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
         frontier = work.save(fresh.join(seen, ["start", "node"], "left_anti"), f"front-{step}")
         if frontier.isEmpty():
             return seen
         work.append(frontier, "seen")
-    raise ValueError("more steps than depth_limit")

@@ -176,13 +176,13 @@ def c35_plane_and_colour(spark, sf_dir):
     """Corrected colours, projected places, star polygons and units of parts."""
     k = F.col("p_partkey")
     b, g, r = k * 7 % 256, k * 13 % 256, k * 29 % 256
-    colour = fm.affine_rgb(b, g, r, MATRIX, SHIFT)
     x, y = fm.project(k % 100 + 0.0, F.col("p_size") + 0.0, HOMOGRAPHY)
     rays = F.array(*(((k * m) % 9 + 1.0) for m in (1, 2, 3, 5, 7, 11, 13, 17)))
     from grainframe.functions.evidence import shoelace
 
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", *(F.round(v, 5).alias(n) for n, v in colour.items()), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(shoelace(fm.star_polygon(F.lit(3.0), F.lit(4.0), rays)), 5).alias("star"),
+    parts = fm.with_affine_rgb(table(spark, sf_dir, "part"), {"b": "b", "g": "g", "r": "r"}, (b, g, r), MATRIX, SHIFT)
+    return parts.select(
+        "p_partkey", *(F.round(n, 5).alias(n) for n in "bgr"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(shoelace(fm.star_polygon(F.lit(3.0), F.lit(4.0), rays)), 5).alias("star"),
         fm.rotated_rays(rays, 1)[0].alias("ray"), F.round(fm.scaled(F.col("p_size") - 2.0, k % 5 + 0.0, True), 6).alias("area"), fm.identifier_problem(F.when(k % 6 == 0, F.concat(F.lit(" "), "p_name")).otherwise(F.col("p_brand"))).alias("problem"),
         fm.display_name(F.regexp_replace("p_type", " ", "_")).alias("shown"), fm.identity({"name": F.col("p_name"), "size": F.col("p_size")}).alias("identity"),
     )

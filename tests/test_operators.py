@@ -31,6 +31,22 @@ def test_closure_with_cycles(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2), (1, 3), (1, 4), (4, 4), (9, 8), (9, 9)]
 
 
+def test_closure_of_long_chains_takes_few_rounds(spark, monkeypatch):
+    saved = []
+
+    class Counting(components.Workspace):
+        def save(self, frame, name, **options):
+            saved.append(name)
+            return super().save(frame, name, **options)
+
+    monkeypatch.setattr(components, "Workspace", Counting)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1500)] + [(5000, 5001), (5001, 5002), (5002, 5001), (7, 7), (None, 3)], "source int, target int").repartition(4)
+    found = components.closure(edges, spark.createDataFrame([(0,), (1200,), (5000,), (9999,), (None,)], "start int")).collect()
+    expect = [(0, n) for n in range(1501)] + [(1200, n) for n in range(1200, 1501)] + [(5000, n) for n in (5000, 5001, 5002)] + [(9999, 9999)]
+    assert sorted(map(tuple, found)) == expect
+    assert len([n for n in saved if n.startswith("fresh")]) <= 12
+
+
 def test_runs_and_ranks_over_many_ranges(spark):
     rng = random.Random(2)
     rows = [(k, i, rng.choice("ab") if k else "a") for k in range(3) for i in range(4000)] + [(7, 1, None), (7, 2, None), (7, 3, "a")]
