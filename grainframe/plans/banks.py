@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainframe.operators import hierarchy, prototypes, training, traits, vectors
+from grainframe.operators import hierarchy, prototypes, shapes, training, traits, vectors
 from grainframe.sources.tables import table
 
 
@@ -301,7 +301,17 @@ def _training_sql():
 TR02_SQL = f"{_training_sql()} SELECT k AS label, i AS dimension, round(w, 6) AS weight, (SELECT round(arg_min(t, {{'a': loss, 'b': t}}), 6) FROM f) AS temperature, (SELECT round(min(loss), 6) FROM f) AS loss FROM w{STEPS}"
 TR02T_SQL = f"{_training_sql()} SELECT round(t, 6) AS temperature, n, round(loss, 6) AS loss FROM f"
 
+
+
+def sh06_contour_modes(spark, sf_dir):
+    """Modes of each label's vectors, taken as signatures of closed contours, and how many of them hold out."""
+    found = shapes.contour_modes(_vectors(spark, sf_dir), "label", "e", 4)
+    flat = found.select("label", "n", "kept", F.round(F.aggregate("variances", F.lit(0.0), lambda s, v: s + v), 6).alias("variance"), F.posexplode_outer("mean").alias("place", "mean"))
+    return flat.withColumn("mean", F.round("mean", 6))
+
+
 QUERIES = {
+    "sh06_contour_modes": (sh06_contour_modes, None),
     "tr02_softmax_training": (tr02_softmax_training, TR02_SQL),
     "tr02_temperature_losses": (tr02_temperature_losses, TR02T_SQL),
     "g07_robust_prototypes": (g07_robust_prototypes, G07_SQL),

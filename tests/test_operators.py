@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainframe.operators import audits, components, hierarchy, matching, measures, ordered, packing, polygons, prototypes, raster, signals, suppression, training, traits, vectors
+from grainframe.operators import audits, components, hierarchy, matching, measures, ordered, packing, polygons, prototypes, raster, shapes, signals, suppression, training, traits, vectors
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
@@ -192,6 +192,53 @@ def test_distances_equal_all_pairs(spark):
         assert distance == (pytest.approx(min(near)) if near else None)
 
 
+def plain_modes(signatures, maximum):
+    """Smoothed, turned and fitted row by row; every row left out with a decomposition of its own."""
+    out = []
+    for values in signatures:
+        spectrum = np.fft.rfft(values)
+        spectrum[min(12, max(3, len(values) // 16)) + 1 :] = 0
+        smooth = np.fft.irfft(spectrum, n=len(values))
+        out.append(min((smooth, np.roll(smooth, len(values) // 2)), key=lambda r: tuple(np.round(r, 8))))
+    x = np.array(out)
+    if len(x) < 2:
+        return x.mean(axis=0), x[:0], []
+    tried = min(maximum, len(x) - 1)
+    if len(x) > 2:
+        errors = np.zeros(tried + 1)
+        for i in range(len(x)):
+            rest = np.delete(x, i, axis=0)
+            _, _, modes = np.linalg.svd(rest - rest.mean(axis=0), full_matrices=False)
+            away = x[i] - rest.mean(axis=0)
+            for k in range(tried + 1):
+                errors[k] += np.mean((away - away @ modes[:k].T @ modes[:k]) ** 2) / len(x)
+        best = 0
+        for k in range(1, tried + 1):
+            best = k if errors[k] <= errors[best] * 0.97 else best
+        tried = best
+    _, singular, modes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    return x.mean(axis=0), modes[:tried], (singular**2 / (len(x) - 1))[:tried]
+
+
+def test_contour_modes_equal_a_plain_fit(spark):
+    rng = np.random.default_rng(12)
+    at = 2 * np.pi * np.arange(48) / 48
+    shapes_ = {"a": 40, "b": 9, "two": 2, "one": 1}
+    rows = [(k, (10 + rng.normal(0, 1) * np.cos(2 * at) + rng.normal(0, 0.6) * np.sin(3 * at) + rng.normal(0, 0.15, 48)).tolist()) for k, n in shapes_.items() for _ in range(n)]
+    frame = spark.createDataFrame(rows + [("a", None), ("b", [float("nan")] * 48), ("none", [None] * 48)], "k string, s array<double>").repartition(5)
+    found = {r["k"]: r for r in shapes.contour_modes(frame, "k", "s", 4).collect()}
+    assert set(found) == set(shapes_)
+    for key, n in shapes_.items():
+        mean, modes, variances = plain_modes([s for k, s in rows if k == key], 4)
+        row = found[key]
+        assert (row["n"], row["kept"]) == (n, len(modes)) and np.allclose(row["mean"], mean, atol=1e-9)
+        assert np.allclose(row["variances"], variances, atol=1e-9)
+        for mine, theirs in zip(row["modes"], modes):
+            assert min(np.abs(np.array(mine) - theirs).max(), np.abs(np.array(mine) + theirs).max()) < 1e-7
+    assert found["a"]["kept"] >= 2
+    assert shapes.contour_modes(frame.limit(0), "k", "s", 4).count() == 0
+
+
 def packed(nodes, links):
     """The process over all candidates at once: (id, annotated, score, area, group) and pairs of ids."""
     order = sorted(nodes, key=lambda n: (not n[1], -n[2], -n[3], n[0]))
