@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainframe.operators import hierarchy, prototypes, shapes, training, traits, vectors
+from grainframe.operators import hierarchy, prototypes, shapes, training, traits, validation, vectors
 from grainframe.sources.tables import table
 
 
@@ -310,7 +310,24 @@ def sh06_contour_modes(spark, sf_dir):
     return flat.withColumn("mean", F.round("mean", 6))
 
 
+
+
+def ag39_left_out_coverage(spark, sf_dir):
+    """Parts of a brand that lie within the robust interval of the brand's other parts, by size, price and number."""
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice"), (F.col("p_partkey") % 97).cast("double")).alias("v"))
+    found = validation.left_out_coverage(parts, "p_brand", "p_partkey", "v")
+    return found.withColumn("coverage", F.round("coverage", 6))
+
+
+# every part against all others of its brand
+AG39_SQL = """WITH p AS (SELECT p_brand, p_partkey, unnest([CAST(p_size AS DOUBLE), p_retailprice, p_partkey % 97]) AS v, unnest([1, 2, 3]) AS i FROM part),
+m AS MATERIALIZED (SELECT a.p_brand, a.p_partkey, a.i, a.v, quantile_cont(b.v, 0.5) AS m FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.i = b.i AND a.p_partkey <> b.p_partkey GROUP BY ALL),
+s AS (SELECT a.p_brand, a.p_partkey, a.i, abs(a.v - a.m) <= 1.96 * greatest(1e-8, 1.4826 * quantile_cont(abs(b.v - a.m), 0.5)) AS inside FROM m a JOIN p b ON a.p_brand = b.p_brand AND a.i = b.i AND a.p_partkey <> b.p_partkey GROUP BY a.p_brand, a.p_partkey, a.i, a.v, a.m),
+h AS (SELECT p_brand, p_partkey, bool_and(inside) AS hit FROM s GROUP BY ALL), n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)
+SELECT p_brand, any_value(n) AS n, CASE WHEN any_value(n) >= 3 THEN any_value(n) ELSE 0 END AS tested, count(*) FILTER (hit AND n >= 3) AS hits, CASE WHEN any_value(n) >= 3 THEN round(count(*) FILTER (hit) / any_value(n), 6) END AS coverage FROM n LEFT JOIN h USING (p_brand) GROUP BY p_brand"""
+
 QUERIES = {
+    "ag39_left_out_coverage": (ag39_left_out_coverage, AG39_SQL),
     "sh06_contour_modes": (sh06_contour_modes, None),
     "tr02_softmax_training": (tr02_softmax_training, TR02_SQL),
     "tr02_temperature_losses": (tr02_temperature_losses, TR02T_SQL),
