@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainframe.operators import audits, components, hierarchy, matching, measures, ordered, packing, polygons, prototypes, raster, shapes, signals, suppression, training, traits, validation, vectors
+from grainframe.operators import audits, components, hierarchy, matching, measures, ordered, packing, polygons, prototypes, raster, rings, shapes, signals, suppression, training, traits, validation, vectors
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
@@ -209,6 +209,51 @@ def test_coverage_equals_a_fit_for_each_row(spark):
         assert found[group] == (len(x), len(x) if len(x) >= 3 else 0, hits)
 
 
+def plain_ring(u, smoothness, reach):
+    """The best closed path by one pass over all angles for every start."""
+    n, states = u.shape
+    turn = int(u.max(axis=1).argmax())
+    rolled, best = np.roll(u, -turn, axis=0), (-np.inf, None)
+    for start in sorted({*np.argsort(rolled[0], kind="stable")[-min(10, states):].tolist(), states // 2}):
+        score, came = {start: rolled[0][start]}, []
+        for row in rolled[1:]:
+            new, back = {}, {}
+            for s in range(states):
+                ways = [(score[p] - smoothness * abs(p - s), p) for p in score if abs(p - s) <= reach]
+                if ways:
+                    new[s], back[s] = max(ways)[0] + row[s], max(ways)[1]
+            score = new
+            came.append(back)
+        for s, v in score.items():
+            total = v - 1.5 * smoothness * abs(s - start)
+            if abs(s - start) <= reach and total > best[0] + 1e-12:
+                path = [s]
+                for back in reversed(came):
+                    path.append(back[path[-1]])
+                best = (total, np.roll(path[::-1], turn).tolist())
+    return best
+
+
+@pytest.mark.parametrize("stretch", [3, 256])
+def test_paths_around_rings_equal_one_pass(spark, monkeypatch, stretch):
+    """Two hundred rings of several lengths, one stretch each and many; a ring of one angle, and one that can't close."""
+    monkeypatch.setattr(rings, "STRETCH", stretch)
+    rng = np.random.default_rng(stretch)
+    made = {i: rng.normal(0, 1, (int(rng.integers(1, 30)), 7)) for i in range(200)}
+    made[500] = np.where(np.arange(7)[None] == np.array([0, 2, 4, 6])[:, None], 1000.0, -1e300)
+    rows = [(i, a, u.tolist()) for i, m in made.items() for a, u in enumerate(m)]
+    frame = spark.createDataFrame(rows, "ring int, angle int, u array<double>").repartition(6)
+    found = {}
+    for r in rings.cyclic_paths(frame, "ring", 0.4, 2).collect():
+        found.setdefault(r["ring"], ({}, r["score"]))[0][r["angle"]] = r["state"]
+    assert set(found) == set(made)
+    for i, u in list(made.items())[:200]:
+        score, path = plain_ring(u, 0.4, 2)
+        states, mine = found[i]
+        assert abs(mine - score) < 1e-9 and [states[a] for a in range(len(u))] == path
+    assert rings.cyclic_paths(frame.limit(0), "ring", 0.4, 2).count() == 0
+
+
 def plain_modes(signatures, maximum):
     """Smoothed, turned and fitted row by row; every row left out with a decomposition of its own."""
     out = []
