@@ -79,13 +79,13 @@ SELECT vec_id, CASE WHEN max(p) >= 0.2 THEN arg_max(l, p) END AS predicted, roun
 
 
 def j16_disjoint_splits(spark, sf_dir):
-    """Identities (text, source and first words) that rows of the held-out third share with the others."""
-    docs = table(spark, sf_dir, "documents").select(F.md5(F.col("text").cast("binary")).alias("text_md5"), F.concat_ws("/", "source", "lang").alias("lot"), F.substring("text", 1, 24).alias("opening"), (F.col("doc_id") % 3).alias("split"))
-    return audits.held_out_overlap(docs.where("split <> 2"), docs.where("split = 2"), ["text_md5", "lot", "opening"])
+    """Identities (text, source, and text whatever its white space) that rows of the held-out third share with the others."""
+    docs = table(spark, sf_dir, "documents").select(F.md5(F.col("text").cast("binary")).alias("text_md5"), F.concat_ws("/", "source", "lang").alias("lot"), F.md5(F.regexp_replace("text", r"[ \t-\r]+", " ").cast("binary")).alias("words_md5"), (F.col("doc_id") % 3).alias("split"))
+    return audits.held_out_overlap(docs.where("split <> 2"), docs.where("split = 2"), ["text_md5", "lot", "words_md5"])
 
 
-J16_SQL = """WITH d AS (SELECT md5(text) AS a, concat_ws('/', source, lang) AS b, substring(text, 1, 24) AS c, doc_id % 3 AS split FROM documents),
-l AS (SELECT unnest(['text_md5', 'lot', 'opening']) AS identity, unnest([a, b, c]) AS value, split = 2 AS held FROM d)
+J16_SQL = """WITH d AS (SELECT md5(text) AS a, concat_ws('/', source, lang) AS b, md5(regexp_replace(text, '[ \t-\r]+', ' ', 'g')) AS c, doc_id % 3 AS split FROM documents),
+l AS (SELECT unnest(['text_md5', 'lot', 'words_md5']) AS identity, unnest([a, b, c]) AS value, split = 2 AS held FROM d)
 SELECT identity, value, count(*) FILTER (NOT held) AS n_left, count(*) FILTER (held) AS n_right FROM l WHERE value IS NOT NULL GROUP BY ALL HAVING n_left > 0 AND n_right > 0"""
 
 
