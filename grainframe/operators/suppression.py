@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainframe.operators.joins import near_pairs
 from grainframe.operators.ordered import ranked
 from grainframe.operators.polygons import star_overlap
 from grainframe.sources.workspace import Workspace
@@ -23,16 +24,6 @@ from grainframe.sources.workspace import Workspace
 BLOCK_REACHES, MAX_BLOCK = 64, 250_000
 
 
-def near_pairs(points: DataFrame, keys: list[str], point_id: str, x: str, y: str, reach: float) -> DataFrame:
-    """``keys, a, b, distance`` of ordered pairs of points of a key (a <> b) at most ``reach`` apart."""
-    cx, cy = F.floor(F.col(x) / reach), F.floor(F.col(y) / reach)
-    around = F.array(*(F.struct((cx + dx).alias("cx"), (cy + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    left = points.select(*keys, F.col(point_id).alias("a"), F.col(x).alias("xa"), F.col(y).alias("ya"), F.explode(around).alias("c"))
-    right = points.select(*keys, F.col(point_id).alias("b"), F.col(x).alias("xb"), F.col(y).alias("yb"), F.struct(cx.alias("cx"), cy.alias("cy")).alias("c"))
-    distance = F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb"))
-    return left.join(right, [*keys, "c"]).where("a <> b").withColumn("distance", distance).where(F.col("distance") <= reach).select(*keys, "a", "b", "distance")
-
-
 def greedy_keep(candidates: DataFrame, point_id: str, score: str, conflicts: DataFrame) -> DataFrame:
     """``point_id`` of the candidates that a pass by falling score (then rising id) keeps. ``conflicts``: ``a, b``, both ways.
 
@@ -189,12 +180,10 @@ def contact_pairs(points: DataFrame, keys: list[str], point_id: str, x: str, y:
 
     ``largest`` bounds the radii, so cells of that reach hold all partners. Confidence is 1 less the distance by its limit.
     """
-    pairs = near_pairs(points, keys, point_id, x, y, 2 * largest * multiplier).where("a < b AND distance > 0")
-    radii = points.select(*keys, F.col(point_id), F.col(radius))
-    for side in ("a", "b"):
-        pairs = pairs.join(radii.select(*keys, F.col(point_id).alias(side), F.col(radius).alias(f"r{side}")), [*keys, side])
-    limit: Column = (F.col("ra") + F.col("rb")) * multiplier
-    return pairs.where(F.col("distance") <= limit).select(*keys, "a", "b", (1 - F.col("distance") / limit).alias("confidence"))
+    limit: Column = (F.col(f"{radius}_a") + F.col(f"{radius}_b")) * multiplier
+    met = (F.col("distance") > 0) & (F.col("distance") <= limit)
+    pairs = near_pairs(points, keys, point_id, x, y, 2 * largest * multiplier, [radius], met)
+    return pairs.select(*keys, "a", "b", (1 - F.col("distance") / limit).alias("confidence"))
 
 
 def nearest_point(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, x: str, y: str, reach: float) -> DataFrame:
