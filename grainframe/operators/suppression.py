@@ -10,12 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainframe.operators.joins import near_pairs
+from grainframe.operators.joins import finite, near_pairs
 from grainframe.operators.ordered import ranked
 from grainframe.operators.polygons import star_overlap
 from grainframe.sources.workspace import Workspace
@@ -186,12 +187,75 @@ def contact_pairs(points: DataFrame, keys: list[str], point_id: str, x: str, y:
     return pairs.select(*keys, "a", "b", (1 - F.col("distance") / limit).alias("confidence"))
 
 
+def _nearest_held(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray, ids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and place of the nearest held point of each within ``reach`` (else -1); ties take the lower id. ``hx`` is in order.
+
+    Each looks from its own ``x`` up and down, one held point at a step, until these are further off in ``x`` than the best found.
+    """
+    best, place = np.full(len(x), reach), np.full(len(x), -1)
+    middle = np.searchsorted(hx, x)
+    for step, first in ((1, middle), (-1, middle - 1)):
+        open_, at = np.arange(len(x)), first
+        while True:
+            inside = (at >= 0) & (at < len(hx))
+            open_, at = open_[inside], at[inside]
+            aside = hx[at] - x[open_]
+            near = np.abs(aside) <= best[open_]
+            open_, at, aside = open_[near], at[near], aside[near]
+            if not len(open_):
+                break
+            far, before = np.sqrt(aside * aside + (hy[at] - y[open_]) ** 2), place[open_]
+            better = (far < best[open_]) | (far == best[open_]) & ((before < 0) | (ids[at] < ids[before]))
+            best[open_[better]], place[open_[better]] = far[better], at[better]
+            at = at + step
+    return best, place
+
+
+def _nearest_in_blocks(reach: float):
+    """``l__, r__, d`` of blocks that come whole, their held points first and along x: ``block, l__, r__, x, y``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []  # parts of the held points of the open block: ids, x, y
+        for batch in batches:
+            block, asking = batch.column(0), pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False)
+            codes = block.dictionary_encode().indices.to_numpy()
+            cuts = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(asking, prepend=False) != 0))
+            for start, end in zip(cuts, [*cuts[1:], len(codes)]):
+                part = batch.slice(start, end - start)
+                if (name := block[int(start)].as_py()) != last:
+                    last, held = name, []
+                x, y = (part.column(i).to_numpy() for i in (3, 4))
+                if not asking[start]:
+                    held.append((part.column(2), x, y))
+                elif held:
+                    if len(held) > 1:
+                        held = [(pa.concat_arrays([h[0] for h in held]), *(np.concatenate([h[i] for h in held]) for i in (1, 2)))]
+                    ids, hx, hy = held[0]
+                    order = pc.rank(ids, tiebreaker="first").to_numpy()
+                    far, place = _nearest_held(x, y, hx, hy, order, reach)
+                    met = np.flatnonzero(place >= 0)
+                    yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(met)), ids.take(pa.array(place[met])), pa.array(far[met])], names=["l__", "r__", "d"])
+
+    return run
+
+
 def nearest_point(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, x: str, y: str, reach: float) -> DataFrame:
-    """``left`` with ``near_id, distance`` of its nearest point of ``right`` within ``reach``; ties take the lower id."""
-    cx, cy = F.floor(F.col(x) / reach), F.floor(F.col(y) / reach)
-    around = F.array(*(F.struct((cx + dx).alias("cx"), (cy + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    asked = left.select(*keys, F.col(left_id).alias("l__"), F.col(x).alias("xa"), F.col(y).alias("ya"), F.explode(around).alias("c"))
-    held = right.select(*keys, F.col(right_id).alias("r__"), F.col(x).alias("xb"), F.col(y).alias("yb"), F.struct(cx.alias("cx"), cy.alias("cy")).alias("c"))
-    pairs = asked.join(held, [*keys, "c"]).withColumn("d", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb"))).where(F.col("d") <= reach)
+    """``left`` with ``near_id, distance`` of its nearest point of ``right`` within ``reach``; ties take the lower id.
+
+    The plane is cut into blocks as wide as the reach; a point of ``right`` is in all blocks it reaches, once for all that are
+    in one place. A task goes through the points of a block along x, so pairs are never made.
+    """
+    sound = lambda rows, i: rows.where(finite(x, y)).dropna(subset=[*keys, i])
+    places = [F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"))]
+    one = sound(left, left_id).select(F.to_json(F.struct(*keys)).alias("key"), F.col(left_id).alias("l__"), *places)
+    other = sound(right, right_id).select(F.to_json(F.struct(*keys)).alias("key"), F.col(right_id).alias("r__"), *places).groupBy("key", "x", "y").agg(F.min("r__").alias("r__"))
+    of = lambda c: F.floor(F.col(c) / reach)
+    around = lambda c: F.explode(F.sequence(of(c) - 1, of(c) + 1))
+    other = other.withColumn("bx", around("x")).withColumn("by", around("y"))
+    both = one.withColumn("bx", of("x")).withColumn("by", of("y")).unionByName(other, allowMissingColumns=True)
+    dealt = both.select(F.concat_ws("/", "bx", "by", "key").alias("block"), "l__", "r__", "x", "y")
+    kinds = ", ".join(f"{n} {dealt.schema[n].dataType.simpleString()}" for n in ("l__", "r__"))
+    ordered = dealt.repartition("block").sortWithinPartitions("block", F.col("l__").isNotNull(), "x")
+    pairs = ordered.mapInArrow(_nearest_in_blocks(reach), f"{kinds}, d double")
     best = pairs.groupBy("l__").agg(F.min(F.struct("d", "r__")).alias("b")).select(F.col("l__").alias(left_id), F.col("b.r__").alias("near_id"), F.col("b.d").alias("distance"))
     return left.join(best, left_id, "left")
