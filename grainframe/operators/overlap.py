@@ -6,28 +6,36 @@ count by label pair, combined before its shuffle, so a label of very many cells
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainframe.operators.matching import matches
-from grainframe.sources.workspace import Workspace
+from grainframe.sources.workspace import Workspace, dealt
 
 
 def overlap_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, truth, prediction, n`` of all label pairs, background included. Written once: all metrics read it, not the cells."""
     counts = cells.groupBy(*keys, "truth", "prediction").agg(F.count("*").alias("n"))
-    return Workspace(cells.sparkSession, "overlap").save(counts, "counts")
+    return Workspace(cells.sparkSession, "overlap").save_large(counts, "counts", cells.count())
 
 
 def label_areas(counts: DataFrame, keys: list[str], label: str) -> DataFrame:
-    return counts.where(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.sum("n").alias(f"{label}_area"))
+    held = dealt(counts.where(F.col(label).isNotNull()), counts.count(), *keys, label)
+    return held.groupBy(*keys, label).agg(F.sum("n").alias(f"{label}_area"))
 
 
 def overlap_iou(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of labels that meet, with both areas and ``iou``."""
-    pairs = counts.where("truth IS NOT NULL AND prediction IS NOT NULL")
-    joined = pairs.join(label_areas(counts, keys, "truth"), [*keys, "truth"]).join(label_areas(counts, keys, "prediction"), [*keys, "prediction"])
-    return joined.withColumn("iou", F.col("n") / (F.col("truth_area") + F.col("prediction_area") - F.col("n")))
+    """Pairs of labels that meet, with both areas and ``iou``.
+
+    Areas are summed where a label's counts lie, in two shuffles. What has no truth has no area there, and goes by its prediction.
+    """
+    rows, area = counts.count(), lambda *by: F.sum("n").over(Window.partitionBy(*by))
+    lone = F.when(F.col("truth").isNull(), F.col("prediction"))
+    held = counts.where("truth IS NOT NULL OR prediction IS NOT NULL")
+    held = held.dropna(subset=keys) if keys else held
+    held = dealt(held.withColumn("lone__", lone), rows, *keys, "truth", "lone__").withColumn("truth_area", area(*keys, "truth", "lone__"))
+    held = dealt(held.where("prediction IS NOT NULL").drop("lone__"), rows, *keys, "prediction").withColumn("prediction_area", area(*keys, "prediction"))
+    return held.where("truth IS NOT NULL").withColumn("iou", F.col("n") / (F.col("truth_area") + F.col("prediction_area") - F.col("n")))
 
 
 def overlap_above(pairs: DataFrame, least: float) -> DataFrame:
@@ -93,10 +101,11 @@ def macro_metrics(metrics: DataFrame, keys: list[str], columns: list[str]) -> Da
 
 def split_merge(counts: DataFrame, keys: list[str], share: float = 0.1) -> DataFrame:
     """Labels that ``share`` of their own area or more gives to several partners: split truths and merged predictions."""
-    pairs = overlap_iou(counts, keys)
-    found = []
-    for label, kind in (("truth", "split"), ("prediction", "merge")):
-        part = pairs.where(F.col("n") >= share * F.col(f"{label}_area")).groupBy(*keys, label).agg(F.count("*").alias("partners")).where("partners > 1")
+    rows, found = counts.count(), []
+    held = counts.dropna(subset=keys) if keys else counts
+    for label, other, kind in (("truth", "prediction", "split"), ("prediction", "truth", "merge")):
+        areas = dealt(held.where(F.col(label).isNotNull()), rows, *keys, label).withColumn("area", F.sum("n").over(Window.partitionBy(*keys, label)))
+        part = areas.where(F.col(other).isNotNull() & (F.col("n") >= share * F.col("area"))).groupBy(*keys, label).agg(F.count("*").alias("partners")).where("partners > 1")
         found.append(part.select(*keys, F.lit(kind).alias("kind"), F.col(label).alias("label"), "partners"))
     return found[0].union(found[1])
 
