@@ -1,7 +1,8 @@
 """Matching of truths with predictions: most pairs first, then the greatest sum of overlap.
 
 From an overlap above one half on, a label has one partner at most, and every pair stands; at one half only ties compete.
-Below, labels compete: pairs that are alone on both sides stand, the rest falls into components of the graph of pairs, and each component is solved exactly.
+Below, labels compete: where all partners of a label have no other, the best pair stands; the rest falls into components of the graph of pairs, and each
+component is solved exactly.
 Overlap bounds how many partners a label can have (1 / threshold), so components stay small against the data.
 """
 
@@ -12,11 +13,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainframe.operators.components import connected_components
-from grainframe.sources.workspace import Workspace
+from grainframe.sources.workspace import Workspace, dealt
 
 #: Pairs of one component that a task solves; beyond that the matching is refused, never cut.
 MAX_PAIRS = 200_000
@@ -119,22 +120,38 @@ def matches(pairs: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFr
     open_ = pairs.where(F.col("iou") >= threshold)
     if threshold > 0.5:
         return open_
+    work = Workspace(pairs.sparkSession, "matching")
+    open_ = work.save(open_, "open")
     if threshold == 0.5:  # labels of a map are disjoint, so a pair above one half leaves its labels no other of a half
-        ties = pairs.where(F.col("iou") == 0.5)
-        return open_ if ties.isEmpty() else pairs.where(F.col("iou") > 0.5).union(_by_components(ties, keys))
-    return _by_components(open_, keys)
+        ties = open_.where(F.col("iou") == 0.5)
+        return open_ if ties.isEmpty() else open_.where(F.col("iou") > 0.5).union(_competing(ties, keys, work))
+    return _competing(open_, keys, work)
 
 
-def _by_components(open_: DataFrame, keys: list[str]) -> DataFrame:
-    """The matching among pairs that compete."""
+def _competing(open_: DataFrame, keys: list[str], work: Workspace) -> DataFrame:
+    """The matching among pairs that compete. ``open_`` is a saved table.
+
+    Where all partners of a label have no other, its best pair stands, by the order of labels if several are; so does a pair that
+    is alone. Two labels of one half each leave no room, so ties at one half are all of this kind. Only what is left has chains.
+    """
+    rows, columns = open_.count(), open_.columns
+    of_t, of_p = Window.partitionBy(*keys, "truth"), Window.partitionBy(*keys, "prediction")
+    best = lambda window, other: F.row_number().over(window.orderBy(F.col("iou").desc(), F.col(other).cast("string")))
+    held = dealt(open_, rows, *keys, "truth").withColumn("nt_", F.count("*").over(of_t))
+    held = dealt(held, rows, *keys, "prediction").withColumns({"np_": F.count("*").over(of_p), "most_nt_": F.max("nt_").over(of_p), "place_p_": best(of_p, "truth")})
+    held = dealt(held, rows, *keys, "truth").withColumns({"most_np_": F.max("np_").over(of_t), "place_t_": best(of_t, "prediction")})
+    held = work.save(held, "degrees")
+    stars = held.where("(most_np_ = 1 AND place_t_ = 1) OR (most_np_ > 1 AND most_nt_ = 1 AND place_p_ = 1)").select(*columns)
+    rest = held.where("most_np_ > 1 AND most_nt_ > 1").select(*columns)
+    return stars if rest.isEmpty() else stars.union(_by_components(rest, keys, work))
+
+
+def _by_components(open_: DataFrame, keys: list[str], work: Workspace) -> DataFrame:
+    """The matching among pairs of components that are no stars."""
     columns = open_.columns
-    work = Workspace(open_.sparkSession, "matching")
     node = lambda side: F.struct(*keys, F.lit(side).alias("side"), F.col(side).cast("string").alias("label"))
-    open_ = work.save(open_.withColumns({"t_": node("truth"), "p_": node("prediction")}), "pairs")
-    lonely = [open_.groupBy(c).agg(F.count("*").alias(f"n{c}")).where(f"n{c} = 1").select(c) for c in ("t_", "p_")]
-    alone = open_.join(lonely[0], "t_", "left_semi").join(lonely[1], "p_", "left_semi")
-    rest = open_.join(alone.select("t_", "p_"), ["t_", "p_"], "left_anti")
+    rest = work.save(open_.withColumns({"t_": node("truth"), "p_": node("prediction")}), "pairs")
     found = connected_components(rest.select(F.col("t_").alias("a"), F.col("p_").alias("b")), work)
-    dealt = rest.join(found.select(F.col("node").alias("t_"), F.col("component").alias("component_")), "t_").select(*columns, "component_")
-    solved = dealt.repartition("component_").sortWithinPartitions("component_", "truth", "prediction").mapInArrow(_solved, dealt.schema)
-    return alone.select(*columns).union(solved.select(*columns))
+    placed = rest.join(found.select(F.col("node").alias("t_"), F.col("component").alias("component_")), "t_").select(*columns, "component_")
+    solved = placed.repartition("component_").sortWithinPartitions("component_", "truth", "prediction").mapInArrow(_solved, placed.schema)
+    return solved.select(*columns)
