@@ -180,9 +180,13 @@ def c35_plane_and_colour(spark, sf_dir):
     rays = F.array(*(((k * m) % 9 + 1.0) for m in (1, 2, 3, 5, 7, 11, 13, 17)))
     from grainframe.functions.evidence import shoelace
 
-    parts = fm.with_affine_rgb(table(spark, sf_dir, "part"), {"b": "b", "g": "g", "r": "r"}, (b, g, r), MATRIX, SHIFT)
+    # a row takes far longer than its reading, so rows are dealt to all cores; rays and polygons are made once, not for each use
+    rows = table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism).withColumn("rays__", rays)
+    rays = F.col("rays__")
+    rows = rows.withColumn("polygon__", fm.star_polygon(F.lit(3.0), F.lit(4.0), rays))
+    parts = fm.with_affine_rgb(rows, {"b": "b", "g": "g", "r": "r"}, (b, g, r), MATRIX, SHIFT)
     return parts.select(
-        "p_partkey", *(F.round(n, 5).alias(n) for n in "bgr"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(shoelace(fm.star_polygon(F.lit(3.0), F.lit(4.0), rays)), 5).alias("star"),
+        "p_partkey", *(F.round(n, 5).alias(n) for n in "bgr"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(shoelace(F.col("polygon__")), 5).alias("star"),
         fm.rotated_rays(rays, 1)[0].alias("ray"), F.round(fm.scaled(F.col("p_size") - 2.0, k % 5 + 0.0, True), 6).alias("area"), fm.identifier_problem(F.when(k % 6 == 0, F.concat(F.lit(" "), "p_name")).otherwise(F.col("p_brand"))).alias("problem"),
         fm.display_name(F.regexp_replace("p_type", " ", "_")).alias("shown"), fm.identity({"name": F.col("p_name"), "size": F.col("p_size")}).alias("identity"),
     )
