@@ -68,8 +68,9 @@ def prototype_similarity(rows: DataFrame, vector: str, bank: DataFrame, toleranc
     held = bank.select("prototype", "centre", "scale", "weight").orderBy("prototype").collect()
     kind, at = bank.schema["prototype"].dataType, base.columns.index(vector)
     names = [r["prototype"] for r in held]
-    centres = np.array([r["centre"] for r in held], dtype=np.float64).reshape(size, -1)
-    sharp = 1 / np.maximum(np.array([r["scale"] for r in held], dtype=np.float64).reshape(size, -1) * tolerance, 1e-4) ** 2
+    shape = (size, -1) if size else (0, 0)
+    centres = np.array([r["centre"] for r in held], dtype=np.float64).reshape(shape)
+    sharp = 1 / np.maximum(np.array([r["scale"] for r in held], dtype=np.float64).reshape(shape) * tolerance, 1e-4) ** 2
     weights = np.array([r["weight"] for r in held], dtype=np.float64)
     support = 0.78 + 0.22 * np.sqrt(weights / max(weights.max(initial=0.0), 1e-6))
     shared = rows.sparkSession.sparkContext.broadcast((names, sharp, centres * sharp, (centres**2 * sharp).sum(axis=1), support))
